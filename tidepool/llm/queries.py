@@ -1,9 +1,17 @@
 """Registered queries of the training-data operators and their SQL."""
 
+from tidepool.llm.decontaminate import OP10_SQL, op10_decontaminate
 from tidepool.llm.language_id import op2_language_id
 from tidepool.llm.quality_classifier import op6_quality_classifier
+from tidepool.llm.secret_scan import op4_secret_scans
 from tidepool.llm.url_filter import OP1_SQL, op1_url_filters
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_language_id": op2_language_id, "op6_quality_classifier": op6_quality_classifier}
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_language_id": op2_language_id,
+    "op4_secret_scans": op4_secret_scans,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_decontaminate": op10_decontaminate,
+}
 
-SQL = {"op1_url_filters": OP1_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op10_decontaminate": OP10_SQL}
