@@ -2,6 +2,8 @@
 
 from tidepool.llm.decontaminate import OP10_SQL, op10_decontaminate
 from tidepool.llm.language_id import op2_language_id
+from tidepool.llm.minhash_dedup import op7_minhash_dedup
+from tidepool.llm.packing import op3_best_fit_packing
 from tidepool.llm.quality_classifier import op6_quality_classifier
 from tidepool.llm.secret_scan import op4_secret_scans
 from tidepool.llm.url_filter import OP1_SQL, op1_url_filters
@@ -9,8 +11,10 @@ from tidepool.llm.url_filter import OP1_SQL, op1_url_filters
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
