@@ -227,8 +227,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     return ranked.mapInArrow(run, schema)
 
 
-def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """The ranks file holds the vocabulary of byte_bpe_50k.json, whose ids the tests compare with these."""
+def default_vocabulary() -> str:
+    """The ranks file that holds the vocabulary of byte_bpe_50k.json, whose ids the tests compare with these."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())
