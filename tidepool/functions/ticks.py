@@ -8,6 +8,7 @@ from decimal import Decimal, getcontext
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_TICK, MAX_TICK = -887272, 887272
 
@@ -39,7 +40,7 @@ def sqrt_price_x96(tick: int) -> int:
     return (ratio >> 32) + (ratio % (1 << 32) > 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sqrt_price_text(ticks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Decimal text, since the value has up to 49 digits; null outside the tick range."""
     known: dict[int, str | None] = {}
