@@ -80,6 +80,11 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
 
+def _short_marks(n: int) -> Column:
+    """(kind, at, h) of every run of n words, to be held against whole items of n words."""
+    return F.transform(_grams(F.col("hashes"), n), lambda h, i: F.struct(F.lit(n).alias("kind"), i.alias("at"), h.alias("h")))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = K, w: int = W) -> DataFrame:
     """(doc_id, th, item_id, pos): each document word inside an occurrence of an item window.
 
@@ -106,7 +111,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: i
     hashed = hashed.withColumn("grams", _grams(F.col("hashes"), k))
     found = F.transform(fingerprints(F.col("grams"), w), lambda x: F.struct(F.lit(0).alias("kind"), x["at"].alias("at"), x["h"].alias("h")))
     for n in lengths:
-        found = F.concat(found, F.transform(_grams(F.col("hashes"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("kind"), i.alias("at"), h.alias("h"))))
+        found = F.concat(found, _short_marks(n))
     prints = hashed.select("doc_id", "th", F.explode(found).alias("f")).select("doc_id", "th", "f.kind", F.col("f.at").alias("at"), F.col("f.h").alias("h"))
     side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     aligned = prints.join(side, ["h", "kind"]).select("doc_id", "th", "item_id", "ih", (F.col("at") - F.col("item_at")).alias("shift"))

@@ -104,7 +104,7 @@ def central_directory(source, size: int) -> dict[str, tuple[int, int, int, int]]
     source.seek(tail_at)
     tail = source.read(size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):  # a comment may hold the mark
         end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("no ZIP directory")
