@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in built-in functions only.
 
 A document's words are hashed in k-grams (``K`` words); in every window of ``W`` consecutive
-k-grams the smallest hash is kept (the rightmost among equals).  Any shared run of
+k-grams the smallest hash is kept (the leftmost among equals).  Any shared run of
 ``K + W - 1`` words has a kept hash in common, so with K + W - 1 at most the window length
 every item window that stands in a document is found.  The fingerprints are joined, and each
 hit is extended along its diagonal: the words of item and document are compared where the two
@@ -22,6 +22,8 @@ judged each.  Empty tables: no items give no hits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from tidepool.llm.url_filter import LOWER, UPPER
 WINDOW = 13
 K, W = 7, 7
 BROADCAST_ROWS = 500_000
+#: More than a text can have words (a string holds under 2 ** 31 bytes).
+MOST_WORDS = 2**30
 
 #: What stands between words, after lower-casing A to Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,30 +54,36 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _grams(hashes: Column, n: int) -> Column:
-    """Hashes of all runs of n words; empty for fewer words."""
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(n))))
+def with_runs(df: DataFrame, values: str, n: int, name: str, combine: Callable[[Column, Column], Column], least: int = 0) -> DataFrame:
+    """Adds ``name``: ``combine`` over every n neighbours of the array ``values``, in doubling steps.
 
+    Each step is a column of its own, so that it is evaluated once.  ``combine`` sees nulls behind
+    the end; runs that reach over it are cut off, but for the first ``least`` of them.
+    """
+    width, df = 1, df.withColumn(name, F.col(values))
+    while width < n:
+        step = min(width, n - width)
+        df = df.withColumn(name, F.zip_with(name, F.slice(name, step + 1, MOST_WORDS), combine))
+        width += step
+    return df.withColumn(name, F.slice(name, F.lit(1), F.greatest(F.size(values) - (n - 1), F.lit(least))))
 
-def fingerprints(grams: Column, window: int) -> Column:
-    """Winnowed (position, hash) structs: each window's smallest hash; all windows' picks once.
 
-    Texts of fewer grams than a window keep their smallest one.
-    """
-    last = F.greatest(F.size(grams) - window, F.lit(0))
-    starts = F.when(F.size(grams) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def with_grams(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Adds ``name``: hashes of all runs of n of the word hashes in ``hashes``; empty for fewer words."""
+    return with_runs(df, "hashes", n, name, lambda a, b: F.xxhash64(a, b))
 
-    def pick(i: Column) -> Column:
-        hashes = [F.get(grams, i + j) for j in range(window)]
-        least = F.least(*hashes)
-        at = F.lit(0)
-        for j in range(1, window):
-            at = F.when(hashes[j] == least, F.lit(j)).otherwise(at)
-        return i + at
 
-    kept = F.array_distinct(F.transform(starts, pick))
-    return F.transform(kept, lambda p: F.struct(p.alias("at"), F.get(grams, p).alias("h")))
+def with_fingerprints(df: DataFrame, window: int, name: str) -> DataFrame:
+    """Adds ``name``: winnowed (position, hash) structs of ``grams``; each window's smallest hash, all picks once.
+
+    A gram stands as its hash's upper bits above its position, so that a window's smallest number
+    tells where its pick is.  Texts of fewer grams than a window keep their smallest one.
+    """
+    upper, lower = F.lit(-MOST_WORDS).cast("long"), F.lit(MOST_WORDS - 1).cast("long")
+    df = df.withColumn("placed", F.transform("grams", lambda g, i: g.bitwiseAND(upper).bitwiseOR(i.cast("long"))))
+    df = with_runs(df, "placed", window, "picks", lambda a, b: F.least(a, b), least=1)
+    at = lambda p: p.bitwiseAND(lower).cast("int")
+    return df.withColumn(name, F.transform(F.array_distinct("picks"), lambda p: F.struct(at(p).alias("at"), F.get("grams", at(p)).alias("h")))).drop("placed", "picks")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -82,7 +92,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _short_marks(n: int) -> Column:
     """(kind, at, h) of every run of n words, to be held against whole items of n words."""
-    return F.transform(_grams(F.col("hashes"), n), lambda h, i: F.struct(F.lit(n).alias("kind"), i.alias("at"), h.alias("h")))
+    return F.transform(f"runs{n}", lambda h, i: F.struct(F.lit(n).alias("kind"), i.alias("at"), h.alias("h")))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = K, w: int = W) -> DataFrame:
@@ -98,19 +108,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: i
     long = k + w - 1
     lengths = sorted(r[0] for r in items.where(F.size("words") < long).select(F.size("words")).distinct().collect())  # 12 at most
 
-    marks = items.where(F.size("words") >= long).withColumn("grams", _grams(F.col("hashes"), k))
-    marks = marks.select("item_id", "ih", F.lit(0).alias("kind"), F.explode(fingerprints(F.col("grams"), w)).alias("f")).select("item_id", "ih", "kind", F.col("f.at").alias("item_at"), F.col("f.h").alias("h"))
+    marks = with_fingerprints(with_grams(items.where(F.size("words") >= long), k, "grams"), w, "prints")
+    marks = marks.select("item_id", "ih", F.lit(0).alias("kind"), F.explode("prints").alias("f")).select("item_id", "ih", "kind", F.col("f.at").alias("item_at"), F.col("f.h").alias("h"))
     whole = None
     for n in lengths:
-        grams = items.where(F.size("words") == n).select("item_id", "ih", F.lit(n).alias("kind"), F.lit(0).alias("item_at"), F.get(_grams(F.col("hashes"), n), F.lit(0)).alias("h"))
+        grams = with_grams(items.where(F.size("words") == n), n, "whole").select("item_id", "ih", F.lit(n).alias("kind"), F.lit(0).alias("item_at"), F.get("whole", F.lit(0)).alias("h"))
         whole = grams if whole is None else whole.union(grams)
     marks = scratch.table(marks if whole is None else marks.union(whole), "marks")
 
     # Each array is a column of its own: inside a lambda, an expression would be evaluated for every element.
     hashed = _documents(docs).select("doc_id", "th", _hashes(words_of(F.col("text"))).alias("hashes"))
-    hashed = hashed.withColumn("grams", _grams(F.col("hashes"), k))
-    found = F.transform(fingerprints(F.col("grams"), w), lambda x: F.struct(F.lit(0).alias("kind"), x["at"].alias("at"), x["h"].alias("h")))
+    hashed = with_fingerprints(with_grams(hashed, k, "grams"), w, "prints").drop("grams")
+    found = F.transform("prints", lambda x: F.struct(F.lit(0).alias("kind"), x["at"].alias("at"), x["h"].alias("h")))
     for n in lengths:
+        hashed = with_grams(hashed, n, f"runs{n}")
         found = F.concat(found, _short_marks(n))
     prints = hashed.select("doc_id", "th", F.explode(found).alias("f")).select("doc_id", "th", "f.kind", F.col("f.at").alias("at"), F.col("f.h").alias("h"))
     side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
