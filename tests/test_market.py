@@ -1,16 +1,21 @@
 """Operators of the market engine against DuckDB and against scalar versions."""
 
 import glob
+import math
 import os
 import random
+from fractions import Fraction
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidepool.functions import ticks, wide
 from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
-from tidepool.operators import blocks, fold, registry, routing
-from tidepool.plans import catalog
+from tidepool.operators import blocks, checks, flows, fold, registry, routing
+from tidepool.plans import catalog, lookups
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,11 +30,11 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    one = lambda v: None if v is None or v is pd.NaT or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    one = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 
@@ -82,3 +87,46 @@ def test_registry_and_whitelist(spark):
 def test_empty_frontier_is_null(spark):
     rows = spark.createDataFrame([(1, 5, 0, True), (1, 6, 2, True)], "chain long, number long, authority long, touched boolean")
     assert blocks.frontier(rows, 1).first()["frontier"] is None
+
+
+def test_exact_reserves_and_limits(spark):
+    states = spark.createDataFrame([("50170120777514", 69583), ("4844714101140627498", 197490), ("7", 0)], "depth string, tick int")
+    rows = states.join(spark.createDataFrame([(60,)], "spacing int")).withColumn("low", F.col("tick") - F.pmod("tick", "spacing"))
+    price = lambda c: ticks.sqrt_price_text(c)
+    rows = rows.select("depth", "tick", "low", price("tick").alias("p"), price("low").alias("a"), price(F.col("low") + 60).alias("b"))
+    for r in rows.withColumn("r", wide.reserve_texts("depth", "p", "a", "b")).collect():
+        depth, p, a, b = (int(r[c]) for c in ("depth", "p", "a", "b"))
+        exact_x, exact_y = Fraction(depth << 96, p), Fraction(depth * p, 1 << 96)
+        assert (int(r["r"]["x"]), int(r["r"]["y"])) == (math.floor(exact_x), math.floor(exact_y)) and r["r"]["failure"] is None
+        assert int(r["r"]["max_x"]) == math.floor(Fraction(depth << 96, a)) - math.floor(exact_x) >= 0
+        assert int(r["r"]["max_y"]) == math.floor(Fraction(depth * b, 1 << 96)) - math.floor(exact_y) >= 0
+    odd = spark.createDataFrame([("5", str(1 << 96), str(1 << 97), str(1 << 98)), ("5", str(1 << 99), str(1 << 97), str(1 << 98)), (None, "1", "1", "1")], "d string, p string, a string, b string")
+    assert [r["r"]["failure"] for r in odd.select(wide.reserve_texts("d", "p", "a", "b").alias("r")).collect()] == ["below range", "above range", "missing"]
+    assert [wide.fixed_share(w) for w in (float("nan"), -1.0, 0.5, 7.0, 2.5e-9)] == [0, 0, 500_000_000, 1_000_000_000, 3]
+    assert wide.swap_exact(1000, 10, 10, 1_000_000) == 0 and wide.reserves(5, 0) == (0, 0)
+
+
+def test_replays_follow_their_books(spark):
+    big = 10**40
+    steps = spark.createDataFrame([(1, 2, 7, False, str(big), str(big), 0, "1000"), (1, 1, 7, True, str(big), str(big), 0, "1000"), (2, 1, 8, True, "100", "200", 500000, "100")], "plan_id long, step long, pool_id long, forward boolean, r0 string, r1 string, fee_pips long, entry string")
+    got = {r["plan_id"]: (r["amount_out"], r["n_steps"]) for r in flows.replay_exact(steps).collect()}
+    there = big * 1000 // (big + 1000)
+    assert got == {1: (str((big + 1000) * there // (big - there + there)), 2), 2: (str(200 * 50 // 150), 1)}
+    floats = steps.selectExpr("plan_id", "step", "pool_id", "forward", "cast(r0 as double) r0", "cast(r1 as double) r1", "cast(fee_pips as double) fee_pips", "cast(entry as double) entry").where("plan_id = 2")
+    assert flows.replay(floats).first()["amount_out"] == pytest.approx(200 * 50 / 150)
+
+
+def test_softmax_weights_sum_to_one(spark):
+    rows = lookups.C.QUERIES["softmax_weights"](spark, SF).toPandas()
+    logits = (rows.pool_id.abs() % 7) / 10.0
+    e = np.exp(logits)
+    assert np.allclose(rows.weight, e / e.groupby(rows["column"]).transform("sum"))
+
+
+def test_pages_and_validation_edges(spark):
+    blocks_ = spark.createDataFrame([(0, 5), (0, 204), (9, 3)], "chain long, number long")
+    assert sorted(map(tuple, checks.pages(blocks_, {0: 100}, 5000).collect())) == [(0, 5, 104), (0, 105, 204), (9, 3, 3)]
+    asked = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 1.0), (4, 1.0), (5, 1.0), (6, 1.0), (7, None)], "chain long, amount double")
+    rows = spark.createDataFrame([(1, 1, 1, 2), (3, 1, 1, 2), (3, 1, 1, 2), (4, 1, 1, 3), (5, 1, 3, 2), (6, 1, 1, 2)], "chain long, pool_id long, token0 long, token1 long")
+    got = {r["chain"]: r["outcome"] for r in checks.validate(asked, rows, 1, 2).collect()}
+    assert got == {1: "bad_amount", 2: "empty", 3: "duplicate", 4: "no_output", 5: "no_source", 6: "ok", 7: "bad_amount"}

@@ -56,3 +56,12 @@ def best_authority(logs: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of the highest ``authority`` of each block: complete replaces streamed, never the reverse."""
     best = logs.groupBy(*keys).agg(F.max("authority").alias("authority"))
     return logs.join(best, [*keys, "authority"], "left_semi")
+
+
+def admission(deliveries: DataFrame) -> DataFrame:
+    """chain, block, arrival, parent, outcome: the first delivery of a block wins, blocks that name themselves never do."""
+    itself = F.coalesce(F.col("parent") == F.col("block"), F.lit(False))
+    first = F.min(F.when(~itself, F.struct("arrival", "parent"))).over(Window.partitionBy("chain", "block"))
+    rows = deliveries.withColumn("first", first)
+    outcome = F.when(itself, "self_parent").when(F.col("arrival") == F.col("first.arrival"), "admitted").when(F.col("parent").eqNullSafe(F.col("first.parent")), "duplicate").otherwise("conflicting_parent")
+    return rows.select("chain", "block", "arrival", "parent", outcome.alias("outcome"))
