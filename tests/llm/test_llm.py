@@ -88,6 +88,24 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("recall", [0.98, 2.0])
+def test_embeddings_link_saturated_groups(spark, monkeypatch, recall):
+    """Two dense groups whose members fill each other's lists, with all cross pairs above the threshold; above 1, no audit is enough."""
+    monkeypatch.setattr(embedding_dedup, "RECALL", recall)
+    monkeypatch.setattr(embedding_dedup, "MORE", 0)
+    rng = np.random.default_rng(8)
+    one, side = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    two = 0.987 * one + np.sqrt(1 - 0.987**2) * side
+    rows = [(k, (c + 0.002 * rng.standard_normal(64)).astype("f4").tolist(), 0) for k, c in enumerate([one] * 30 + [two] * 30)]
+    rows.append((60, (0.95 * one - np.sqrt(1 - 0.95**2) * side).astype("f4").tolist(), 0))
+    x = np.array([r[1] for r in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = x @ x.T >= 0.98
+    assert linked[:60, :60].all() and not linked[60, :60].any()
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).toPandas().set_index("vec_id").loc[range(61)]
+    assert got.n_links.tolist() == [59] * 60 + [0] and got.component_id.tolist() == [0] * 60 + [60]
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://a/", "same"), (1, None, "same"), (2, "http://b/\r\nX: y", None), (None, "u", "same"), (4, "u", ""), (5, "u", "ä" * 90_000), (1, "twice", "same"), (None, "u", "alone")]
     pages = spark.createDataFrame([(*r, b"clash") for r in rows], "page_id long, url string, html string, payload binary")

@@ -8,11 +8,13 @@ around every node, its neighbours and those it is a neighbour of are compared wi
 Neighbours below ``FLOOR`` are not listed: the way to a link leads over nearer ones.
 
 A list that is full of links is saturated: its node may have more links than the list holds.
-Saturated lists are enlarged to the node's whole component, compared block against block, so
-that all its links are counted without making rows of pairs.  Recall is audited: a bounded
-number of nodes (``AUDIT``, those of the smallest hashes) is compared with every node of its
-label; while the share of their links that stand in the graph is below ``RECALL``, further
-orders and descents are added, ``MORE`` times at most.  Links are those of cosine >= ``percent``
+Every node of a component that holds a saturated list is compared, block against block, with
+all nodes of its label that are near enough to be linked, so that all its links are counted and
+connected without making rows of pairs.  Recall is audited: a bounded number of nodes
+(``AUDIT`` of the smallest hashes among all, and as many among those with links) is compared
+with every node of its label; while the share of their links that is counted is below
+``RECALL``, further orders and descents are added, ``MORE`` times at most.  If the last audit
+fails too, every node is compared in blocks over its label.  Links are those of cosine >= ``percent``
 / 100 in double precision; every one was computed from the two vectors.
 
 Defined cases: rows whose label or vector is null, and vectors that are empty, zero or hold a
@@ -35,7 +37,7 @@ from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import Scratch
 
 K, ROUNDS, RUN, FLOOR, STEPS, MORE = 10, 4, 128, 0.9, 4, 3
-AUDIT, RECALL, SETTLED, BLOCK = 256, 0.98, 0.01, 512
+AUDIT, RECALL, SETTLED, BLOCK, NEAR = 256, 0.98, 0.01, 512, 2048
 BITS = 32
 
 
@@ -179,63 +181,133 @@ def _refined(lists: DataFrame, nodes: DataFrame, wide: bool, scratch: Scratch, k
     return lists
 
 
-def audit(nodes: DataFrame, links: DataFrame, wide: bool, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
-    """(links in the graph, links there are) of the nodes with the smallest hashes, against every node.
+def audit(nodes: DataFrame, counts: DataFrame, wide: bool, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
+    """(links counted, links there are) of sampled nodes, against every node.
 
-    Saturated nodes count as found up to their lists: their rest is counted in blocks.
+    ``counts``: node and links, of every node that has links.  The sample is ``queries`` nodes of
+    the smallest hashes among all, and as many among those with links.
     """
     spark = nodes.sparkSession
-    asked = nodes.select("node", "kind", "vec").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries).collect()  # ``queries`` rows at most
+    some = nodes.select("node", "kind", "vec")
+    least = lambda rows: rows.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries)
+    asked = {r["node"]: r for r in [*least(some).collect(), *least(some.join(counts.where("links > 0").select("node"), "node", "left_semi")).collect()]}  # twice ``queries`` rows at most
     if not asked:
         return 0, 0
     by_kind: dict[int, list] = {}
-    for r in asked:
+    for r in asked.values():
         by_kind.setdefault(r["kind"], []).append((r["node"], bytes(r["vec"])))
     shared = spark.sparkContext.broadcast(by_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {kind: (np.array([q[0] for q in qs]), unit_rows(pa.array([q[1] for q in qs], pa.binary()), wide)) for kind, qs in shared.value.items()}
         for batch in batches:
-            node, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node, kind, n = (batch.column(c).to_numpy() for c in range(3))
             for one in np.unique(kind):
                 if one in ready:
                     own = np.flatnonzero(kind == one)
-                    sims = ready[one][1] @ unit_rows(batch.column(2).take(pa.array(own)), wide).T
-                    i, j = np.nonzero((sims >= threshold) & (ready[one][0][:, None] != node[own][None, :]))
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(ready[one][0][i]), pa.array(node[own[j]])], names=["a", "b"])
-
-    true = nodes.select("node", "kind", "vec").mapInArrow(run, "a long, b long").groupBy("a").agg(F.count(F.lit(1)).alias("there"))
-    have = links.groupBy("a").agg(F.count(F.lit(1)).alias("have"), F.first("full").alias("full"))
-    row = true.join(have, "a", "left").agg(F.sum(F.when(F.col("full"), F.col("there")).otherwise(F.coalesce("have", F.lit(0)))).alias("found"), F.sum("there").alias("all")).first()
+                    sims = ready[one][1] @ unit_rows(batch.column(3).take(pa.array(own)), wide).T
+                    linked = (sims >= threshold) & (ready[one][0][:, None] != node[own][None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ready[one][0]), pa.array(linked @ n[own])], names=["node", "there"])
+
+    true = nodes.select("node", "kind", "n", "vec").mapInArrow(run, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
+    row = true.join(counts, "node", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "there")).alias("found"), F.sum("there").alias("all")).first()
     return row["found"] or 0, row["all"] or 0
 
 
-def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold: float) -> DataFrame:
-    """(node, links): vectors linked with each node, over all nodes of its component, in blocks.
+def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, links, asked, other) of the links that nodes of ``members`` have with any node of their label.
 
-    ``members``: node and component.  A task holds two blocks of about BLOCK nodes and returns
-    a count for each node of one of them.
+    ``members``: node and component.  A component's nodes are asked in groups of about BLOCK.  A
+    node may be linked with a group only if its angle to the group's middle is at most the group's
+    radius plus the threshold's angle; those nodes, again in blocks, are compared with the group.
+    Each task returns a row for each node that has links, not for each link: how many (asked
+    rows: of a member; others: with members), and a node that stands for those connected in the task.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
-    rows = rows.join(nodes.select("node", "n", "vec"), "node")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    ask = rows.select("component", F.col("own").alias("q"), every.alias("r"), "node", "n", "vec", F.lit(True).alias("asks"))
-    told = rows.select("component", every.alias("q"), F.col("own").alias("r"), "node", "n", "vec", F.lit(False).alias("asks"))
-
-    def run(block: pa.Table) -> pa.Table:
-        asks = block.column("asks").to_numpy()
-        node, n = block.column("node").to_numpy(), block.column("n").to_numpy()
-        vec = block.column("vec").combine_chunks()
+    own = members.join(sizes, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))).alias("group"))
+    asks = scratch.table(own.join(nodes, "node").select("kind", "group", "node", "n", "vec"), "asks")
+    reach = float(np.arccos(min(1.0, threshold))) + 1e-6
+
+    def middle(group: pa.Table) -> pa.Table:
+        x = unit_rows(group.column("vec").combine_chunks(), wide)
+        center = x.sum(axis=0)
+        size = np.sqrt(center @ center)
+        center = center / size if size > 1e-6 else x[0]
+        radius = float(np.arccos(np.clip(x @ center, -1, 1)).max())
+        return pa.table({"kind": group.column("kind")[:1], "group": group.column("group")[:1], "center": pa.array([center.astype("<f8").tobytes()], pa.binary()), "radius": [radius]})
+
+    middles = scratch.table(asks.groupBy("kind", "group").applyInArrow(middle, "kind long, group long, center binary, radius double"), "middles")
+    # Every node of a label with the middles of its groups, in blocks of both.
+    wanted = middles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / NEAR).alias("q_blocks"))
+    told = nodes.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / NEAR).alias("r_blocks")).join(wanted, "kind")
+    block = lambda name, blocks: F.pmod(F.xxhash64(name, F.lit(4)), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    left = middles.join(told, "kind").select("kind", block("group", "q_blocks").alias("q"), every("r_blocks").alias("r"), F.col("group").alias("id"), F.col("center").alias("vec"), "radius")
+    right = nodes.join(told, "kind").select("kind", every("q_blocks").alias("q"), block("node", "r_blocks").alias("r"), F.col("node").alias("id"), "vec", F.lit(None).cast("double").alias("radius"))
+
+    def near(rows: pa.Table) -> pa.Table:
+        is_middle = rows.column("radius").is_valid().to_numpy()
+        q, r = np.flatnonzero(is_middle), np.flatnonzero(~is_middle)
+        if not len(q) or not len(r):
+            return pa.table({"group": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+        vec, ids = rows.column("vec").combine_chunks(), rows.column("id").to_numpy()
+        radius = rows.column("radius").take(pa.array(q)).to_numpy()
+        cosine = unit_rows(vec.take(pa.array(q)), True) @ unit_rows(vec.take(pa.array(r)), wide).T
+        i, j = np.nonzero(cosine >= np.cos(np.minimum(radius + reach, np.pi))[:, None] - 1e-12)
+        return pa.table({"group": ids[q][i], "node": ids[r][j]})
+
+    close = scratch.table(left.unionByName(right).groupBy("kind", "q", "r").applyInArrow(near, "group long, node long"), "close")
+    parts = close.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / NEAR).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(6)), F.col("parts"))
+    ask = asks.join(parts, "group").select("group", every("parts").alias("part"), "node", "n", "vec", F.lit(True).alias("asks"), F.lit(True).alias("member"))
+    known = asks.select("node", F.lit(True).alias("member"))
+    rest = close.join(parts, "group").join(nodes.select("node", "n", "vec").join(known, "node", "left"), "node").select("group", part.alias("part"), "node", "n", "vec", F.lit(False).alias("asks"), F.coalesce("member", F.lit(False)).alias("member"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        asks, member = (rows.column(c).to_numpy() for c in ("asks", "member"))
+        node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        vec = rows.column("vec").combine_chunks()
         q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(q) or not len(r):
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "asked": pa.array([], pa.bool_()), "other": pa.array([], pa.int64())})
         sims = unit_rows(vec.take(pa.array(q)), wide) @ unit_rows(vec.take(pa.array(r)), wide).T
         linked = (sims >= threshold) & (node[q][:, None] != node[r][None, :])
-        return pa.table({"node": node[q], "links": linked @ n[r]})
+        # The least row of those connected in this task; ``len(q)`` stands for none.
+        mine, theirs = np.arange(len(q)), np.full(len(r), len(q))
+        while True:
+            theirs = np.where(linked, mine[:, None], len(q)).min(axis=0)
+            less = np.minimum(mine, np.where(linked, theirs[None, :], len(q)).min(axis=1))
+            if (less == mine).all():
+                break
+            mine = less
+        some_q, some_r = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        links = np.concatenate([(linked @ n[r])[some_q], np.where(member[r], 0, n[q] @ linked)[some_r]])
+        return pa.table({"node": np.concatenate([node[q][some_q], node[r][some_r]]), "links": links.astype(np.int64), "asked": np.concatenate([np.ones(len(some_q), bool), np.zeros(len(some_r), bool)]), "other": node[q][np.concatenate([mine[some_q], theirs[some_r]])]})
 
-    return ask.union(told).groupBy("component", "q", "r").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return ask.unionByName(rest).groupBy("group", "part").applyInArrow(run, "node long, links long, asked boolean, other long")
+
+
+def _counted(lists: DataFrame, nodes: DataFrame, members: DataFrame | None, wide: bool, scratch: Scratch, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): edges that connect what is linked; and (node, links) of every node that has links.
+
+    ``members`` are counted in blocks: the components with a saturated list, if None is given.
+    """
+    links = lists.where(F.col("sim") >= threshold)
+    links = scratch.table(links.withColumn("full", F.expr(f"count(*) over (partition by a) >= {k}")), "links")
+    # A link stands in the list of one side at least.
+    both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
+    if members is None:
+        labels = scratch.table(connected_components(both, scratch), "parts")
+        full = links.where("full").select(F.col("a").alias("node")).distinct().join(labels, "node").select("component").distinct()
+        members = scratch.table(labels.join(full, "component", "left_semi"), "saturated")
+    blocks = scratch.table(links_in_blocks(members, nodes, wide, threshold, scratch), "blocks")
+    edges = both.union(blocks.where("node <> other").select("node", "other").distinct())
+    # A member's links are all counted in blocks; others have those with members from there and the rest from the lists.
+    within = members.select("node", F.lit(True).alias("member"))
+    outer = both.join(members.select(F.col("node").alias("a")), "a", "left_anti").join(members.select(F.col("node").alias("b")), "b", "left_anti")
+    listed = outer.join(nodes.select(F.col("node").alias("b"), "n"), "b").select(F.col("a").alias("node"), F.col("n").alias("links"))
+    asked = blocks.join(within, "node", "left").where(F.col("asked") | F.col("member").isNull()).select("node", "links")
+    return edges, scratch.table(listed.union(asked).groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, floor: float = FLOOR, steps: int = STEPS) -> DataFrame:
@@ -254,22 +326,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
             found = one if found is None else found.union(one)
         lists = scratch.table(nearest(found, k), "lists")
         lists = _refined(lists, nodes, wide, scratch, k, floor, steps)
-        links = lists.where(F.col("sim") >= threshold)
-        links = scratch.table(links.withColumn("full", F.expr(f"count(*) over (partition by a) >= {k}")), "links")
-        # A link stands in the list of one side at least.
-        both = links.select("a", "b", "full").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("full"))).groupBy("a", "b").agg(F.max("full").alias("full"))
-        both = scratch.table(both.withColumn("full", F.expr("max(full) over (partition by a)")), "both")
-        have, there = audit(nodes, both, wide, threshold)
+        edges, counts = _counted(lists, nodes, None, wide, scratch, threshold, k)
+        have, there = audit(nodes, counts, wide, threshold)
         if have >= RECALL * there:
             break
+    else:  # the lists miss too much: every node is counted in blocks
+        edges, counts = _counted(lists, nodes, nodes.select("node", F.col("kind").alias("component")), wide, scratch, threshold, k)
 
-    labels = scratch.table(connected_components(both, scratch), "components")
-    full = both.where("full").select(F.col("a").alias("node")).distinct().join(labels, "node").select("component").distinct()
-    members = scratch.table(labels.join(full, "component", "left_semi"), "saturated")
-    counted = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("listed"))
-    in_blocks = links_in_blocks(members, nodes, wide, threshold)
-    per_node = nodes.select("node", "n").join(labels, "node", "left").join(counted, "node", "left").join(in_blocks, "node", "left")
-    per_node = per_node.select("node", F.coalesce("component", "node").alias("component"), (F.coalesce("links", "listed", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    labels = scratch.table(connected_components(edges, scratch), "components")
+    per_node = nodes.select("node", "n").join(labels, "node", "left").join(counts, "node", "left")
+    per_node = per_node.select("node", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     ids = rows.select("vec_id", "node")
     placed = scratch.table(ids.join(per_node, "node", "left"), "placed")
     least = placed.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
