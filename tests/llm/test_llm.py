@@ -189,6 +189,23 @@ def test_secrets_odd_rows_and_redaction(odd, none):
     assert secret_scan.scan(none, "doc_id", "source").count() == 0
 
 
+def test_secrets_are_judged_by_owners_and_repositories(spark):
+    """Copies in many repositories of one owner are examples, as are those of many owners; long candidates are found whole."""
+    wide, own, many, long = (f"ghp_{c * 30}" for c in "abcd")
+    long += "D" * 9000
+    mixed = "aB3" * 100
+    block = f"-----BEGIN PRIVATE KEY-----\n{'QUJD' * 3000}\n-----END PRIVATE KEY-----"
+    rows = [(k, wide, "one") for k in range(secret_scan.MOST_REPOSITORIES + 1)]
+    rows += [(100 + k, own, "one") for k in range(secret_scan.MOST_REPOSITORIES)]
+    rows += [(200 + k, many, f"owner{k}") for k in range(secret_scan.MOST_OWNERS + 1)]
+    rows += [(300, long, "one"), (301, mixed, "one"), (302, block, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("repository", F.col("doc_id"))
+    for r in secret_scan.scan(docs, "repository", "source").collect():
+        text = {k: t for k, t, _ in rows}[r["doc_id"]]
+        live = text not in (wide, many)
+        assert {(s["start"], s["end"]) for s in r["added"]} == ({(0, len(text))} if live else set()) and (r["n_examples"] == 0) == live, r["doc_id"]
+
+
 def test_decontamination_equals_brute_force(spark):
     passage = " ".join(f"q{k}" for k in range(30))
     docs = spark.createDataFrame([(1, "x " * 5 + passage.upper()), (2, " ".join(passage.split()[3:15])), (3, "a-b c"), (4, None), (5, " ".join(passage.split()[9:22]) + " y" * 400)], "doc_id long, text string")

@@ -3,9 +3,9 @@
 Base patterns (assignments, access keys, long hex runs) are found in every whole text, leftmost
 and without overlaps for each kind.  Wider candidate patterns (key blocks, vendor-prefixed
 tokens, signed web tokens, long mixed-case tokens) are judged by who holds them: a candidate's
-hash is counted over distinct repositories and owners in the whole corpus.  What one or two
-owners hold is taken for a live credential and its span is added; what many hold is a widely
-copied example and is left out.  Base spans always stay.
+hash is counted over distinct repositories and owners in the whole corpus.  What few owners
+hold in few repositories is taken for a live credential and its span is added; what many owners
+or many repositories hold is a widely copied example and is left out.  Base spans always stay.
 
 Positions are code points (end exclusive): a text is split at the matches, and the lengths of
 the pieces and matches between them give each match's place.
@@ -34,14 +34,14 @@ BASE = {
 }
 #: Wider candidates, kept only where ownership says so.
 CANDIDATES = {
-    "block": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----", 0, 40),
+    "block": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----", 0, 40),
     "vendor": (r"(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|ya29\.|npm_|hf_)[A-Za-z0-9_-]{16,}", 0, 20),
     "signed": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
-    "mixed": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[a-z])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])", 0, 32),
+    "mixed": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])", 0, 32),
 }
 ORDER = {kind: k for k, kind in enumerate([*BASE, *CANDIDATES])}
-#: A candidate that more owners hold is an example.
-MOST_OWNERS = 2
+#: A candidate that more owners hold, or that stands in more repositories, is an example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 8
 
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
@@ -73,7 +73,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repository: str, owner: str, most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str, owner: str, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Every row's doc_id, th (text hash), base and added spans, and how many candidates were live or examples.
 
     ``repository`` and ``owner`` name columns of ``docs``.
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, repository: str, owner: str, most_owners: int = MOST_O
     held = found.select("doc_id", "th", "repository", "owner", F.explode("wider").alias("w")).select("doc_id", "th", "repository", "owner", "w.span", "w.h").distinct()
     by_owner = held.select("h", "owner", "repository").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     frequency = by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = held.join(frequency, "h").select("doc_id", "th", "span", (F.col("owners") <= most_owners).alias("live"))
+    judged = held.join(frequency, "h").select("doc_id", "th", "span", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"))
     added = judged.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("live"), F.col("span"))).alias("added"), F.count_if(~F.col("live")).alias("n_examples"))
     out = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.th") == F.col("a.th")), "left")
     none = F.array().cast(f"array<{SPAN}>")
