@@ -167,6 +167,35 @@ def test_language_models_equal_brute_force(spark):
     assert joined == pytest.approx(got, rel=1e-5)
 
 
+@pytest.mark.parametrize("frequent", [0, 5, 10**6])
+def test_word_models_equal_brute_force(spark, odd, none, frequent):
+    texts = {1: "The cat sat  on the mat", 2: "the dog sat\ton the cat", 3: None, 4: "a cat cat cat", 5: "tac eht"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm_score.word_cross_entropy_difference(docs, docs.where("doc_id in (1, 4)").select("doc_id"), frequent).collect()}
+    split = {k: [None, *(t or "").lower().split()] for k, t in texts.items()}
+    size = len({w for t in split.values() for w in t[1:]})
+
+    def model(ids):
+        seen = [p for k in ids for p in zip(split[k], split[k][1:])]
+
+        def p(before, word):
+            one = [w for _, w in seen]
+            shorter = (one.count(word) + len(set(one)) / size) / (len(one) + len(set(one)))
+            after = [w for b, w in seen if b == before]
+            return (after.count(word) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
+
+        return p
+
+    target, background = model([1, 4]), model(texts)
+    for k, t in split.items():
+        score = np.mean([np.log(target(*p) / background(*p)) for p in zip(t, t[1:])]) if len(t) > 1 else 0
+        assert got[k][0] == len(t) - 1 and got[k][1] == pytest.approx(score, rel=1e-9)
+    if frequent == 5:
+        assert lm_score.word_cross_entropy_difference(odd, odd.where("doc_id = 4").select("doc_id")).count() == len(ODD)
+        assert lm_score.word_cross_entropy_difference(none, none.select("doc_id")).count() == 0
+        assert QUERIES["op8_lm_scoring"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("n_tokens <> size(regexp_extract_all(text, '[^ \\\\t-\\\\r]+', 0))").count() == 0
+
+
 def test_language_models_odd_rows(odd, none):
     assert lm_score.cross_entropy_difference(odd, odd.where("doc_id = 4").select("doc_id")).count() == len(ODD)
     assert lm_score.cross_entropy_difference(none, none.select("doc_id")).count() == 0

@@ -1,19 +1,23 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Tokens are the bytes of a text (A to Z lower-cased), so both models share one closed
-vocabulary of 256.  Both have the same order and smoothing (interpolated Witten-Bell down to the
-uniform distribution) and are counted in one pass: background from every document, target from
-the documents marked as wanted.  A document's score is the mean over its bytes of background
-loss minus target loss, in nats: above 0, the target model predicts it better.
+Tokens of ``word_cross_entropy_difference`` are the words of a text (runs of bytes that aren't
+white space, A to Z lower-cased), those of ``cross_entropy_difference`` its bytes.  Both models
+share one vocabulary: all words of the corpus, or the 256 bytes.  Both have the same order (word
+bigrams, byte 4-grams) and smoothing (interpolated Witten-Bell down to the uniform distribution)
+and are counted in one pass: background from every document, target from the documents marked
+as wanted.  A document's score is the mean over its tokens of background loss minus target
+loss, in nats: above 0, the target model predicts it better.
 
 Counting pre-aggregates in each task; the table of n-grams grows with the corpus and is never
-pruned.  For scoring, the table of loss differences is broadcast if it has at most
-``BROADCAST_GRAMS`` rows (12 bytes each), and joined with each document's n-grams beyond that.
-
-Defined cases: a null text is an empty one; empty texts score 0.  The first bytes have a start
-mark (byte 0) before them.  Without target documents every score is the background's loss
-against the uniform distribution.  Repeated documents count each time.  Any number of labels
-of a document counts as wanted if one is.  Empty tables give no rows.
+pruned.  For scoring, a document's bigrams are counted and joined with the table of loss
+differences; those of the most frequent ones (``FREQUENT`` at most) are broadcast and summed in
+the document's own task, so that none meets in one task.  For bytes, the table is broadcast if
+it has at most ``BROADCAST_GRAMS`` rows (12 bytes each), and joined beyond that.
+
+Defined cases: a null text is an empty one; empty texts score 0.  The first tokens have a start
+mark before them.  Without target documents every score is the background's loss against the
+uniform distribution.  Repeated documents count each time.  Any number of labels of a document
+counts as wanted if one is.  Empty tables give no rows.  Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.quality_classifier import fold
 from tidepool.llm.scratch import Scratch
-from tidepool.llm.text_arrays import LOWER, slices, sums_by_document, text_column
+from tidepool.llm.text_arrays import LOWER, WHITE_SPACE, mix64, slices, sums_by_document, text_column, word_hashes, words
 
 ORDER = 4
 BROADCAST_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 2_000_000
 VOCABULARY = 256
+#: Bigrams that are at least this part of all tokens are broadcast.
+FREQUENT = 200_000
 
 
 def grams(raw: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -163,9 +169,113 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, order: int = OR
     return score_documents(docs, loss_differences(counts, scratch, order), scratch, order)
 
 
+def bigrams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the word before (0 at a document's start), of the word and of both, and the document of each word."""
+    raw = LOWER[raw]
+    starts, ends, doc = words(raw, bounds, WHITE_SPACE)
+    word = word_hashes(raw, starts, ends)
+    before = np.zeros(len(word), np.uint64)
+    before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], np.uint64(0))
+    gram = mix64(mix64(before + np.uint64(1)) + word)
+    return before.view(np.int64), word.view(np.int64), gram.view(np.int64), doc
+
+
+def count_bigrams(docs: DataFrame) -> DataFrame:
+    """(gram, context, word, background, target) of ``docs`` (text and boolean wanted)."""
+    names = ["gram", "context", "word", "background", "target"]
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        gram, context, word, background, target = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, first, where = np.unique(gram, return_index=True, return_inverse=True)
+        return gram, context[first], word[first], *(np.bincount(where, weights=x, minlength=len(gram)).astype(np.int64) for x in (background, target))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            raw, bounds = text_column(batch.column(0))
+            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, last, part, where in slices(raw, bounds):
+                if not len(part):
+                    continue
+                context, word, gram, doc = bigrams(part, where)
+                parts.append(merged([(gram, context, word, np.ones(len(gram)), wanted[first:last][doc].astype(float))]))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=names)
+                        parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=names)
+
+    each = docs.select("text", "wanted").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return each.groupBy("gram", "context", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def bigram_differences(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(gram, background, delta): log probability by the target model minus that by the background model; and all tokens."""
+    sides = ("background", "target")
+    single = counts.groupBy("word").agg(*(F.sum(s).alias(f"{s}_1") for s in sides))
+    total = single.agg(F.count(F.lit(1)).alias("vocabulary"), *(F.coalesce(F.sum(f"{s}_1"), F.lit(0)).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(f"{s}_1") > 0).alias(f"{s}_t") for s in sides)).first()
+    after = counts.groupBy("context").agg(*(F.sum(s).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(s) > 0).alias(f"{s}_t") for s in sides))
+
+    def smoothed(count: Column, n: Column, kinds: Column, shorter: Column) -> Column:
+        return F.when(n + kinds > 0, (count + kinds * shorter) / (n + kinds)).otherwise(shorter)
+
+    uniform = F.lit(1.0 / max(total["vocabulary"], 1))
+    single = single.select("word", *(smoothed(F.col(f"{s}_1"), F.lit(total[f"{s}_n"]), F.lit(total[f"{s}_t"]), uniform).alias(f"{s}_p") for s in sides))
+    p = {s: smoothed(F.col(s), F.col(f"{s}_n"), F.col(f"{s}_t"), F.col(f"{s}_p")) for s in sides}
+    joined = counts.join(after, "context").join(single, "word")
+    return joined.select("gram", "background", F.log(p["target"] / p["background"]).alias("delta")), total["background_n"]
+
+
+def word_cross_entropy_difference(docs: DataFrame, wanted: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """As ``cross_entropy_difference``, by bigrams of words."""
+    scratch = Scratch(docs.sparkSession, "cross_entropy")
+    ids = wanted.where("doc_id is not null").select("doc_id").distinct().withColumn("wanted", F.lit(True))
+    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    differences, tokens = bigram_differences(scratch.table(count_bigrams(marked), "counts"))
+    deltas = scratch.table(differences, "deltas")
+    is_frequent = F.col("background") * frequent >= tokens
+    table = deltas.where(is_frequent).select("gram", "delta").orderBy("gram").toPandas()  # ``frequent`` rows at most
+    shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["delta"].to_numpy(np.float64)))
+    named = scratch.table(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, delta = shared.value
+        for batch in batches:
+            raw, bounds = text_column(batch.column(1))
+            rows = batch.column(0).to_numpy()
+            for first, last, part, where in slices(raw, bounds):
+                if not len(part):
+                    continue
+                _, _, gram, doc = bigrams(part, where)
+                at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+                hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                n = np.bincount(doc[hit], minlength=last - first)
+                total = np.bincount(doc[hit], weights=delta[at[hit]], minlength=last - first).astype(float)
+                some = np.flatnonzero(n)
+                # A document's frequent bigrams are one row, of a key that spreads.
+                yield pa.RecordBatch.from_arrays([pa.array(rows[first:last][some]), pa.array(mix64(rows[first:last][some]).view(np.int64)), pa.array(n[some]), pa.array(total[some])], names=["row", "gram", "n", "known"])
+                gram, doc = gram[~hit], doc[~hit]
+                if len(gram):
+                    by = np.lexsort((gram, doc))
+                    gram, doc = gram[by], doc[by]
+                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[first:last][doc[new]]), pa.array(gram[new]), pa.array(np.diff(np.append(new, len(gram)))), pa.nulls(len(new), pa.float64())], names=["row", "gram", "n", "known"])
+
+    each = named.select("row", "text").mapInArrow(split, "row long, gram long, n long, known double")
+    rest = deltas.where(~is_frequent).select("gram", "delta")
+    sums = each.join(rest, "gram", "left").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.coalesce("known", F.col("n") * F.col("delta"))).alias("total"))
+    out = named.select("row", "doc_id").join(sums, "row", "left")
+    n = F.coalesce("n_tokens", F.lit(0).cast("long"))
+    return out.select("doc_id", n.alias("n_tokens"), F.when(n > 0, F.col("total") / n).otherwise(0.0).alias("score"))
+
+
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents of label quality 1 outside the held-out fold (crc32 of the id modulo 3 is 1)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     wanted = labels.where((F.col("quality") == 1) & (fold("doc_id") != 1))
-    scored = cross_entropy_difference(docs, wanted)
+    scored = word_cross_entropy_difference(docs, wanted)
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "score")
