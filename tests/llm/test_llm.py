@@ -263,6 +263,13 @@ def test_packing_holds_every_token_once(spark, odd, none):
     assert packing.pack(none, packing.default_vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize(("histogram", "most"), [({682: 3000}, 1000), ({409: 5000}, 1000), ({1025: 1000, 1023: 1000}, 1000), ({682: 3000, 1900: 500, 1901: 400}, 1900)])
+def test_packing_takes_patterns_of_exact_lengths(histogram, most):
+    groups = packing.solve(histogram)
+    assert sum(count for _, count in groups) <= most * 1.01 and all(sum(lengths) <= 2048 for lengths, _ in groups)
+    assert {n: sum(lengths.count(n) * count for lengths, count in groups) for n in histogram} == histogram
+
+
 def test_quality_and_language_hold_out(spark):
     labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
     got = QUERIES["op6_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas().merge(labels, on="doc_id")

@@ -4,7 +4,7 @@ Token sequences of documents are cut into pieces of at most ``CAPACITY`` tokens.
 histogram of piece lengths (``CAPACITY`` numbers at most) reaches the driver.  There, the
 configuration program (as few sequences as cover all lengths) is solved by multiplicative
 weights: prices of lengths that are covered fall, and the best pattern for the prices is
-found by knapsack dynamic programming.  Its fractional solution is rounded down to whole
+found by knapsack dynamic programming over exact lengths.  Its fractional solution is rounded down to whole
 patterns of exact lengths, and what is left goes best fit into the remaining space.  The
 solution is a short table of runs (length, ranks, sequence, offset); each piece's rank among
 those of its length is found by Spark in two levels, so that no length's pieces meet in one
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tidepool.llm.scratch import Scratch
 
 CAPACITY = 2048
-#: Lengths are rounded up to this many tokens while the program is solved, and exact afterwards.
+#: Lengths are rounded up to this many tokens in the second, coarser program, which settles in fewer steps.
 GRID = 16
 #: Pieces below this length are not in the program: they fill what its patterns leave.
 SAND = 48
@@ -81,6 +81,29 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return source.mapInArrow(run, schema)
 
 
+def best_pattern(ascending: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is taken by the most valuable pattern that fits: an unbounded knapsack."""
+    # A size that isn't dearer than all smaller ones is in no better pattern than these.
+    dearer = np.ones(len(price), bool)
+    dearer[1:] = price[1:] > np.maximum.accumulate(price)[:-1]
+    kept = np.flatnonzero(dearer)
+    size, gain = ascending[kept], price[kept]
+    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    least = int(size[0])
+    for a in range(least, capacity + 1, least):  # no capacity of a run depends on another one of it
+        c = np.arange(a, min(a + least, capacity + 1))
+        m = int(np.searchsorted(size, c[-1], side="right"))
+        rest = c[:, None] - size[None, :m]
+        total = np.where(rest >= 0, value[rest] + gain[:m], -1.0)
+        choice[c] = total.argmax(axis=1)
+        value[c] = total[np.arange(len(c)), choice[c]]
+    pattern, c = np.zeros(len(ascending), np.int64), capacity
+    while c > 0 and choice[c] >= 0:
+        pattern[kept[choice[c]]] += 1
+        c -= int(size[choice[c]])
+    return pattern
+
+
 def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Patterns (counts of each size) and how often each is used, fractionally, to cover ``demand``.
 
@@ -90,22 +113,12 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int)
     k = len(sizes)
     order = np.argsort(sizes)
     ascending = sizes[order]
-    allowed = np.searchsorted(ascending, np.arange(capacity + 1), side="right")
     log_weight, covered = np.zeros(k), np.zeros(k)
     used: dict[bytes, float] = defaultdict(float)
     for _ in range(STEPS):
         price = np.exp(log_weight - log_weight.max()) / demand
-        value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        ordered = price[order]
-        for c in range(int(ascending[0]), capacity + 1):
-            m = allowed[c]
-            gain = value[c - ascending[:m]] + ordered[:m]
-            best = int(gain.argmax())
-            value[c], choice[c] = gain[best], best
-        pattern, c = np.zeros(k, np.int64), capacity
-        while c > 0 and choice[c] >= 0:
-            pattern[order[choice[c]]] += 1
-            c -= int(ascending[choice[c]])
+        pattern = np.zeros(k, np.int64)
+        pattern[order] = best_pattern(ascending, price[order], capacity)
         inside = pattern > 0
         step = float((demand[inside] / pattern[inside]).min())
         used[pattern.tobytes()] += step
@@ -120,14 +133,21 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int)
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Groups of equal sequences (lengths, how many) that hold every piece of the histogram exactly once."""
+    """Groups of equal sequences (lengths, how many) that hold every piece of the histogram exactly once.
+
+    The fewer sequences of two programs: over exact lengths, and over lengths rounded up to ``GRID``.
+    """
+    return min((_solve(histogram, capacity, grid) for grid in (1, GRID)), key=lambda groups: sum(count for _, count in groups))
+
+
+def _solve(histogram: dict[int, int], capacity: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     spaces: dict[int, list[list]] = defaultdict(list)  # space left -> [lengths, count]
     classes: dict[int, list[int]] = defaultdict(list)
     for n in sorted(left):
         if n >= min(SAND, capacity):
-            classes[-(-n // GRID)].append(n)
-    units = -(-capacity // GRID)
+            classes[-(-n // grid)].append(n)
+    units = capacity // grid
     sizes = np.array(sorted(u for u in classes if u <= units), np.int64)
     if len(sizes):
         demand = np.array([sum(left[n] for n in classes[int(u)]) for u in sizes], float)
