@@ -130,3 +130,22 @@ def test_pages_and_validation_edges(spark):
     rows = spark.createDataFrame([(1, 1, 1, 2), (3, 1, 1, 2), (3, 1, 1, 2), (4, 1, 1, 3), (5, 1, 3, 2), (6, 1, 1, 2)], "chain long, pool_id long, token0 long, token1 long")
     got = {r["chain"]: r["outcome"] for r in checks.validate(asked, rows, 1, 2).collect()}
     assert got == {1: "bad_amount", 2: "empty", 3: "duplicate", 4: "no_output", 5: "no_source", 6: "ok", 7: "bad_amount"}
+
+
+def test_two_core_query_takes_all_pools(spark):
+    from tidepool.plans import catalog
+    from tidepool.sources import market
+
+    d = "/root/testdata/sf0.01"
+    pools = [(r["pool_id"], r["token0"], r["token1"]) for r in market.pools(spark, d).collect()]
+    left = [p for p in pools if p[1] != p[2]]
+    while True:
+        ends = [t for p in left for t in p[1:]] + [1, 5]
+        kept = [p for p in left if ends.count(p[1]) > 1 and ends.count(p[2]) > 1]
+        if len(kept) == len(left):
+            break
+        left = kept
+    ends = {t for p in left for t in p[1:]}
+    expected = left if {1, 5} <= ends else pools
+    got = catalog.QUERIES["routing_2core"](spark, d).collect()
+    assert sorted(r["pool_id"] for r in got) == sorted(p[0] for p in expected) and any(r["pool_id"] % 4 for r in got)

@@ -270,7 +270,7 @@ def _route_edges(spark, d):
 
 @query()
 def routing_2core(spark, d):
-    return routing.two_core(_route_edges(spark, d), 1, 5)
+    return routing.two_core(M.pools(spark, d).select("pool_id", "token0", "token1"), 1, 5)
 
 
 @query(", g AS (SELECT token0 AS a, token1 AS b FROM pools WHERE pool_id % 4 = 0 UNION SELECT token1, token0 FROM pools WHERE pool_id % 4 = 0), w AS (SELECT 1::BIGINT AS token, 0::BIGINT AS hops UNION SELECT b, hops + 1 FROM w JOIN g ON a = token WHERE hops < 25) SELECT token, min(hops) AS hops FROM w GROUP BY token")
