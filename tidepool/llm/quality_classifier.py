@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.llm.scratch import Scratch
 from tidepool.llm.text_arrays import LOWER, WHITE_SPACE, shingle_hashes, slices, sums_by_document, text_column, word_hashes, words
 
 STATISTICS = (
@@ -138,8 +139,8 @@ def fit_from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pool
     return Discriminant(mean, inverse, log_det, np.log(n / n.sum()))
 
 
-def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.05) -> Discriminant:
-    """Fit on every row of ``labelled`` (columns ``text`` and ``label``)."""
+def fit(rows: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.05) -> Discriminant:
+    """Fit on every row of ``rows`` (columns ``stats`` and ``label``)."""
     width = len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.05)
         if total:
             yield pa.RecordBatch.from_pydict({"label": pa.array(list(total), pa.int32()), "sums": [[v[0], *v[1], *v[2].ravel()] for v in total.values()]})
 
-    each = with_statistics(labelled.where("label in (0, 1)"), "label").mapInArrow(run, "label int, sums array<double>")
+    each = rows.where("label in (0, 1)").select("label", "stats").mapInArrow(run, "label int, sums array<double>")
     parts = each.select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("v"))
     sums: dict[int, tuple] = {}
     flat: dict[int, np.ndarray] = {}
@@ -168,17 +169,15 @@ def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.05)
     return fit_from_sums(sums, to_pooled, to_identity)
 
 
-def score(docs: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
-    """The columns ``keep`` with ``score`` and ``predicted`` of every row of ``docs``."""
-    names = list(keep)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", T.IntegerType())
+def score(rows: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
+    """The columns ``keep`` with ``score`` and ``predicted`` of every row of ``rows`` (column ``stats``)."""
+    names, width = list(keep), len(STATISTICS)
+    source = rows.select(*keep, "stats")
+    schema = source.select(*keep).schema.add("score", "double").add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = text_column(batch.column("__text"))
-            parts = [model.score(statistics(part, where)) for _, _, part, where in slices(raw, bounds)]
-            p = np.concatenate(parts) if parts else np.zeros(0)
+            p = model.score(np.array(batch.column("stats").flatten()).reshape(-1, width))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return source.mapInArrow(run, schema)
@@ -189,19 +188,19 @@ def fold(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on the labelled rows outside the held-out fold.
+def fit_quality(rows: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fit on the labelled ones of ``rows`` (doc_id and stats) outside the held-out fold.
 
-    The ids of the labelled rows are joined to the texts; adaptive execution broadcasts them
-    if they are few and otherwise sorts and splits the join.
+    The join carries ids and statistics, some 150 bytes a document, and no texts.
     """
     label = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
     learn = label.where(fold("doc_id") != 1)
-    return fit(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(learn, "doc_id").select("text", "label"))
+    return fit(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "stats").join(learn, "doc_id"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Texts are read once: their statistics are written, fitted on and scored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs, model, "doc_id")
+    rows = Scratch(spark, "quality").table(with_statistics(docs, "doc_id"), "statistics")
+    scored = score(rows, fit_quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", "predicted")
