@@ -139,66 +139,37 @@ def test_zip64_directory(wide, monkeypatch):
         warc_zip.central_directory(io.BytesIO(b"nothing"), 7)
 
 
-def test_language_models_equal_brute_force(spark):
-    docs = spark.createDataFrame([(1, "Aba cab"), (2, "abab"), (3, None), (4, "zzz")], "doc_id long, text string")
-    scratch = Scratch(spark, "test_lm")
-    got = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(docs, docs.where("doc_id in (1, 4)").select("doc_id"), order=3).collect()}
-
-    def model(texts):
-        def p(gram, n):
-            if n == 0:
-                return 1 / 256
-            seen = [g[-n:] for t in texts for g in grams(t)]
-            after = [g for g in seen if g[:-1] == gram[-n:][:-1]]
-            shorter = p(gram, n - 1)
-            return (seen.count(gram[-n:]) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
-
-        return p
-
-    grams = lambda t: [b for b in (("\0\0" + t.lower())[k : k + 3] for k in range(len(t)))]
-    texts = ["Aba cab", "abab", "zzz"]
-    target, background = model([texts[0], texts[2]]), model(texts)
-    for doc, text in zip((1, 2, 4), texts, strict=True):
-        assert got[doc] == pytest.approx(np.mean([np.log(target(g, 3) / background(g, 3)) for g in grams(text)]), rel=1e-5)
-    assert got[3] == 0
-    marked = docs.withColumn("wanted", F.col("doc_id").isin(1, 4))
-    deltas = lm_score.loss_differences(scratch.table(lm_score.count_grams(marked, 3), "c"), scratch, 3)
-    joined = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, deltas, scratch, 3, most=0).collect()}
-    assert joined == pytest.approx(got, rel=1e-5)
-
-
-@pytest.mark.parametrize("frequent", [0, 5, 10**6])
-def test_word_models_equal_brute_force(spark, odd, none, frequent):
-    texts = {1: "The cat sat  on the mat", 2: "the dog sat\ton the cat", 3: None, 4: "a cat cat cat", 5: "tac eht"}
+@pytest.mark.parametrize(("batch_bytes", "range_keys"), [(1 << 20, 10**6), (1, 3)])
+def test_word_models_equal_brute_force(spark, odd, none, batch_bytes, range_keys):
+    texts = {1: "The cat sat  on the mat", 2: "the dog sat\ton the cat", 3: None, 4: "a cat cat cat", 5: "tac eht", 6: "the dog sat on the cat"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm_score.word_cross_entropy_difference(docs, docs.where("doc_id in (1, 4)").select("doc_id"), frequent).collect()}
-    split = {k: [None, *(t or "").lower().split()] for k, t in texts.items()}
-    size = len({w for t in split.values() for w in t[1:]})
+    labels = spark.createDataFrame([(1,), (4,), (4,), (None,), (99,)], "doc_id long")
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm_score.word_cross_entropy_difference(docs, labels, batch_bytes, range_keys).collect()}
+    split = {k: [None, *t.lower().split(), None] for k, t in texts.items() if t}
+    vocabulary = {w for t in split.values() for w in t}
 
     def model(ids):
         seen = [p for k in ids for p in zip(split[k], split[k][1:])]
 
         def p(before, word):
             one = [w for _, w in seen]
-            shorter = (one.count(word) + len(set(one)) / size) / (len(one) + len(set(one)))
-            after = [w for b, w in seen if b == before]
-            return (after.count(word) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
+            single = (one.count(word) + len(set(one)) / len(vocabulary)) / (len(one) + len(set(one)))
+            return (seen.count((before, word)) + lm_score.STRENGTH * single) / (sum(b == before for b, _ in seen) + lm_score.STRENGTH)
 
         return p
 
-    target, background = model([1, 4]), model(texts)
+    target, background = model([1, 4]), model(split)
+    assert sum(target("cat", w) for w in vocabulary) == pytest.approx(1)
     for k, t in split.items():
-        score = np.mean([np.log(target(*p) / background(*p)) for p in zip(t, t[1:])]) if len(t) > 1 else 0
-        assert got[k][0] == len(t) - 1 and got[k][1] == pytest.approx(score, rel=1e-9)
-    if frequent == 5:
-        assert lm_score.word_cross_entropy_difference(odd, odd.where("doc_id = 4").select("doc_id")).count() == len(ODD)
+        assert got[k][0] == len(t) - 2 and got[k][1] == pytest.approx(np.mean([np.log(target(*p) / background(*p)) for p in zip(t, t[1:])]), rel=1e-9)
+    assert got[3] == (0, 0) and got[6] == got[2]
+    if range_keys > 3:
+        rows = lm_score.word_cross_entropy_difference(odd, odd.where("doc_id = 4").select("doc_id")).collect()
+        assert len(rows) == len(ODD) and len({r["score"] for r in rows if r["n_tokens"] == 30_000}) == 1 and all(r["score"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
+        assert all(np.isfinite(r["score"]) for r in lm_score.word_cross_entropy_difference(odd, none.select("doc_id")).collect())
         assert lm_score.word_cross_entropy_difference(none, none.select("doc_id")).count() == 0
-        assert QUERIES["op8_lm_scoring"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("n_tokens <> size(regexp_extract_all(text, '[^ \\\\t-\\\\r]+', 0))").count() == 0
-
-
-def test_language_models_odd_rows(odd, none):
-    assert lm_score.cross_entropy_difference(odd, odd.where("doc_id = 4").select("doc_id")).count() == len(ODD)
-    assert lm_score.cross_entropy_difference(none, none.select("doc_id")).count() == 0
+        counted = QUERIES["op8_lm_scoring"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+        assert counted.where("n_tokens <> size(regexp_extract_all(text, '[^ \\\\t-\\\\r]+', 0))").count() == 0
 
 
 def test_secrets_equal_brute_force(spark):
@@ -281,10 +252,34 @@ def test_quality_and_language_hold_out(spark):
     assert (lang.lang_pred == lang.lang).mean() > 0.95 and lang.score.between(0, 1).all()
 
 
-def test_quality_odd_rows(spark, odd, none):
-    model = quality_classifier.fit_quality(odd, spark.createDataFrame([(4, 1), (None, 0)], "doc_id long, quality int"))
-    assert quality_classifier.score(odd, model, "doc_id").count() == len(ODD)
-    assert quality_classifier.score(none, model, "doc_id").count() == 0
+def test_quality_equals_plain_gaussians(spark, odd, none):
+    """The fit from distributed sums and the scores against densities written out with NumPy."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).union(spark.createDataFrame([(900 + k, "", "en", "a", 0) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = quality_classifier.with_statistics(docs, "doc_id").cache()
+    x = {r["doc_id"]: np.array(r["stats"]) for r in rows.collect()}
+    labels = [(k, int(k % 4 == 0)) for k in x] + [(next(iter(x)), 1), (None, 1), (10**9, 0)]
+    model = quality_classifier.fit_quality(rows, spark.createDataFrame(labels, "doc_id long, quality int"))
+    learn = [(k, y) for k, y in labels if k in x and zlib.crc32(str(k).encode()) % 3 != 1]
+    own = [np.array([x[k] for k, y in learn if y == c]) for c in (0, 1)]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) * c for o, c in zip(own, cov, strict=True)) / len(learn)
+    cov = [0.9 * c + 0.1 * pooled + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-6)) for c in cov]
+
+    def density(c, v):
+        d = v - own[c].mean(0)
+        return -0.5 * (d @ np.linalg.solve(cov[c], d) + np.linalg.slogdet(cov[c])[1]) + np.log(len(own[c]) / len(learn))
+
+    for r in quality_classifier.score(rows, model, "doc_id").collect():
+        p = 1 / (1 + np.exp(np.clip(density(0, x[r["doc_id"]]) - density(1, x[r["doc_id"]]), -700, 700)))
+        assert r["score"] == pytest.approx(p, rel=1e-6, abs=1e-12) and r["predicted"] == int(r["score"] >= 0.5)
+    assert all((x[900 + k] == 0).all() for k in range(3))
+
+    stats = quality_classifier.with_statistics(odd, "doc_id", "node")
+    model = quality_classifier.fit_quality(stats, spark.createDataFrame([*((k, 1) for k in range(1, 7)), (None, 0)], "doc_id long, quality int"))
+    got = quality_classifier.score(stats, model, "doc_id", "node").collect()
+    assert len(got) == len(ODD) and {r["score"] for r in got} == {1.0} and {r["node"] for r in got} == {"clash"}
+    empty = quality_classifier.with_statistics(none, "doc_id")
+    assert quality_classifier.score(empty, quality_classifier.fit_quality(empty, spark.createDataFrame([], "doc_id long, quality int")), "doc_id").count() == 0
 
 
 def test_urls(spark):

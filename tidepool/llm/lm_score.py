@@ -1,276 +1,212 @@
-"""Cross-entropy difference of matched target and background n-gram models.
-
-Tokens of ``word_cross_entropy_difference`` are the words of a text (runs of bytes that aren't
-white space, A to Z lower-cased), those of ``cross_entropy_difference`` its bytes.  Both models
-share one vocabulary: all words of the corpus, or the 256 bytes.  Both have the same order (word
-bigrams, byte 4-grams) and smoothing (interpolated Witten-Bell down to the uniform distribution)
-and are counted in one pass: background from every document, target from the documents marked
-as wanted.  A document's score is the mean over its tokens of background loss minus target
-loss, in nats: above 0, the target model predicts it better.
-
-Counting pre-aggregates in each task; the table of n-grams grows with the corpus and is never
-pruned.  For scoring, a document's bigrams are counted and joined with the table of loss
-differences; those of the most frequent ones (``FREQUENT`` at most) are broadcast and summed in
-the document's own task, so that none meets in one task.  For bytes, the table is broadcast if
-it has at most ``BROADCAST_GRAMS`` rows (12 bytes each), and joined beyond that.
-
-Defined cases: a null text is an empty one; empty texts score 0.  The first tokens have a start
-mark before them.  Without target documents every score is the background's loss against the
-uniform distribution.  Repeated documents count each time.  Any number of labels of a document
-counts as wanted if one is.  Empty tables give no rows.  Words are known by 64-bit hashes.
+"""Cross-entropy difference of matched target and background word-bigram models.
+
+Tokens are the words of a text (runs of bytes that aren't white space, A to Z lower-cased) and
+a mark at its end; the same mark stands before its first word.  Both models share one
+vocabulary, all words of the corpus and the mark, and the same smoothing: a bigram's
+probability is a Dirichlet prior's mean (``STRENGTH`` tokens of the word's own probability), a
+word's is interpolated with the uniform distribution by Witten and Bell.  The background is
+counted over every document, held-out ones included; the target over those marked as wanted.
+A document's score is the mean over its tokens of background loss minus target loss, in
+nats: above 0, the target model predicts it better.
+
+Counts cover all n-grams, none is pruned, and the tables grow with the corpus.  Texts are read
+once, in batches of about ``BATCH_BYTES``, whose words are written as indices into the batch's
+sorted word hashes.  A batch asks for the counts of its distinct words and bigrams, in
+squeezed arrays dealt by ranges of the hash; each range is summed over all batches in one
+task (about ``RANGE_KEYS`` of the batches' distinct n-grams) and answered.  So an n-gram
+that every document holds comes once from each batch, and no document's n-grams are rows.
+
+Defined cases: a null text is an empty one; empty texts score 0 and are not counted.  Without
+target documents the target model is the uniform one.  Repeated documents count each time.
+Any number of labels of a document counts as wanted if one is.  Empty tables give no rows.
+Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.llm.quality_classifier import fold
 from tidepool.llm.scratch import Scratch
-from tidepool.llm.text_arrays import LOWER, WHITE_SPACE, mix64, slices, sums_by_document, text_column, word_hashes, words
-
-ORDER = 4
-BROADCAST_GRAMS = 4_000_000
-#: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 2_000_000
-VOCABULARY = 256
-#: Bigrams that are at least this part of all tokens are broadcast.
-FREQUENT = 200_000
-
-
-def grams(raw: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Each byte with the ``order`` - 1 bytes before it in its document, as one number."""
-    raw = LOWER[raw]
-    at = np.arange(len(raw)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = raw.astype(np.uint64)
-    for j in range(1, order):
-        before = np.zeros(len(raw), np.uint64)
-        before[j:] = raw[:-j]
-        before[at < j] = 0
-        out |= before << np.uint64(8 * j)
-    return out
-
-
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, background, target) of ``docs`` (text and boolean wanted)."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gram, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return gram, *(np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(gram)) for k in (1, 2))
-
-    def batch_of(gram: np.ndarray, background: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (gram, background, target)], names=["gram", "background", "target"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            raw, bounds = text_column(batch.column(0))
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, part, where in slices(raw, bounds):
-                if not len(part):
-                    continue
-                g = grams(part, where, order)
-                flag = np.repeat(wanted[first:last], np.diff(where))
-                all_g, n = np.unique(g, return_counts=True)
-                some, m = np.unique(g[flag], return_counts=True)
-                target = np.zeros(len(all_g))
-                target[np.searchsorted(all_g, some)] = m
-                parts.append((all_g, n.astype(float), target))
-                held += len(all_g)
-                if held > HELD:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield batch_of(*parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield batch_of(*merged(parts))
+from tidepool.llm.text_arrays import LOWER, WHITE_SPACE, mix64, slices, text_column, word_hashes, words
+
+BATCH_BYTES, RANGE_KEYS = 8 << 20, 2_000_000
+#: Weight of a word's own probability in that of a bigram, in tokens.
+STRENGTH = 2.0
+_U = np.uint64
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: planes of leading zeros take no space."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def loosen(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=_U(0)))
 
-    each = docs.select("text", "wanted").mapInArrow(run, "gram long, background long, target long")
-    return each.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+def loosen_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(loosen(data, _U), dtype=_U)
 
-def loss_differences(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
-    """(gram, delta): log probability by the target model minus that by the background model.
 
-    Shorter n-grams' counts are sums of the longer ones', so one table serves all orders.
+def batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(batch, ids, n, vocabulary, tokens, sizes): documents' words as indices into the batch's word hashes.
+
+    ``n``: tokens, ends included; ``sizes``: words of each document.  Each document that has
+    words is followed by the mark of hash 0.
     """
-    sides = ("background", "target")
-    suffix = lambda n: F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
-    levels = [counts.groupBy(suffix(n).alias("gram")).agg(*(F.sum(s).alias(s) for s in sides)) for n in range(1, order)] + [counts]
-    known: DataFrame | None = None
-    for n, level in enumerate(levels, 1):
-        context = F.shiftright("gram", 8)
-        after = level.groupBy(context.alias("context")).agg(*(F.sum(s).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(s) > 0).alias(f"{s}_t") for s in sides))
-        rows = level.withColumn("context", context).join(after, "context")
-        if known is None:
-            rows = rows.withColumns({f"{s}_p": F.lit(1.0 / VOCABULARY) for s in sides})
-        else:
-            rows = rows.withColumn("shorter", suffix(n - 1)).join(known.withColumnRenamed("gram", "shorter"), "shorter")
-
-        def probability(s: str) -> Column:
-            total = F.col(f"{s}_n") + F.col(f"{s}_t")
-            return F.when(total > 0, (F.col(s) + F.col(f"{s}_t") * F.col(f"{s}_p")) / total).otherwise(F.col(f"{s}_p"))
-
-        known = scratch.table(rows.select("gram", *(probability(s).alias(f"{s}_p") for s in sides)), f"order{n}")
-    return known.select("gram", F.log(F.col("target_p") / F.col("background_p")).alias("delta"))
-
-
-def score_documents(docs: DataFrame, deltas: DataFrame, scratch: Scratch, order: int = ORDER, most: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, n_tokens and score of every row of ``docs``."""
     source = docs.select("doc_id", "text")
-    schema = source.select("doc_id").schema.add("n_tokens", "long").add("score", "double")
-    if deltas.count() <= most:
-        table = deltas.orderBy("gram").toPandas()  # ``most`` rows at most
-        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["delta"].to_numpy(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, delta = shared.value
-            for batch in batches:
-                raw, bounds = text_column(batch.column(1))
-                for first, last, part, where in slices(raw, bounds):
-                    n = np.diff(where)
-                    value = delta[np.searchsorted(known, grams(part, where, order).astype(np.int64))] if len(part) else np.zeros(0)
-                    total = sums_by_document(value, where)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(total / np.maximum(n, 1))], names=schema.names)
-
-        return source.mapInArrow(run, schema)
-
-    named = scratch.table(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    fields = [T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(source.schema["doc_id"].dataType)), T.StructField("n", T.LongType())]
+    schema = T.StructType([*fields, *(T.StructField(c, T.BinaryType()) for c in ("vocabulary", "tokens", "sizes"))])
+
+    def hashed(part: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = LOWER[part]
+        starts, ends, doc = words(raw, where, WHITE_SPACE)
+        size = np.bincount(doc, minlength=len(where) - 1)
+        ends_at = np.cumsum(size)[size > 0]
+        return np.insert(word_hashes(raw, starts, ends) | _U(1), ends_at, _U(0)), size
+
+    def row(k: int, ids: list, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        vocabulary, index = np.unique(token, return_inverse=True)
+        ids = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([len(token)]),
+                *(pa.array([x], pa.binary()) for x in (squeeze_sorted(vocabulary), squeeze(index.astype(np.uint32)), squeeze(size.astype(np.uint32)))),
+            ],
+            names=schema.names,
+        )
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, ids, parts, held = 0, [], [], 0
+        for batch in rows:
             raw, bounds = text_column(batch.column(1))
             for first, last, part, where in slices(raw, bounds):
-                row = np.repeat(batch.column(0).to_numpy()[first:last], np.diff(where))
-                g = grams(part, where, order).astype(np.int64)
-                by = np.lexsort((g, row))
-                row, g = row[by], g[by]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(g[new]), pa.array(np.diff(np.append(new, len(g))))], names=["row", "gram", "n"])
-
-    each = named.select("row", "text").mapInArrow(split, "row long, gram long, n long")
-    sums = each.join(deltas, "gram").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("delta").cast("float").cast("double")).alias("total"))
-    out = named.select("row", "doc_id").join(sums, "row", "left")
-    n = F.coalesce("n_tokens", F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_tokens"), F.coalesce(F.col("total") / n, F.lit(0.0)).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_tokens and score of every row of ``docs``; ``wanted`` has the doc_ids of the target corpus."""
-    scratch = Scratch(docs.sparkSession, "cross_entropy")
-    ids = wanted.where("doc_id is not null").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = scratch.table(count_grams(marked, order), "counts")
-    return score_documents(docs, loss_differences(counts, scratch, order), scratch, order)
-
-
-def bigrams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the word before (0 at a document's start), of the word and of both, and the document of each word."""
-    raw = LOWER[raw]
-    starts, ends, doc = words(raw, bounds, WHITE_SPACE)
-    word = word_hashes(raw, starts, ends)
-    before = np.zeros(len(word), np.uint64)
-    before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], np.uint64(0))
-    gram = mix64(mix64(before + np.uint64(1)) + word)
-    return before.view(np.int64), word.view(np.int64), gram.view(np.int64), doc
-
-
-def count_bigrams(docs: DataFrame) -> DataFrame:
-    """(gram, context, word, background, target) of ``docs`` (text and boolean wanted)."""
-    names = ["gram", "context", "word", "background", "target"]
-
-    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        gram, context, word, background, target = (np.concatenate(x) for x in zip(*parts, strict=True))
-        gram, first, where = np.unique(gram, return_index=True, return_inverse=True)
-        return gram, context[first], word[first], *(np.bincount(where, weights=x, minlength=len(gram)).astype(np.int64) for x in (background, target))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            raw, bounds = text_column(batch.column(0))
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, part, where in slices(raw, bounds):
-                if not len(part):
-                    continue
-                context, word, gram, doc = bigrams(part, where)
-                parts.append(merged([(gram, context, word, np.ones(len(gram)), wanted[first:last][doc].astype(float))]))
-                held += len(parts[-1][0])
-                if held > HELD:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=names)
-                        parts, held = [], 0
+                ids.append(batch.column(0).slice(first, last - first))
+                parts.append(hashed(part, where))
+                held += len(part)
+                if held >= batch_bytes:
+                    yield row(k, ids, parts)
+                    k, ids, parts, held = k + 1, [], [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=names)
+            yield row(k, ids, parts)
+
+    return source.mapInArrow(run, schema)
+
+
+class Batch:
+    """One row of ``batches`` (with ``wanted``, positions of documents), taken apart."""
+
+    def __init__(self, row: dict):
+        self.vocabulary, self.token, self.sizes = loosen_sorted(row["vocabulary"]), loosen(row["tokens"], np.uint32), loosen(row["sizes"], np.uint32).astype(np.int64)
+        length = np.where(self.sizes > 0, self.sizes + 1, 0)
+        self.doc = np.repeat(np.arange(len(length)), length)
+        flags = np.zeros(len(length), bool)
+        flags[row["wanted"] or []] = True
+        self.wanted = flags[self.doc]
+        # The mark, index 0, stands before each document's first word: the token before that is its predecessor's mark.
+        before = np.concatenate([[0], self.token[:-1]]).astype(np.uint64) if len(self.token) else np.zeros(0, _U)
+        pair = before << _U(32) | self.token
+        pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.before, self.word = (pairs >> _U(32)).astype(np.int64), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
+        self.gram = mix64(mix64(self.vocabulary[self.before] + _U(1)) + self.vocabulary[self.word])
+        self.order = np.argsort(self.gram)
+
+
+def _asks(marked: DataFrame, level: str, ranges: int) -> DataFrame:
+    """(range, batch, keys, background, target) of each batch's distinct words or bigrams."""
+    upper = np.array([(k << 64) // ranges for k in range(1, ranges)], _U)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for row in some.to_pylist():
+                b = Batch(row)
+                index, keys = (b.token, b.vocabulary) if level == "word" else (b.pair, b.gram[b.order])
+                n, m = np.bincount(index, minlength=len(keys)), np.bincount(index[b.wanted], minlength=len(keys))
+                if level == "bigram":
+                    n, m = n[b.order], m[b.order]
+                cut = [0, *np.searchsorted(keys, upper), len(keys)]
+                for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    if lo < hi:
+                        yield pa.RecordBatch.from_pylist([{"range": k, "batch": row["batch"], "keys": squeeze_sorted(keys[lo:hi]), "background": squeeze(n[lo:hi].astype(np.uint32)), "target": squeeze(m[lo:hi].astype(np.uint32))}])
+
+    return marked.select("batch", "vocabulary", "tokens", "sizes", "wanted").mapInArrow(run, "range long, batch long, keys binary, background binary, target binary")
+
+
+def _answers(asks: DataFrame, level: str) -> DataFrame:
+    """(level, range, batch, background, target): the asked keys' counts over all batches, in the same order.
+
+    kinds, target_kinds and the sums n and target_n of a range stand in one of its rows.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = [loosen_sorted(k) for k in group.column("keys").to_pylist()]
+        unique, where = np.unique(np.concatenate(keys), return_inverse=True)
+        cut, out = np.cumsum([len(k) for k in keys])[:-1], {}
+        for side in ("background", "target"):
+            total = np.bincount(where, weights=np.concatenate([loosen(x, np.uint32) for x in group.column(side).to_pylist()]), minlength=len(unique)).astype(_U)
+            out[side] = [squeeze(x) for x in np.split(total[where], cut)]
+            out[f"{side}_n"], out[f"{side}_kinds"] = int(total.sum()), int((total > 0).sum())
+        once = lambda x: [x] + [0] * (len(keys) - 1)
+        return pa.table({"level": [level] * len(keys), "range": group.column("range"), "batch": group.column("batch"), "background": out["background"], "target": out["target"], **{name: once(out[name]) for name in _TOTALS}})
 
-    each = docs.select("text", "wanted").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return each.groupBy("gram", "context", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return asks.groupBy("range").applyInArrow(run, "level string, range long, batch long, background binary, target binary, " + ", ".join(f"{t} long" for t in _TOTALS))
 
 
-def bigram_differences(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(gram, background, delta): log probability by the target model minus that by the background model; and all tokens."""
-    sides = ("background", "target")
-    single = counts.groupBy("word").agg(*(F.sum(s).alias(f"{s}_1") for s in sides))
-    total = single.agg(F.count(F.lit(1)).alias("vocabulary"), *(F.coalesce(F.sum(f"{s}_1"), F.lit(0)).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(f"{s}_1") > 0).alias(f"{s}_t") for s in sides)).first()
-    after = counts.groupBy("context").agg(*(F.sum(s).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(s) > 0).alias(f"{s}_t") for s in sides))
+_TOTALS = ("background_n", "background_kinds", "target_n", "target_kinds")
 
-    def smoothed(count: Column, n: Column, kinds: Column, shorter: Column) -> Column:
-        return F.when(n + kinds > 0, (count + kinds * shorter) / (n + kinds)).otherwise(shorter)
 
-    uniform = F.lit(1.0 / max(total["vocabulary"], 1))
-    single = single.select("word", *(smoothed(F.col(f"{s}_1"), F.lit(total[f"{s}_n"]), F.lit(total[f"{s}_t"]), uniform).alias(f"{s}_p") for s in sides))
-    p = {s: smoothed(F.col(s), F.col(f"{s}_n"), F.col(f"{s}_t"), F.col(f"{s}_p")) for s in sides}
-    joined = counts.join(after, "context").join(single, "word")
-    return joined.select("gram", "background", F.log(p["target"] / p["background"]).alias("delta")), total["background_n"]
+def _scores(marked: DataFrame, answers: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """doc_id, n_tokens and score of every document."""
+    schema = T.StructType([T.StructField("doc_id", marked.schema["ids"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
+    uniform = 1 / max(totals["background_kinds"], 1)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        b, loss = Batch(left.drop_columns(["ids"]).to_pylist()[0]), []
+        rows = sorted(right.select(["level", "range", "background", "target"]).to_pylist(), key=lambda r: r["range"])
+        for side in ("background", "target"):
+            counts = {level: np.concatenate([np.zeros(0), *(loosen(r[side], _U) for r in rows if r["level"] == level)]) for level in ("word", "bigram")}
+            n, kinds = totals[f"{side}_n"], totals[f"{side}_kinds"]
+            word = (counts["word"] + kinds * uniform) / (n + kinds) if n else np.full(len(counts["word"]), uniform)
+            gram = np.zeros(len(b.gram))
+            gram[b.order] = counts["bigram"]
+            # The mark counts as a context as often as it ends a text, and so does every word.
+            loss.append(-np.log((gram + STRENGTH * word[b.word]) / (counts["word"][b.before] + STRENGTH)))
+        difference = np.bincount(b.doc, weights=(loss[0] - loss[1])[b.pair], minlength=len(b.sizes))
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, "n_tokens": b.sizes, "score": difference / (b.sizes + 1)})
 
-def word_cross_entropy_difference(docs: DataFrame, wanted: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """As ``cross_entropy_difference``, by bigrams of words."""
+    return marked.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+
+
+def word_cross_entropy_difference(docs: DataFrame, wanted: DataFrame, batch_bytes: int = BATCH_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
+    """doc_id, n_tokens (words) and score of every row of ``docs``; ``wanted`` has the doc_ids of the target corpus."""
     scratch = Scratch(docs.sparkSession, "cross_entropy")
-    ids = wanted.where("doc_id is not null").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    differences, tokens = bigram_differences(scratch.table(count_bigrams(marked), "counts"))
-    deltas = scratch.table(differences, "deltas")
-    is_frequent = F.col("background") * frequent >= tokens
-    table = deltas.where(is_frequent).select("gram", "delta").orderBy("gram").toPandas()  # ``frequent`` rows at most
-    shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["delta"].to_numpy(np.float64)))
-    named = scratch.table(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, delta = shared.value
-        for batch in batches:
-            raw, bounds = text_column(batch.column(1))
-            rows = batch.column(0).to_numpy()
-            for first, last, part, where in slices(raw, bounds):
-                if not len(part):
-                    continue
-                _, _, gram, doc = bigrams(part, where)
-                at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
-                hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-                n = np.bincount(doc[hit], minlength=last - first)
-                total = np.bincount(doc[hit], weights=delta[at[hit]], minlength=last - first).astype(float)
-                some = np.flatnonzero(n)
-                # A document's frequent bigrams are one row, of a key that spreads.
-                yield pa.RecordBatch.from_arrays([pa.array(rows[first:last][some]), pa.array(mix64(rows[first:last][some]).view(np.int64)), pa.array(n[some]), pa.array(total[some])], names=["row", "gram", "n", "known"])
-                gram, doc = gram[~hit], doc[~hit]
-                if len(gram):
-                    by = np.lexsort((gram, doc))
-                    gram, doc = gram[by], doc[by]
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[first:last][doc[new]]), pa.array(gram[new]), pa.array(np.diff(np.append(new, len(gram)))), pa.nulls(len(new), pa.float64())], names=["row", "gram", "n", "known"])
-
-    each = named.select("row", "text").mapInArrow(split, "row long, gram long, n long, known double")
-    rest = deltas.where(~is_frequent).select("gram", "delta")
-    sums = each.join(rest, "gram", "left").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.coalesce("known", F.col("n") * F.col("delta"))).alias("total"))
-    out = named.select("row", "doc_id").join(sums, "row", "left")
-    n = F.coalesce("n_tokens", F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_tokens"), F.when(n > 0, F.col("total") / n).otherwise(0.0).alias("score"))
+    rows = scratch.table(batches(docs, batch_bytes), "batches")
+    ids = wanted.where("doc_id is not null").select(F.col("doc_id").alias("col")).distinct()
+    marks = rows.select("batch", F.posexplode("ids")).join(ids, "col").groupBy("batch").agg(F.collect_list("pos").alias("wanted"))  # no more than a batch holds
+    marked = scratch.table(rows.join(marks, "batch", "left"), "marked")
+    scratch.drop(rows)
+    ranges = math.ceil((marked.agg(F.sum("n")).first()[0] or 0) / range_keys) or 1
+    singles = scratch.table(_answers(_asks(marked, "word", ranges), "word"), "words")
+    totals = singles.agg(*(F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in _TOTALS)).first().asDict()
+    pairs = scratch.table(_answers(_asks(marked, "bigram", ranges), "bigram"), "bigrams")
+    return _scores(marked, singles.union(pairs), totals)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
