@@ -17,10 +17,17 @@ from tidepool.llm.scratch import Scratch
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that no operator's column can clash with one of theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1."""
-    model = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, *docs.columns).where("predicted = 1").select(*docs.columns)
+    rows = whole_rows(docs).select("row", F.col("row.text").alias("text"))
+    rows = Scratch(spark, "quality").table(quality_classifier.with_statistics(rows, "row"), "statistics")
+    model = quality_classifier.fit_quality(rows.select("row.doc_id", "stats"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(rows, model, "row").where("predicted = 1").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +53,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Every document, with the spans of secrets in its text replaced by a mark; n_chars is that of the new text."""
     found = secret_scan.scan(docs.withColumn("repository", F.col("doc_id")), "repository", "source")
     spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans").dropDuplicates(["s_id", "s_th"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["s_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["s_th"]), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("spans")))
-    out = joined.withColumn("text", text)
+    of_row = F.col("row.doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("s_th"))
+    joined = whole_rows(docs).join(spans, of_row, "left").withColumn("clean", F.when(F.col("spans").isNotNull(), secret_scan.redact(F.col("row.text"), F.col("spans"))))
+    row = F.col("row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("clean").cast("long"))
+    return joined.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
