@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import base64
+import bisect
 import hashlib
 import io
 import re
@@ -215,12 +216,37 @@ def test_decontamination_equals_brute_force(spark):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
 
+def best_fit(histogram, capacity=2048):
+    """Sequences of plain best fit, longest first."""
+    spaces, n = [], 0
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            at = bisect.bisect_left(spaces, size)
+            n += at == len(spaces)
+            if left := (spaces.pop(at) if at < len(spaces) else capacity) - size:
+                bisect.insort(spaces, left)
+    return n
+
+
+def test_packing_needs_no_more_than_best_fit():
+    """On lengths of many kinds, as on those of the larger test tables."""
+    rng = np.random.default_rng(1)
+    for sizes in (rng.lognormal(6.3, 0.8, 12_000), rng.lognormal(4, 0.5, 5000), rng.integers(300, 2049, 4000)):
+        lengths, counts = np.unique(np.clip(sizes, 1, 2048).astype(int), return_counts=True)
+        histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+        groups = packing.solve(histogram)
+        assert sum(count for _, count in groups) <= best_fit(histogram)
+        assert all(sum(x) <= 2048 for x, _ in groups) and {n: sum(x.count(n) * count for x, count in groups) for n in histogram} == histogram
+
+
 def test_packing_holds_every_token_once(spark, odd, none):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
 
     encode = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.where("doc_id in (1, 2, 6)").select(F.col("doc_id") + 10**6, "text"))
+    more = [(10**7, "a" + " " * 1_000_000 + "b"), (10**7 + 1, "\n" * 600_000 + "x"), (10**7 + 2, "no <|endoftext|> here\u0085 \u3000x's 12"), (10**7 + 3, "z" * 5000)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.where("doc_id in (1, 2, 3, 4, 6)").select(F.col("doc_id") + 10**6, "text"))
+    docs = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
     rows = packing.pack(docs, packing.default_vocabulary()).toPandas()
     for doc_id, text in docs.collect():
         ids = [*encode(text or "", add_special_tokens=False).ids, 0]
@@ -230,7 +256,9 @@ def test_packing_holds_every_token_once(spark, odd, none):
     for _, s in rows.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.length.sum() <= 2048 and (s.offset.tolist() == np.cumsum([0, *s.length])[:-1]).all()
-    assert rows.sequence_id.nunique() <= 1.05 * rows.length.sum() / 2048 + 1
+    assert rows.sequence_id.nunique() <= best_fit(rows.length.value_counts().to_dict())
+    twice = packing.pack(odd.where("doc_id in (4, 5)"), packing.default_vocabulary()).toPandas()  # repeated rows are packed each
+    assert len(twice) == 3 * len(twice[twice.doc_id == 4]) and twice.groupby("sequence_id").length.sum().max() <= 2048
     assert packing.pack(none, packing.default_vocabulary()).count() == 0
 
 

@@ -4,8 +4,8 @@ Token sequences of documents are cut into pieces of at most ``CAPACITY`` tokens.
 histogram of piece lengths (``CAPACITY`` numbers at most) reaches the driver.  There, the
 configuration program (as few sequences as cover all lengths) is solved by multiplicative
 weights: prices of lengths that are covered fall, and the best pattern for the prices is
-found by knapsack dynamic programming over exact lengths.  Its fractional solution is rounded down to whole
-patterns of exact lengths, and what is left goes best fit into the remaining space.  The
+found by knapsack dynamic programming over exact lengths.  Shares of its fractional solution
+are rounded down to whole patterns, and what is left goes best fit into the remaining space.  The
 solution is a short table of runs (length, ranks, sequence, offset); each piece's rank among
 those of its length is found by Spark in two levels, so that no length's pieces meet in one
 task, and looked up in that table.
@@ -16,7 +16,6 @@ Repeated rows are packed each.  Documents of any length are encoded whole.
 
 from __future__ import annotations
 
-import base64
 import math
 import zlib
 from collections import defaultdict
@@ -31,24 +30,61 @@ from pyspark.sql import types as T
 from tidepool.llm.scratch import Scratch
 
 CAPACITY = 2048
-#: Lengths are rounded up to this many tokens in the second, coarser program, which settles in fewer steps.
-GRID = 16
-#: Pieces below this length are not in the program: they fill what its patterns leave.
-SAND = 48
+#: Pieces below this length are not in the program, they fill what its patterns leave: the first one below which
+#: one in SAND_SHARE tokens lies at most.
+SAND, SAND_SHARE = (256, 128, 64, 32, 16, 0), 8
+#: How much of the fractional solution is rounded down to whole patterns; best fit places the rest.
+ROUNDED = (1.0, 0.6, 0.3)
 STEPS, SHARPNESS = 4000, 0.15
 
-_encoders: dict[str, object] = {}
+#: Pieces of text whose ids a worker keeps, and the longest of them in characters.
+KNOWN, LONGEST = 1 << 19, 64
 
 
-def encoder(vocabulary: str):
-    """The byte-pair encoder of a ranks file, once for each Python worker."""
-    if vocabulary not in _encoders:
-        import public_tokenizers
-        import tiktoken
+class Encoder:
+    """Token ids, as little-endian 32-bit numbers, by a tokenizer file.
+
+    A byte-level tokenizer encodes the pieces of its splitting pattern one by one, so each distinct
+    piece is encoded once and looked up after that.  Texts that name a special token, and all texts
+    of other tokenizers, are encoded whole.
+    """
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[vocabulary] = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    def __init__(self, vocabulary: str):
+        import public_tokenizers
+        import regex
+        import tokenizers
+
+        self.tokenizer = tokenizers.Tokenizer.from_file(vocabulary)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        by_pieces = isinstance(self.tokenizer.pre_tokenizer, tokenizers.pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.split = regex.compile(public_tokenizers.PATTERN).findall if by_pieces else None
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, text: str) -> bytes:
+        if self.split is None or any(s in text for s in self.special):
+            return self._ids([text])[0]
+        parts = self.split(text)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        fresh = [p for p in set(parts) if p not in self.known]
+        self.known.update(zip(fresh, self._ids(fresh), strict=True))
+        ids = b"".join(map(self.known.__getitem__, parts))
+        for p in fresh:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return ids
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a tokenizer file, once for each Python worker."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
 
 
@@ -56,17 +92,15 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
     source = docs.select("doc_id", "text")
     schema = source.select("doc_id").schema.add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids_crc32", T.LongType())
+    end = np.zeros(1, "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        special = {"<|endoftext|>"}
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text, allowed_special=special) if text else []
-                ids.append(0)
-                data = np.array(ids, "<u4").tobytes()
-                n = len(ids)
+                data = (encode(text) if text else b"") + end
+                n = len(data) // 4
                 at = [0] if n <= capacity else list(range(0 if n % capacity == 0 else n % capacity - capacity, n, capacity))
                 for j, a in enumerate(at):
                     b = min(n, a + capacity)
@@ -135,50 +169,26 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int)
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Groups of equal sequences (lengths, how many) that hold every piece of the histogram exactly once.
 
-    The fewer sequences of two programs: over exact lengths, and over lengths rounded up to ``GRID``.
+    One fractional solution is rounded down with each of the factors ``ROUNDED``; the fewest sequences count.
     """
-    return min((_solve(histogram, capacity, grid) for grid in (1, GRID)), key=lambda groups: sum(count for _, count in groups))
+    total = sum(n * c for n, c in histogram.items())
+    sand = next(s for s in SAND if s == 0 or SAND_SHARE * sum(n * c for n, c in histogram.items() if n < s) <= total)
+    sizes = np.array(sorted(n for n, c in histogram.items() if c > 0 and n >= sand), np.int64)
+    patterns = configuration_program(sizes, np.array([histogram[int(n)] for n in sizes], float), capacity) if len(sizes) else []
+    return min((_rounded(histogram, capacity, sizes, patterns, share) for share in ROUNDED), key=lambda groups: sum(count for _, count in groups))
 
 
-def _solve(histogram: dict[int, int], capacity: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
+def _rounded(histogram: dict[int, int], capacity: int, sizes: np.ndarray, patterns: list[tuple[np.ndarray, float]], share: float) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     spaces: dict[int, list[list]] = defaultdict(list)  # space left -> [lengths, count]
-    classes: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left):
-        if n >= min(SAND, capacity):
-            classes[-(-n // grid)].append(n)
-    units = capacity // grid
-    sizes = np.array(sorted(u for u in classes if u <= units), np.int64)
-    if len(sizes):
-        demand = np.array([sum(left[n] for n in classes[int(u)]) for u in sizes], float)
-        for pattern, times in configuration_program(sizes, demand, units):
-            want = [int(u) for u, m in zip(sizes, pattern, strict=True) for _ in range(m)]
-            times = math.floor(times)
-            while times > 0 and all(classes[u] for u in want):
-                # The longest piece of each class that is left; all with the same lengths at once.
-                lengths = tuple(classes[u][-1] for u in want)
-                need = {n: lengths.count(n) for n in set(lengths)}
-                run = min(times, *(left[n] // m for n, m in need.items()))
-                if run == 0:  # a class's longest length has fewer pieces than the pattern takes at once
-                    chosen, spare = [], dict(left)
-                    for u in want:
-                        n = next((n for n in reversed(classes[u]) if spare[n] > 0), None)
-                        if n is None:
-                            break
-                        spare[n] -= 1
-                        chosen.append(n)
-                    if len(chosen) < len(want):
-                        break
-                    lengths, run = tuple(chosen), 1
-                    need = {n: lengths.count(n) for n in set(lengths)}
-                times -= run
-                for n, m in need.items():
-                    left[n] -= run * m
-                for u in set(want):
-                    while classes[u] and left[classes[u][-1]] == 0:
-                        classes[u].pop()
-                space = capacity - sum(lengths)
-                spaces[space].append([lengths, run])
+    for pattern, times in patterns:
+        need = {int(sizes[k]): int(pattern[k]) for k in np.flatnonzero(pattern)}
+        run = min(math.floor(times * share), *(left[n] // m for n, m in need.items()))
+        if run > 0:
+            for n, m in need.items():
+                left[n] -= run * m
+            lengths = tuple(n for n, m in need.items() for _ in range(m))
+            spaces[capacity - sum(lengths)].append([lengths, run])
     # Best fit, longest first: the least space that takes the piece, a whole run of equal sequences at a time.
     for n in sorted((n for n, c in left.items() if c > 0), reverse=True):
         count, space = left[n], n
@@ -248,10 +258,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
 
 
 def default_vocabulary() -> str:
-    """The ranks file that holds the vocabulary of byte_bpe_50k.json, whose ids the tests compare with these."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
