@@ -4,7 +4,9 @@ Labelled page outcomes (bad or not) are counted by host.  The counts are shrunk
 beta-binomial priors: a suffix towards the corpus, a registered domain towards its suffix, a
 host towards its domain.  Each level's concentration is estimated from the over-dispersion of
 its groups (method of moments).  A host is blocked if the lower posterior bound of its bad
-rate exceeds ``max_bad``.  Only built-in functions run on the executors; what reaches the
+rate exceeds ``max_bad``: if its Beta posterior puts at least ``surety`` above that.  The tail
+is integrated over the log odds in ``CELLS`` cells to each side of ``max_bad``, with the exponential
+ends in closed form.  Only built-in functions run on the executors; what reaches the
 driver is one row of moments for each level.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged
@@ -16,11 +18,14 @@ Further columns of the inputs are not read, so their names can't clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict) of the rules that override reputation.
@@ -29,7 +34,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 #: Public suffixes of two labels; every other suffix is a host's last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 
-Z, MAX_BAD, LEAST_RHO, MOST_RHO = 1.645, 0.25, 1e-4, 0.5
+SURETY, MAX_BAD, LEAST_RHO, MOST_RHO = 0.95, 0.2, 1e-4, 0.5
+CELLS, REACH = 64, 8
 
 
 def host_of(url: Column) -> Column:
@@ -69,15 +75,35 @@ def _concentration(groups: DataFrame, overall: float) -> float:
     return 1 / min(max(rho, LEAST_RHO), MOST_RHO) - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """host, n, k, bad_rate and bad_lower for every host of ``pages``.
+def beta_tail(a: Column, b: Column, above: float) -> Column:
+    """The share of Beta(a, b) above ``above``.
+
+    In log odds u the density is proportional to exp(a log p + b log(1 - p)), with its peak at
+    log(a / b); it is taken relative to the peak, which keeps counts of any size in range.
+    """
+    exponent = lambda u: a * u - (a + b) * F.when(u > 0, u + F.log1p(F.exp(-u))).otherwise(F.log1p(F.exp(u)))
+    peak, sd, at = F.log(a / b), F.sqrt(1 / a + 1 / b), F.lit(math.log(above / (1 - above)))
+    height = lambda u: F.exp(exponent(u) - exponent(peak))
+    low, high = F.least(peak - REACH * sd, at - sd), F.greatest(peak + REACH * sd, at + sd)
+
+    def area(start: Column, end: Column) -> Column:
+        step = (end - start) / CELLS
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(2 * CELLS - 1)), F.lit(0.0), lambda t, i: t + F.when(i % 2 == 1, 4.0).otherwise(2.0) * height(start + i * step / 2))
+        return step / 6 * (height(start) + inner + height(end))
+
+    upper = area(at, high) + height(high) / b
+    return upper / (area(low, at) + height(low) / a + upper)
+
+
+def host_reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
+    """host, n, k, bad_rate (posterior mean) and bad_tail (posterior share above ``max_bad``) for every host of ``pages``.
 
     ``outcomes``: page_id and bad (0 or 1).
     """
     hosts = with_levels(pages.select("page_id", host_of(F.col("url")).alias("host")))
     bad = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     counts = hosts.join(bad, "page_id", "left").groupBy("suffix", "domain", "host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    counts = counts.persist()
+    counts = Scratch(pages.sparkSession, "hosts").table(counts, "counts")
     domains = counts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -95,22 +121,24 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     suffixes = suffixes.select("suffix", shrunk(F.lit(overall), m_suffix).alias("p_suffix"))
     domains = domains.join(suffixes, "suffix").select("suffix", "domain", shrunk(F.col("p_suffix"), m_domain).alias("p_domain"))
     out = counts.join(domains, ["suffix", "domain"]).withColumn("bad_rate", shrunk(F.col("p_domain"), m_host))
-    sd = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + F.lit(m_host + 1)))
-    return out.select("host", "n", "k", "bad_rate", (F.col("bad_rate") - F.lit(z) * sd).alias("bad_lower"))
+    out = out.withColumns({"a": F.col("bad_rate") * (F.col("n") + F.lit(m_host)), "b": (1 - F.col("bad_rate")) * (F.col("n") + F.lit(m_host))})
+    # Without any bad outcome in the corpus (or any good one) the posterior has all its mass at one end.
+    tail = F.when(F.col("a") <= 0, 0.0).when(F.col("b") <= 0, 1.0).otherwise(beta_tail(F.col("a"), F.col("b"), max_bad))
+    return out.select("host", "n", "k", "bad_rate", tail.alias("bad_tail"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_rate and bad_lower of every page.
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, surety: float = SURETY) -> DataFrame:
+    """page_id, host, path, rule, verdict, bad_rate and bad_tail of every page.
 
     The longest rule that fits decides; without one, reputation does.  Hot hosts: counts are
     pre-aggregated before they are shuffled, and the join back is one that adaptive execution
     splits by partition size.
     """
-    reputation = host_reputation(pages, outcomes, z).select("host", "bad_rate", "bad_lower")
+    reputation = host_reputation(pages, outcomes, max_bad).select("host", "bad_rate", "bad_tail")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    by_method = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
-    return rows.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "bad_rate", "bad_lower")
+    by_method = F.when(F.col("bad_tail") >= surety, "block").otherwise("allow")
+    return rows.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "bad_rate", "bad_tail")
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -118,7 +146,7 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, outcomes).withColumns({"bad_rate": F.round("bad_rate", 6), "bad_tail": F.round("bad_tail", 6)})
 
 
 _RULE_TEXT = {verdict: [f"{h}{p}" for h, p, v in RULES if v == verdict] for verdict in ("allow", "block")}
@@ -151,11 +179,20 @@ m AS (SELECT g.p AS p0,
 ps AS (SELECT suffix, (k + ms * p0) / (n + ms) AS p FROM s, m),
 pd AS (SELECT d.suffix, d.domain, (k + md * ps.p) / (n + md) AS p FROM d JOIN ps USING (suffix), m),
 ph AS (SELECT h.host, h.n, (k + mh * pd.p) / (n + mh) AS p, mh FROM h JOIN pd USING (suffix, domain), m),
-r AS (SELECT host, p - {Z} * sqrt(p * (1 - p) / (n + mh + 1)) AS low FROM ph),
-r2 AS (SELECT host AS rhost, low FROM r),
-j AS (SELECT page_id, host, path, CASE {_RULE_CASE} END AS rule, low FROM p LEFT JOIN r2 ON host = rhost)
+ab AS (SELECT host, p, p * (n + mh) AS a, (1 - p) * (n + mh) AS b, ln({MAX_BAD} / (1 - {MAX_BAD})) AS t FROM ph),
+pk AS (SELECT *, ln(a / b) AS u0, sqrt(1 / a + 1 / b) AS sd FROM ab WHERE a > 0 AND b > 0),
+ends AS (SELECT host, a, b, t, u0, least(u0 - {REACH} * sd, t - sd) AS lo, greatest(u0 + {REACH} * sd, t + sd) AS hi FROM pk),
+cell AS (SELECT host, a, b, u0, side, i, CASE side WHEN 0 THEN lo + i * (t - lo) / {2 * CELLS} ELSE t + i * (hi - t) / {2 * CELLS} END AS u,
+  CASE side WHEN 0 THEN t - lo ELSE hi - t END / {6 * CELLS} * CASE WHEN i IN (0, {2 * CELLS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS wt
+  FROM ends, range(0, 2) AS sides(side), range(0, {2 * CELLS} + 1) AS steps(i)),
+hgt AS (SELECT *, exp(a * (u - u0) - (a + b) * ((greatest(u, 0) + ln(1 + exp(-abs(u)))) - (greatest(u0, 0) + ln(1 + exp(-abs(u0)))))) AS y FROM cell),
+area AS (SELECT host, sum(CASE WHEN side = 1 THEN wt * y + CASE WHEN i = {2 * CELLS} THEN y / b ELSE 0 END END) AS up,
+  sum(CASE WHEN side = 0 THEN wt * y + CASE WHEN i = 0 THEN y / a ELSE 0 END END) AS down FROM hgt GROUP BY host),
+r2 AS (SELECT ab.host AS rhost, p, CASE WHEN a <= 0 THEN 0 WHEN b <= 0 THEN 1 ELSE up / (down + up) END AS tail FROM ab LEFT JOIN area USING (host)),
+j AS (SELECT page_id, host, path, CASE {_RULE_CASE} END AS rule, p, tail FROM p AS pg LEFT JOIN r2 ON host = rhost)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({', '.join(f"'{x}'" for x in _RULE_TEXT['allow'])}) THEN 'allow'
        WHEN rule IN ({', '.join(f"'{x}'" for x in _RULE_TEXT['block'])}) THEN 'block'
-       WHEN low > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict FROM j
+       WHEN tail >= {SURETY} THEN 'block' ELSE 'allow' END AS verdict,
+  round(p, 6) AS bad_rate, round(tail, 6) AS bad_tail FROM j
 """
