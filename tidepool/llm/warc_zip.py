@@ -26,6 +26,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from tidepool.llm.scratch import Scratch
 
 ARCHIVE_BYTES, ARCHIVE_RECORDS, RUN_BYTES = 64 << 20, 50_000, 1 << 20
+#: Bytes of archives for each reading task.
+TASK_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 TAIL = 22 + 20 + 65_535  # end-of-directory record, ZIP64 locator, longest comment
 
@@ -246,7 +249,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
 
 def read_archives(archives: DataFrame, scratch: Scratch, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Every record (``RECORD_SCHEMA``) of the archives named in column ``path``."""
+    """Every record (``RECORD_SCHEMA``) of the archives in ``archives`` (path and bytes)."""
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +276,9 @@ def read_archives(archives: DataFrame, scratch: Scratch, run_bytes: int = RUN_BY
 
     width = archives.sparkSession.sparkContext.defaultParallelism
     runs = archives.select("path").repartition(width, "path").mapInArrow(list_runs, "path string, at long, lengths array<bigint>")
-    return scratch.table(runs, "runs").repartition("path", "at").mapInArrow(read, RECORD_SCHEMA)
+    # Rows of runs are few and small, what they stand for isn't: a stated number of partitions is kept as it is.
+    parts = max(width, math.ceil((archives.agg(F.sum("bytes")).first()[0] or 0) / TASK_BYTES))
+    return scratch.table(runs, "runs").repartition(parts, "path", "at").mapInArrow(read, RECORD_SCHEMA)
 
 
 def op9_warc_zip(spark, sf_dir: str) -> DataFrame:
