@@ -319,6 +319,167 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame([], "page_id long, bad int")).count() == 0
 
 
+def test_bad_hosts_are_blocked(spark):
+    """Tails with closed forms, and a host whose pages are bad beside small and clean ones."""
+    known = [(1.0, 1.0, 0.8), (2.0, 1.0, 0.96), (1.0, 3.0, 0.512), (3.0, 1.0, 0.992), (0.5, 0.5, 0.70483), (1e6, 1e7, 0.0), (1e7, 1e6, 1.0)]
+    for r in spark.createDataFrame(known, "a double, b double, tail double").withColumn("got", url_filter.beta_tail(F.col("a"), F.col("b"), 0.2)).collect():
+        assert r["got"] == pytest.approx(r["tail"], abs=2e-5)
+    hosts = ["bad.one.org"] * 40 + ["good.one.org"] * 400 + ["new.one.org"] + ["fine.com"] * 300 + ["plain.org"] * 300
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}", 0, "x") for k, h in enumerate(hosts)] + [(0, "http://bad.one.org/0", 0, "x")], "page_id long, url string, n long, bad_rate string")
+    outcomes = [(k, int(k < 36 or k % 20 == 0)) for k in range(len(hosts)) if hosts[k] != "new.one.org"]
+    got = url_filter.filter_urls(pages, spark.createDataFrame(outcomes + outcomes[:9], "page_id long, bad int")).toPandas()
+    assert len(got) == len(hosts) + 1
+    verdict = got.groupby("host").verdict.unique().map(list).to_dict()
+    assert verdict == {"bad.one.org": ["block"], "good.one.org": ["allow"], "new.one.org": ["allow"], "fine.com": ["allow"], "plain.org": ["allow"]}
+    rate = got.groupby("host").bad_rate.first()
+    assert rate["good.one.org"] < rate["new.one.org"] < rate["bad.one.org"] < 0.9  # shrunk towards the domain
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id"), F.lit("x" * 2000)).alias("html"))
+    scratch = Scratch(spark, "test_warc")
+    wrote = scratch.table(warc_zip.write_archives(warc_zip.with_roles(pages), scratch.folder("archives")), "manifest")
+    tasks = warc_zip.read_archives(wrote, scratch, run_bytes=5000).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism - 2
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_many_secrets_in_one_text(spark, n):
+    """Spans and redaction in chunks: as many as stand in one text, with overlaps and characters of several bytes."""
+    text = "é".join(f"{k:024x}😀" for k in range(n)) + " end"
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    found = secret_scan.scan(docs, "doc_id", "source").select("spans").collect()[0]["spans"]
+    assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    doubled = sorted([*map(tuple, found), *((s["start"] + 2, 9, s["end"] + 1, "mixed") for s in found)])
+    row = spark.createDataFrame([(text, doubled), ("none", [])], f"text string, spans array<{secret_scan.SPAN}>")
+    assert {r[0] for r in row.select(secret_scan.redact(F.col("text"), F.col("spans"))).collect()} == {re.sub("[0-9a-f]{24,}😀", "[SECRET]", text), "none"}
+
+
+def test_language_features_and_fit_equal_plain_versions(spark, odd, none):
+    """Document frequencies and n-grams against sets of strings; one learning step and the temperature against formulas."""
+    texts = ["Ab a", "ba  AB\n", "", "漢字 ab"]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    frequency, total = language_id.document_frequencies(docs)
+    assert total == len(texts)
+    for k, t in enumerate(texts):
+        flat, bounds = language_id._grams([t])
+        cleaned = " " + " ".join(t.lower().split()) + " "
+        assert bounds.tolist() == [0, len(cleaned)] and flat.shape == (len(cleaned), 3)
+        same = [[cleaned[i : i + n] for i in range(len(cleaned) - n + 1)] for n in (1, 2, 3)]
+        for n, strings in enumerate(same):
+            by_string = {}
+            for i, g in enumerate(strings):
+                assert by_string.setdefault(g, flat[i, n]) == flat[i, n]
+    one_by_one = np.zeros(language_id.DIMENSIONS, int)
+    for t in texts:
+        one_by_one[np.unique(language_id._grams([t])[0])] += 1
+    assert (frequency == one_by_one).all()
+
+    idf = np.ones(language_id.DIMENSIONS)
+    rows = [(k % 2, np.array([k % 2]), np.array([0.01])) for k in range(40)]
+    model = language_id.train(rows, ["a", "b"], idf)
+    z, n, w = np.zeros((3, 2)), np.zeros((3, 2)), np.zeros((3, 2))
+    for _ in range(language_id.EPOCHS):
+        for i, (y, at, tf) in enumerate(rows):
+            if i % 5:
+                x = np.zeros(3)
+                x[at[0]], x[2] = tf[0] * 100, 1.0
+                for j in range(3):
+                    for c in range(2):
+                        w[j, c] = 0 if abs(z[j, c]) <= language_id.L1 else -(z[j, c] - np.sign(z[j, c]) * language_id.L1) / ((language_id.BETA + n[j, c] ** 0.5) / language_id.ALPHA + language_id.L2)
+                p = np.exp(x @ w - (x @ w).max())
+                p /= p.sum()
+                for j in np.flatnonzero(x):
+                    for c in range(2):
+                        g = x[j] * (p[c] - (c == y))
+                        z[j, c] += g - ((n[j, c] + g * g) ** 0.5 - n[j, c] ** 0.5) / language_id.ALPHA * w[j, c]
+                        n[j, c] += g * g
+    final = np.where(abs(z) <= language_id.L1, 0, -(z - np.sign(z) * language_id.L1) / ((language_id.BETA + n**0.5) / language_id.ALPHA + language_id.L2))
+    assert np.allclose(model.weights[:2] / 100, final[:2], rtol=1e-5) and np.allclose(model.bias, final[2]) and (model.weights[2:] == 0).all()
+    doubt = 1 / 10
+    logits = [final[y] + final[2] for y in (i % 2 for i in range(0, 40, 5))]
+
+    def loss(t):
+        out = 0
+        for k, v in enumerate(logits):
+            p = np.exp(v / t) / np.exp(v / t).sum()
+            target = np.full(2, doubt / 2)
+            target[5 * k % 2] += 1 - doubt
+            out -= (target * np.log(p)).sum()
+        return out
+
+    assert loss(model.temperature) <= min(loss(model.temperature * 1.11), loss(model.temperature / 1.11)) + 1e-9
+
+    got = language_id.predict(odd, language_id.LanguageModel([], np.zeros((language_id.DIMENSIONS, 0), np.float32), np.zeros(0)), "doc_id", "node").collect()
+    assert len(got) == len(ODD) and {(r["lang_pred"], r["score"], r["node"]) for r in got} == {("und", 0.0, "clash")}
+    learn = odd.select("text", "lang", F.lit(0.0).alias("order"))
+    got = language_id.predict(odd, language_id.fit_language_model(learn), "doc_id", "lang").collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"} and {r["lang_pred"] for r in got if r["doc_id"] not in (1, 2, 3)} <= {"en", "de", "fr"}
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (4, 5)}) == 1
+    assert language_id.fit_language_model(learn.limit(0)).languages == [] and language_id.predict(none, model, "doc_id").count() == 0
+
+
+def test_decontamination_odd_rows(spark, odd, none):
+    """Long texts, repeated rows, empty ones and clashing columns; the passage stands at the very end of a long text."""
+    passage = " ".join(f"q{k}" for k in range(20))
+    docs = odd.withColumns({"words": F.lit("clash"), "hashes": F.lit(1), "h": F.lit(2)}).withColumn("text", F.when(F.col("doc_id") == 5, F.concat("text", F.lit(" " + passage))).otherwise(F.col("text")))
+    items = spark.createDataFrame([(1, passage, "x"), (1, passage, "x"), (2, passage, "y"), (3, "", "z"), (4, None, "z")], "item_id long, text string, pos string")
+    got = decontaminate.contamination(docs, items).collect()
+    assert len(got) == len(ODD)
+    fives = [r for r in got if r["doc_id"] == 5]
+    assert [(r["n_hit"], r["items"], r["contaminated"]) for r in fives] == [(20, ["1", "2"], False)] * 2
+    assert all(r["n_hit"] == 0 for r in got if r["doc_id"] != 5) and {r["n_words"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
+    assert decontaminate.contamination(none, items).count() == 0
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    """Every stage but the last returns the columns of its documents, whatever their names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(c) for c in ("predicted", "score", "spans", "stats", "row", "clean", "s_id", "kept_id", "bad_id", "th", "label", "repository", "batch", "wanted")})
+    scratch = Scratch(spark, "test_pipeline")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, SF), name)
+        assert {docs.first()[c] for c in ("predicted", "spans", "row")} == {"predicted", "spans", "row"}
+
+
+def test_pipeline_equals_plain_version(spark):
+    """run()'s rows against its stages in plain Python on the kept documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = QUERIES["op6_quality_classifier"](spark, SF).toPandas().set_index("doc_id").predicted
+    rows = docs.toPandas()
+    rows = rows[rows.doc_id.map(scored) == 1].reset_index(drop=True)
+    sets = [shingles(t, 5) for t in rows.text]
+    component = rows.doc_id.tolist()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((component[i], component[j]))
+                component = [a if c == b else c for c in component]
+    rows = rows[rows.doc_id == component]
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    items = [words(t) for t in pd.read_parquet(f"{SF}/benchmark.parquet").text]
+    windows = {tuple(w[k : k + 13]) for w in items if w for k in range(max(len(w) - 12, 1))}
+
+    def contaminated(text):
+        w, hit = words(text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    rows = rows[[not contaminated(t) for t in rows.text]]
+    got = pipeline.run(spark, SF).toPandas()
+    assert sorted(set(got.doc_id)) == sorted(rows.doc_id)
+    sums = got.groupby("sequence_id").length.sum()
+    assert sums.max() <= 2048 and len(sums) <= best_fit(got.length.value_counts().to_dict())
+    clean = rows[[not re.search(r"(?i:passwd|password|secret|token|api_?key|akia)|[0-9a-f]{24}|-----BEGIN|[A-Za-z0-9+/_-]{20}|eyJ", t or "") for t in rows.text]]
+    encode = packing.encoder(packing.default_vocabulary()).encode
+    assert len(clean) > 10 and all(got[got.doc_id == k].length.sum() == len(encode(t)) // 4 + 1 for k, t in zip(clean.doc_id, clean.text, strict=True))
+
+
 def test_pipeline_stages(spark, odd):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = odd.drop("node", "key")

@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = scratch.table(step, "step")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         labels = scratch.table(step.join(jump, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "was"), "labels")
-        changed = labels.where("component <> was").limit(1).count()
-        labels = labels.select("node", "component")
-        if not changed:
-            return labels
+        scratch.drop(old, step)
+        if not labels.where("component <> was").limit(1).count():
+            scratch.drop(both)
+            return labels.select("node", "component")

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
 Lineage is cut by writing Parquet there and reading it again, so a lost executor costs a
-re-read and not a recomputation.  A scratch area belongs to one operator call; ``close``
-removes everything but the tables that the returned result still reads.
+re-read and not a recomputation.  A scratch area belongs to one operator call; ``drop``
+removes tables that nothing reads any more, and the rest goes when the interpreter ends.
 """
 
 from __future__ import annotations
