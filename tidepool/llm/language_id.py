@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.text_arrays import SLICE_BYTES
+from tidepool.llm.text_arrays import text_runs
 
 BITS = 15
 DIMENSIONS = 1 << BITS
@@ -55,20 +55,6 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, bounds
 
 
-def _text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about SLICE_BYTES characters together, with the first one's index."""
-    texts = column.to_pylist()
-    first, size, run = 0, 0, []
-    for k, text in enumerate(texts):
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= SLICE_BYTES // 2:
-            yield first, run
-            first, size, run = k + 1, 0, []
-    if run:
-        yield first, run
-
-
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each hashed n-gram stands, and how many texts there are.
 
@@ -79,7 +65,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         seen = np.zeros(DIMENSIONS, bool)
         for batch in batches:
-            for _, texts in _text_runs(batch.column(0)):
+            for _, texts in text_runs(batch.column(0)):
                 grams, bounds = _grams(texts)
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     seen[:] = False
@@ -102,7 +88,7 @@ def sparse_features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(1)
-            for first, texts in _text_runs(batch.column(0)):
+            for first, texts in text_runs(batch.column(0)):
                 grams, bounds = _grams(texts)
                 at, tf = [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -213,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
             column = batch.column("__text")
             blank = column.is_null().to_numpy(zero_copy_only=False)
             best, score = np.full(len(blank), len(labels) - 1), np.zeros(len(blank))
-            for first, texts in _text_runs(column) if model.languages else ():
+            for first, texts in text_runs(column) if model.languages else ():
                 p = _softmax(model.logits(*_grams(texts)) / model.temperature)
                 best[first : first + len(texts)] = p.argmax(1)
                 score[first : first + len(texts)] = p.max(1)

@@ -17,9 +17,12 @@ Repeated rows are packed each.  Documents of any length are encoded whole.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.llm.scratch import Scratch
+from tidepool.llm.text_arrays import text_runs
 
 CAPACITY = 2048
 #: Pieces below this length are not in the program, they fill what its patterns leave: the first one below which
@@ -50,6 +54,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         import regex
         import tokenizers
@@ -61,17 +66,16 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if self.split is None or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        parts = self.split(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [self.split is None or any(s in t for s in self.special) for t in texts]
+        parts = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > KNOWN:
             self.known.clear()
-        fresh = [p for p in set(parts) if p not in self.known]
+        fresh = list(set(chain.from_iterable(parts)).difference(self.known))
         self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        ids = b"".join(map(self.known.__getitem__, parts))
+        ids = [self._ids([t])[0] if w else b"".join(map(self.known.__getitem__, p)) for t, w, p in zip(texts, whole, parts, strict=True)]
         for p in fresh:
             if len(p) > LONGEST:
                 del self.known[p]
@@ -98,8 +102,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         encode = encoder(vocabulary).encode
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = (encode(text) if text else b"") + end
+            encoded = chain.from_iterable(encode(texts) for _, texts in text_runs(batch.column(1)))
+            for k, data in enumerate(ids + end for ids in encoded):
                 n = len(data) // 4
                 at = [0] if n <= capacity else list(range(0 if n % capacity == 0 else n % capacity - capacity, n, capacity))
                 for j, a in enumerate(at):

@@ -78,6 +78,20 @@ def slices(raw: np.ndarray, bounds: np.ndarray, most: int = SLICE_BYTES) -> Iter
         first = last
 
 
+def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about SLICE_BYTES characters together, with the first one's index."""
+    texts = column.to_pylist()
+    first, size, run = 0, 0, []
+    for k, text in enumerate(texts):
+        run.append(text or "")
+        size += len(run[-1])
+        if size >= SLICE_BYTES // 2:
+            yield first, run
+            first, size, run = k + 1, 0, []
+    if run:
+        yield first, run
+
+
 def words(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of each word; a document's end ends a word."""
     inside = ~separators[raw]
