@@ -239,6 +239,14 @@ def test_packing_needs_no_more_than_best_fit():
         assert all(sum(x) <= 2048 for x, _ in groups) and {n: sum(x.count(n) * count for x, count in groups) for n in histogram} == histogram
 
 
+def test_packing_splits_latin_texts_alike():
+    encode = packing.encoder(packing.default_vocabulary())
+    for c in map(chr, range(packing.LATIN)):
+        text = f"a{c}b {c} 1{c}2{c}{c}c \n{c}  {c}'s{c}'{c}"
+        assert not encode.beyond_latin(text) and encode.split_latin(text) == encode.split(text)
+    assert encode.beyond_latin("x\u0250")
+
+
 def test_packing_holds_every_token_once(spark, odd, none):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
