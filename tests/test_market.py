@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import random
+from decimal import Decimal
 from fractions import Fraction
 
 import duckdb
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
-from tidepool.operators import blocks, checks, flows, fold, registry, routing
+from tidepool.operators import blocks, checks, flows, fold, registry, router, routing
 from tidepool.plans import catalog, lookups
 
 SF = "/root/testdata/sf0.01"
@@ -34,7 +35,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 
@@ -68,6 +69,29 @@ def test_two_core_keeps_cycles_and_open_paths(spark):
     assert ids(routing.two_core(frame([(1, 2), (4, 5)]), 1, 9)) == [0, 1]
 
 
+def test_two_core_keeps_the_sources_part_alone(spark):
+    rows = [(0, 1, 2), (1, 2, 3), (2, 7, 8), (3, 7, 8), (4, 1, 5), (4, 5, 1)]
+    edges = spark.createDataFrame(rows, "pool_id long, token0 long, token1 long")
+    assert sorted(r["pool_id"] for r in routing.two_core(edges, 1, 3).collect()) == [0, 1]
+
+
+def test_wide_liquidity_is_kept_and_overflow_is_underivable(spark):
+    rows = [(1, 0, "swap", 1, 2**64), (2, 0, "swap", 1, 10**38 - 1), (2, 1, "mint", 1, 10**37), (3, 0, "swap", 1, 5)]
+    logs = spark.createDataFrame([(p, k, kind, t, v, v, -9, 9) for p, k, kind, t, v in ((*r[:4], Decimal(r[4])) for r in rows)], "pool_id long, k long, kind string, tick long, liquidity decimal(38,0), amount decimal(38,0), tick_lower long, tick_upper long")
+    assert {r["pool_id"]: int(r["liquidity"]) for r in fold.fold_logs(logs, ["pool_id"], ["k"]).collect()} == {1: 2**64, 3: 5}
+
+
+def test_canonical_path_ends_on_cycles(spark):
+    rows = [(1, 3, 2), (1, 2, 1), (1, 1, None), (2, 3, 2), (2, 2, 1), (2, 1, 3), (3, 5, 5), (3, 4, 5), (4, 9, 7), (4, 7, 6), (4, 6, 7)]
+    got = sorted((r["chain"], r["block"], r["distance"]) for r in blocks.canonical(spark.createDataFrame(rows, "chain long, block long, parent long")).collect())
+    assert got == [(1, 1, 2), (1, 2, 1), (1, 3, 0), (3, 5, 0)]
+
+
+def test_shares_are_of_weights(spark):
+    steps = spark.createDataFrame([(0, 1, 100, 0.5), (0, 1, 900, 1.5), (0, 2, 5, 0.0)], "stage long, token0 long, amount_in long, weight double")
+    assert sorted(r["share"] for r in flows.normalized(steps, ["stage", "token0"]).collect()) == [0.0, 0.25, 0.75]
+
+
 def test_tick_limits_are_the_published_ones():
     assert sqrt_price_x96(MIN_TICK) == 4295128739
     assert sqrt_price_x96(MAX_TICK) == 1461446703485210103287273052203988822378723970342
@@ -146,6 +170,73 @@ def test_two_core_query_takes_all_pools(spark):
             break
         left = kept
     ends = {t for p in left for t in p[1:]}
+    part = {1, 5}
+    while grown := {t for p in left if part & set(p[1:]) for t in p[1:]} - part:
+        part |= grown
+    left = [p for p in left if p[1] in part]
     expected = left if {1, 5} <= ends else pools
     got = catalog.QUERIES["routing_2core"](spark, d).collect()
     assert sorted(r["pool_id"] for r in got) == sorted(p[0] for p in expected) and any(r["pool_id"] % 4 for r in got)
+
+
+def _market(price=1.0, off=(), kind=np.float32):
+    """Four pools over three tokens, both ways, with a depth of a billion and a fee of 0.3 percent."""
+    rows = [(1, 2, 1, 1e9, 1e9), (2, 3, 2, 1e9, 1e9), (3, 1, 3, 1e9, 1e9 * price), (1, 3, 4, 1e9, 1e9)]
+    rows += [(b, a, p, y, x) for a, b, p, x, y in rows]
+    a, b, p, x, y = map(np.array, zip(*rows))
+    return router.Market.of(a, b, p, x, y, np.full(8, 0.997), np.full(8, 1e9), np.isin(p, off), kind)
+
+
+def _scalar_route(r, amount):
+    """The three layers cell by cell."""
+    m, v = r.market, {r.source: amount}
+    for layer, logits in zip(r.layers, r.logits):
+        out = dict.fromkeys(range(len(m.tokens)), 0.0)
+        for c, column in enumerate(layer.columns):
+            e = [0.0 if layer.off[k, c] and not layer.bypass[k, c] else math.exp(logits[k, c]) for k in range(len(layer.rows))]
+            for k, row in enumerate(layer.rows):
+                a = v.get(int(column), 0.0) * e[k] / sum(e)
+                u = min(a * layer.fee[k, c], layer.cap[k, c])
+                out[int(m.leaving[row])] += a if m.leaving[row] == column else max(layer.y[k, c] * u / (layer.x[k, c] + u + 2.0**-23), 0)
+        v = out
+    return v[r.output]
+
+
+def test_router_forward_gradients_and_training():
+    assert router.Router(_market(), 1, 1).evaluate(1000.0) == pytest.approx(815.8071, rel=1e-4)
+    rng = np.random.default_rng(2)
+    for off in ((), (2,)):
+        r = router.Router(_market(1.05, off, np.float64), 1, 3)
+        r.logits = [rng.normal(size=w.shape) for w in r.logits]
+        assert r.evaluate(1e8) == pytest.approx(_scalar_route(r, 1e8), rel=1e-12)
+        for w, g in zip(r.logits, r.gradients()):
+            for at in np.ndindex(w.shape):
+                w[at] += 1e-5
+                up = r.evaluate(1e8)
+                w[at] -= 2e-5
+                down = r.evaluate(1e8)
+                w[at] += 1e-5
+                assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=2.0)
+            r.evaluate(1e8)
+    flat, gain = (router.Router(_market(price), 1, 1) for price in (1.0, 1.05))
+    for r in (flat, gain):
+        r.train(1000.0, 150)
+    assert flat.evaluate(1000.0) <= 1000 < gain.evaluate(1000.0)
+    rows = pd.DataFrame(gain.flows(1000.0))
+    assert np.allclose(rows.groupby(["stage", "token_in"]).weight.sum(), 1, atol=1e-5)
+    assert rows[rows.stage == 0].amount_in.sum() == pytest.approx(1000, rel=1e-5)
+    with pytest.raises(ValueError, match="source"):
+        router.Router(_market(), 9, 1)
+    with pytest.raises(ValueError, match="output"):
+        router.Router(_market(), 1, 9)
+
+
+def test_routes_of_sessions(spark):
+    cells = [(7, a, b, p, x, y, 0.997, 1e9, None) for a, b, p, x, y in ((1, 2, 1, 1e9, 1e9), (2, 1, 1, 1e9, 1e9))]
+    cells = spark.createDataFrame(cells, "market long, token_in long, token_out long, pool_id long, r_in double, r_out double, fee double, cap double, disabled boolean")
+    sessions = spark.createDataFrame([(1, 7, 1, 2, 1000.0, 5), (2, 7, 9, 2, 1000.0, 5), (3, 8, 1, 2, 1000.0, 5)], "session_id long, market long, source long, output long, amount double, iterations int")
+    got = {r["session_id"]: r for r in router.evaluate(sessions, cells).collect()}
+    assert got[2]["failure"] == "no source column" and got[1]["failure"] is None and got[1]["start"] < got[1]["trained"] < 1000 and 3 not in got
+    rows = router.trained_flows(sessions, cells).toPandas()
+    assert set(rows.session_id) == {1} and (rows.pool_id.isna() == (rows.token_in == rows.token_out)).all()
+    assert router.evaluate(sessions.limit(0), cells).count() == 0

@@ -12,16 +12,22 @@ def canonical(heads: DataFrame) -> DataFrame:
     """chain, block and distance of every block on the path from each chain's highest block to its root.
 
     Pointer doubling: log2(longest chain) rounds of two joins, whatever the number of chains.
+    Blocks that name themselves as parent are roots.  A chain whose path runs into a cycle has none:
+    it meets a block again, and is left out.
     """
-    jumps = cut(heads.where("parent is not null").select("chain", "block", F.col("parent").alias("to")))
+    jumps = cut(heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to")))
     marked = cut(heads.groupBy("chain").agg(F.max("block").alias("block")).withColumn("distance", F.lit(0).cast("long")))
     step = 1
     while True:
         reached = marked.join(jumps, ["chain", "block"]).select("chain", F.col("to").alias("block"), (F.col("distance") + step).alias("distance"))
-        grown = cut(marked.union(reached))
+        reached = cut(reached)
         if not reached.limit(1).count():
-            return grown
-        marked = grown
+            return marked
+        marked = marked.union(reached)
+        cycles = cut(marked.groupBy("chain", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chain").distinct())
+        if cycles.limit(1).count():
+            marked, jumps = (rows.join(cycles, "chain", "left_anti") for rows in (marked, jumps))
+        marked = cut(marked)
         jumps = cut(jumps.alias("a").join(jumps.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.to") == F.col("b.block"))).select("a.chain", "a.block", F.col("b.to").alias("to")))
         step *= 2
 

@@ -21,13 +21,13 @@ def softmax(cells: DataFrame, column: str, logit: str = "logit") -> DataFrame:
 def plan_steps(flows: DataFrame, keys: Sequence[str], least_weight: float) -> DataFrame:
     """Flows of at least the weight, merged: small flows go before duplicates are added up."""
     kept = flows.where(~(F.col("weight") < least_weight))
-    return kept.groupBy(*keys).agg(F.sum("amount_in").alias("amount_in"), F.sum("amount_out").alias("amount_out"), F.count(F.lit(1)).alias("n_merged"))
+    return kept.groupBy(*keys).agg(F.sum("amount_in").alias("amount_in"), F.sum("amount_out").alias("amount_out"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_merged"))
 
 
 def normalized(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``share_ppm``: each step's part of what enters at its keys, in whole millionths, rounded down."""
-    total = F.sum("amount_in").over(Window.partitionBy(*keys))
-    return steps.withColumn("total", total).withColumn("share_ppm", F.expr("amount_in * 1000000 div total")).drop("total")
+    """``share``: each step's part of the weight at its keys; 0 where the weights there add up to nothing."""
+    total = F.sum("weight").over(Window.partitionBy(*keys))
+    return steps.withColumn("total", total).withColumn("share", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0)).drop("total")
 
 
 def quote(amount, r_in, r_out, fee_pips):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def fold_logs(logs: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """keys, tick, liquidity and n_logs of every pool that has a derivable state.
+    """keys, tick, liquidity (38 digits) and n_logs of every pool that has a derivable state.
 
     Swap and initialize set the state (initialize with liquidity 0); mint and burn add and
     subtract where lower <= tick < upper; those before any state change nothing.  A liquidity
@@ -26,10 +26,10 @@ def fold_logs(logs: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     rows = rows.withColumn("at", first_tick)
     inside = (F.col("tick_lower") <= F.col("at")) & (F.col("at") < F.col("tick_upper"))
     step = F.when(F.col("kind") == "swap", F.col("liquidity")).when(F.col("kind") == "initialize", 0).when(inside & (F.col("kind") == "mint"), F.col("amount")).when(inside & (F.col("kind") == "burn"), -F.col("amount")).otherwise(0)
-    rows = rows.withColumn("total", F.sum(step.cast("decimal(38,0)")).over(within))
+    rows = rows.withColumn("total", F.try_sum(step.cast("decimal(38,0)")).over(within))
     last = F.max_by(F.struct("at", "total"), F.struct(*order))
     out = rows.groupBy(*keys).agg(last.alias("s"), F.min("total").alias("low"), F.count_if(F.col("total").isNull()).alias("over"), F.count(F.lit(1)).alias("n_logs"))
-    return out.where("low >= 0 and over = 0").select(*keys, F.col("s.at").alias("tick"), F.col("s.total").cast("long").alias("liquidity"), "n_logs")
+    return out.where("low >= 0 and over = 0").select(*keys, F.col("s.at").alias("tick"), F.col("s.total").alias("liquidity"), "n_logs")
 
 
 def overlay(base: DataFrame, over: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,11 +12,13 @@ def two_core(edges: DataFrame, source: int, output: int) -> DataFrame:
     """Edges (pool_id, token0, token1) that survive removing tokens of degree 1, again and again.
 
     A virtual edge joins source and output, so an open path counts as a cycle.  Parallel pools
-    count each; self-loops never lie on a route.  If source or output has no edge or nothing
+    count each, the two directions of one pool once; self-loops never lie on a route.  Of what
+    is left, the part that is connected with the source stays.  If source or output has no edge or nothing
     is left at it, the input is returned.  Tokens removed in a round are those of degree below
     2 at its start: the rounds are bounded by the longest dangling path.
     """
-    clean = cut(edges.where("token0 <> token1").select("pool_id", "token0", "token1"))
+    pairs = edges.where("token0 <> token1").withColumns({"low": F.least("token0", "token1"), "high": F.greatest("token0", "token1")})
+    clean = cut(pairs.dropDuplicates(["pool_id", "low", "high"]).select("pool_id", "token0", "token1"))
     left, n = clean, clean.count()
     while True:
         ends = left.select(F.explode(F.array("token0", "token1")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("degree"))
@@ -30,7 +32,12 @@ def two_core(edges: DataFrame, source: int, output: int) -> DataFrame:
             break
         n = m
     touches = lambda t: left.where((F.col("token0") == t) | (F.col("token1") == t)).limit(1).count()
-    return left if n and touches(source) and touches(output) else edges.select("pool_id", "token0", "token1")
+    if not (n and touches(source) and touches(output)):
+        return edges.select("pool_id", "token0", "token1")
+    # The virtual edge counts here too: an output that only it connects stays with its part.
+    link = left.select("token0", "token1").unionByName(left.sparkSession.range(1).select(F.lit(source).cast("long").alias("token0"), F.lit(output).cast("long").alias("token1")))
+    own = reachable(link, source).select(F.col("token").alias("token0"))
+    return left.join(own, "token0", "left_semi").select("pool_id", "token0", "token1")
 
 
 def reachable(edges: DataFrame, source: int) -> DataFrame:

@@ -11,10 +11,10 @@ LEAST_TVL = 10_000
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """One row for each token: the first non-null value by source order; the largest TVL; trusted if any source says so."""
+    """One row for each token: the first non-null value by source order, for a TVL the first that is above 0; trusted if any source says so."""
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("source_order", c)))[c]
-    good = F.when(~F.isnan("tvl") & (F.col("tvl") > 0), F.col("tvl"))
-    return candidates.groupBy("token").agg(first("symbol").alias("symbol"), F.max(good).alias("tvl"), F.max("trusted").alias("trusted"), F.count(F.lit(1)).alias("n_sources"))
+    rows = candidates.withColumn("tvl", F.when(~F.isnan("tvl") & (F.col("tvl") > 0), F.col("tvl")))
+    return rows.groupBy("token").agg(first("symbol").alias("symbol"), first("tvl").alias("tvl"), F.max("trusted").alias("trusted"), F.count(F.lit(1)).alias("n_sources"))
 
 
 def risk_flags(text: Column) -> Column:

@@ -36,6 +36,11 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return M.logs(spark, d).join(M.pools(spark, d).select("pool_id", "chain"), "pool_id")
 
 
+def _states(logs: DataFrame) -> DataFrame:
+    """The fold of logs; these tables' liquidities fit into 64 bits."""
+    return fold.fold_logs(logs, KEYS, M.LOG_ORDER).withColumn("liquidity", F.col("liquidity").cast("long"))
+
+
 def _fold_sql(source: str, name: str) -> str:
     """CTEs that end in ``name``: the fold of the logs (with chain) in ``source``."""
     order = ", ".join(M.LOG_ORDER)
@@ -56,7 +61,7 @@ _FRONTIER = """front AS (SELECT chain, max(CASE WHEN hole IS NULL OR number < ho
 
 @query(f", {_PLACED}, {_fold_sql('placed', 'f')} SELECT * FROM f")
 def pool_state_fold(spark, d):
-    return fold.fold_logs(_placed(spark, d), KEYS, M.LOG_ORDER)
+    return _states(_placed(spark, d))
 
 
 @query("SELECT chain, fee_pips, count(*) AS n_pools, count(DISTINCT token0) AS n_tokens FROM pools GROUP BY chain, fee_pips")
@@ -137,7 +142,7 @@ def _readable(spark, d, least):
 
 @query(f", {_PLACED}, {_FRONTIER.format(least=1)}, r AS (SELECT placed.* FROM placed JOIN front USING (chain) WHERE number <= frontier), {_fold_sql('r', 'f')} SELECT * FROM f")
 def state_at_frontier(spark, d):
-    return fold.fold_logs(_readable(spark, d, 1), KEYS, M.LOG_ORDER)
+    return _states(_readable(spark, d, 1))
 
 
 @query(f""", {_PLACED}, lo AS (SELECT * FROM placed WHERE number < {SPLIT}), hi AS (SELECT * FROM placed WHERE number >= {SPLIT}), {_fold_sql('lo', 'b')}, {_fold_sql('hi', 'o')}
@@ -145,7 +150,7 @@ SELECT chain, pool_id, CASE WHEN o.tick IS NOT NULL THEN o.tick ELSE b.tick END
   CASE WHEN o.tick IS NOT NULL THEN o.n_logs ELSE b.n_logs END AS n_logs, CASE WHEN o.tick IS NOT NULL THEN 'overlay' ELSE 'base' END AS origin FROM b FULL JOIN o USING (chain, pool_id)""")
 def overlay_over_base(spark, d):
     placed = _placed(spark, d)
-    base, over = (fold.fold_logs(placed.where(cond), KEYS, M.LOG_ORDER) for cond in (f"number < {SPLIT}", f"number >= {SPLIT}"))
+    base, over = (_states(placed.where(cond)) for cond in (f"number < {SPLIT}", f"number >= {SPLIT}"))
     return fold.overlay(base, over, KEYS)
 
 
@@ -207,10 +212,10 @@ def whitelist_reserves(spark, d):
 
 
 def _with_state(spark, d):
-    return M.pools(spark, d).where("pool_id % 10 < 3").join(pool_state_fold(spark, d).select("chain", "pool_id", "tick", "liquidity"), KEYS, "left")
+    return M.pools(spark, d).join(pool_state_fold(spark, d).select("chain", "pool_id", "tick", "liquidity"), KEYS, "left")
 
 
-_WS = f"{_PLACED}, {_fold_sql('placed', 'f')}, ws AS (SELECT pools.*, tick, liquidity FROM pools LEFT JOIN f USING (chain, pool_id) WHERE pool_id % 10 < 3)"
+_WS = f"{_PLACED}, {_fold_sql('placed', 'f')}, ws AS (SELECT pools.*, tick, liquidity FROM pools LEFT JOIN f USING (chain, pool_id))"
 
 
 @query(f", {_WS} SELECT * FROM ws WHERE token0 NOT IN (SELECT token0 FROM ws WHERE tick IS NULL)")
@@ -231,10 +236,10 @@ def cache_read_through(spark, d):
     return asked.join(cached, "token", "left").select("token", F.coalesce("price", "c_acctbal").alias("value"), F.when(F.col("price").isNull(), "fetched").otherwise("cached").alias("origin"))
 
 
-@query(f", {_PLACED}, {_fold_sql('placed', 'f')} SELECT p_partkey AS ordinal, p_partkey * 7 % 150 AS pool_id, tick, liquidity, CASE WHEN f.pool_id IS NULL THEN 'incomplete' ELSE 'complete' END AS completeness FROM part LEFT JOIN f ON f.pool_id = p_partkey * 7 % 150")
+@query(f", {_PLACED}, {_fold_sql('placed', 'f')} SELECT p_partkey AS ordinal, p_partkey * 7 % 1201 AS pool_id, tick, liquidity, CASE WHEN f.pool_id IS NULL THEN 'incomplete' ELSE 'complete' END AS completeness FROM part LEFT JOIN f ON f.pool_id = p_partkey * 7 % 1201")
 def slice_lookup(spark, d):
     """One answer for each asked pool in the order of asking; unknown and underivable ones are incomplete."""
-    asked = M.table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), (F.col("p_partkey") * 7 % 150).alias("pool_id"))
+    asked = M.table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), (F.col("p_partkey") * 7 % 1201).alias("pool_id"))
     state = pool_state_fold(spark, d).select("pool_id", "tick", "liquidity")
     return asked.join(state, "pool_id", "left").select("ordinal", "pool_id", "tick", "liquidity", F.when(F.col("tick").isNull(), "incomplete").otherwise("complete").alias("completeness"))
 
@@ -265,7 +270,7 @@ def unknown_tokens(spark, d):
 
 
 def _route_edges(spark, d):
-    return M.pools(spark, d).where("pool_id % 4 = 0").select("pool_id", "token0", "token1")
+    return M.pools(spark, d).select("pool_id", "token0", "token1")
 
 
 @query()
@@ -273,7 +278,7 @@ def routing_2core(spark, d):
     return routing.two_core(M.pools(spark, d).select("pool_id", "token0", "token1"), 1, 5)
 
 
-@query(", g AS (SELECT token0 AS a, token1 AS b FROM pools WHERE pool_id % 4 = 0 UNION SELECT token1, token0 FROM pools WHERE pool_id % 4 = 0), w AS (SELECT 1::BIGINT AS token, 0::BIGINT AS hops UNION SELECT b, hops + 1 FROM w JOIN g ON a = token WHERE hops < 25) SELECT token, min(hops) AS hops FROM w GROUP BY token")
+@query(", g AS (SELECT token0 AS a, token1 AS b FROM pools UNION SELECT token1, token0 FROM pools), w AS (SELECT 1::BIGINT AS token, 0::BIGINT AS hops UNION SELECT b, hops + 1 FROM w JOIN g ON a = token WHERE hops < 25) SELECT token, min(hops) AS hops FROM w GROUP BY token")
 def reserves_reach_route(spark, d):
     return routing.reachable(_route_edges(spark, d), 1)
 
@@ -309,7 +314,7 @@ def _flows(spark, d):
 
 
 _FLOWS = "flows AS (SELECT number % 4 AS stage, token0, token1, pool_id, amount AS amount_in, amount - tick AS amount_out, l_linenumber::BIGINT AS weight FROM logs JOIN pools USING (pool_id) WHERE kind IN ('mint', 'swap'))"
-_STEPS = f"{_FLOWS}, steps AS (SELECT stage, token0, token1, pool_id, sum(amount_in)::BIGINT AS amount_in, sum(amount_out)::BIGINT AS amount_out, count(*) AS n_merged FROM flows WHERE NOT weight < 3 GROUP BY ALL)"
+_STEPS = f"{_FLOWS}, steps AS (SELECT stage, token0, token1, pool_id, sum(amount_in)::BIGINT AS amount_in, sum(amount_out)::BIGINT AS amount_out, sum(weight)::BIGINT AS weight, count(*) AS n_merged FROM flows WHERE NOT weight < 3 GROUP BY ALL)"
 
 
 @query(f", {_FLOWS} SELECT stage, count(*) AS n_flows, count(DISTINCT pool_id) AS n_pools, sum(amount_in)::BIGINT AS amount_in, sum(amount_out)::BIGINT AS amount_out FROM flows GROUP BY stage")
@@ -322,9 +327,9 @@ def plan_merge(spark, d):
     return P.plan_steps(_flows(spark, d), ["stage", "token0", "token1", "pool_id"], 3)
 
 
-@query(f", {_STEPS} SELECT *, amount_in * 1000000 // (sum(amount_in) OVER (PARTITION BY stage, token0))::BIGINT AS share_ppm FROM steps")
+@query(f", {_STEPS} SELECT *, round(CASE WHEN sum(weight) OVER w > 0 THEN weight::DOUBLE / sum(weight) OVER w ELSE 0 END, 9) AS share FROM steps WINDOW w AS (PARTITION BY stage, token0)")
 def plan_normalized(spark, d):
-    return P.normalized(plan_merge(spark, d), ["stage", "token0"])
+    return P.normalized(plan_merge(spark, d), ["stage", "token0"]).withColumn("share", F.round("share", 9))
 
 
 @query(f", {_RES} SELECT pool_id, floor(r1 * (1000.0::DOUBLE * (1000000.0::DOUBLE - fee_pips) / 1000000.0::DOUBLE) / (r0 + 1000.0::DOUBLE * (1000000.0::DOUBLE - fee_pips) / 1000000.0::DOUBLE))::BIGINT AS amount_out FROM res")
@@ -348,7 +353,7 @@ def _candidates(spark, d):
 
 _MERGED = """cand AS (SELECT p_partkey AS token, CASE WHEN p_size % 5 <> 0 THEN p_name END AS symbol, p_retailprice AS tvl, p_size % 3 <> 0 AS trusted, 0 AS source_order FROM part
   UNION ALL SELECT c_custkey, c_name, c_acctbal * 10, c_nationkey % 2 = 0, 1 FROM customer),
-merged AS (SELECT token, arg_min(symbol, source_order) FILTER (symbol IS NOT NULL) AS symbol, max(CASE WHEN NOT isnan(tvl) AND tvl > 0 THEN tvl END) AS tvl, bool_or(trusted) AS trusted, count(*) AS n_sources FROM cand GROUP BY token)"""
+merged AS (SELECT token, arg_min(symbol, source_order) FILTER (symbol IS NOT NULL) AS symbol, arg_min(tvl, source_order) FILTER (NOT isnan(tvl) AND tvl > 0) AS tvl, bool_or(trusted) AS trusted, count(*) AS n_sources FROM cand GROUP BY token)"""
 _RISK = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(coalesce(html, ''), '{p}') THEN '{n}' END" for n, p in sorted(vetting.RISKS.items())) + ")"
 _EXAMINED = f"""{_MERGED}, risk AS (SELECT page_id, {_RISK} AS flags FROM pages),
 ex AS (SELECT token, CASE WHEN token % 17 = 0 THEN 'no_decimals' WHEN token % 41 > 36 THEN 'decimals' WHEN NOT trusted THEN 'not_trusted' WHEN coalesce(tvl, 0) < {vetting.LEAST_TVL} AND token % 3 <> 0 THEN 'low_tvl' WHEN coalesce(flags, '') <> '' THEN 'risk' ELSE 'approve' END AS verdict, symbol, tvl FROM merged LEFT JOIN risk ON page_id = token)"""

@@ -1,7 +1,12 @@
 """Cutting lineage between the rounds of an iterative plan."""
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or a folder below the warehouse where it is unset."""
@@ -10,8 +15,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: later rounds and lost executors read it and don't recompute."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` as a written table: computed once, later rounds and lost executors read it and don't recompute."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/cut_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the cluster's own clean-up of the folder applies
+            return

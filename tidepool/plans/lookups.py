@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.operators import blocks as B
-from tidepool.operators import checks, flows
+from tidepool.operators import checks, flows, router
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
 from tidepool.sources import market as M
@@ -115,3 +115,34 @@ def replay_exact(spark, d):
     rows = virtual_reserves(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "token0"), C.KEYS).where("failure is null")
     steps = rows.select(F.col("token0").alias("plan_id"), F.col("pool_id").alias("step"), "pool_id", (F.col("pool_id") % 2 == 0).alias("forward"), F.col("x").alias("r0"), F.col("y").alias("r1"), "fee_pips", F.lit("1000000").alias("entry"))
     return flows.replay_exact(steps)
+
+
+def _sessions(spark, d, iterations=10):
+    """A closed route of 1000 from every token of a chain, and the directional cells of the chain's pools."""
+    cells = C.reserves_directional(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "fee_pips"), C.KEYS)
+    cells = cells.where("token_in <> token_out").select(F.col("chain").alias("market"), "token_in", "token_out", "pool_id", F.col("r_in").cast("double"), F.col("r_out").cast("double"), (1 - F.col("fee_pips") / 1e6).alias("fee"), (F.col("r_in") / 10.0).alias("cap"), F.lit(False).alias("disabled"))
+    tokens = cells.select("market", F.col("token_in").alias("source")).distinct()
+    rows = tokens.select((F.col("market") * 1000 + F.col("source")).alias("session_id"), "market", "source", F.col("source").alias("output"), F.lit(1000.0).alias("amount"), F.lit(iterations).alias("iterations"))
+    return rows, cells
+
+
+@query(f""", {C._RES}, cell AS (SELECT chain, a, b, x::DOUBLE AS x, y::DOUBLE AS y, 1 - fee_pips / 1e6 AS g, x / 10.0 AS cap FROM
+  (SELECT chain, pool_id, token0 AS a, token1 AS b, r0 AS x, r1 AS y FROM res UNION ALL SELECT chain, pool_id, token1, token0, r1, r0 FROM res) JOIN (SELECT chain, pool_id, fee_pips FROM pools) USING (chain, pool_id) WHERE a <> b),
+slots AS (SELECT chain, b AS t, max(n) AS m FROM (SELECT chain, a, b, count(*) AS n FROM cell GROUP BY ALL) GROUP BY ALL), total AS (SELECT chain, sum(m)::DOUBLE AS r FROM slots GROUP BY chain),
+v0 AS (SELECT DISTINCT chain, a AS s, a AS t, 1000.0::DOUBLE AS v FROM cell),
+v1 AS (SELECT chain, s, t, sum(v) AS v FROM (SELECT v0.chain, s, b AS t, y * least(v / r * g, cap) / (x + least(v / r * g, cap) + {2.0**-23!r}) AS v FROM v0 JOIN cell ON cell.chain = v0.chain AND a = t JOIN total ON total.chain = v0.chain
+  UNION ALL SELECT v0.chain, s, v0.t, v * m / r FROM v0 JOIN slots ON slots.chain = v0.chain AND slots.t = v0.t JOIN total ON total.chain = v0.chain) GROUP BY ALL),
+v2 AS (SELECT chain, s, t, sum(v) AS v FROM (SELECT v1.chain, s, b AS t, y * least(v / r * g, cap) / (x + least(v / r * g, cap) + {2.0**-23!r}) AS v FROM v1 JOIN cell ON cell.chain = v1.chain AND a = t JOIN total ON total.chain = v1.chain
+  UNION ALL SELECT v1.chain, s, v1.t, v * m / r FROM v1 JOIN slots ON slots.chain = v1.chain AND slots.t = v1.t JOIN total ON total.chain = v1.chain) GROUP BY ALL),
+v3 AS (SELECT chain, s, sum(v) AS v FROM (SELECT v2.chain, s, y * least(v / m * g, cap) / (x + least(v / m * g, cap) + {2.0**-23!r}) AS v FROM v2 JOIN cell ON cell.chain = v2.chain AND a = v2.t AND b = s JOIN slots ON slots.chain = v2.chain AND slots.t = s
+  UNION ALL SELECT chain, s, v FROM v2 WHERE t = s) GROUP BY ALL)
+SELECT chain * 1000 + s AS session_id, round(v, 6) AS start FROM v3""")
+def route_forward(spark, d):
+    """What every closed route returns at equal shares."""
+    return router.evaluate(*_sessions(spark, d, 0)).select("session_id", F.round("start", 6).alias("start"))
+
+
+@query()
+def route_flows(spark, d):
+    """Every cell's flow of every closed route after ten steps of training."""
+    return router.trained_flows(*_sessions(spark, d))
