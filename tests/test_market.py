@@ -35,7 +35,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 

@@ -66,7 +66,7 @@ def magnitude(digits: Column) -> Column:
 def decode(logs: DataFrame, managers: DataFrame) -> DataFrame:
     """One row per log that changes a pool: chain, block_number, log_index, protocol, pool, kind, sqrt_price, tick, liquidity, tick_lower, tick_upper, amount.
 
-    ``logs``: chain, address, topics, data, block_number, log_index; ``managers``: address, a few rows.
+    ``logs``: chain, address, topics, data, block_number, log_index; ``managers``: address, one for each chain, so few that they are broadcast.
     A v3 pool is its emitter, a v4 pool its id, taken only from a manager.  Dropped: logs without an
     index, unknown or too few topics, data that ends early, liquidity changes of 128 bits and more.
     Prices, liquidities and amounts stay hex digits (40, 32 and 32), as no number type holds them all.

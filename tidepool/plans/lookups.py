@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import ticks, wide
 from tidepool.operators import blocks as B
 from tidepool.operators import checks, flows, router
+from tidepool.operators import plans as X
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
 from tidepool.sources import market as M
@@ -146,3 +147,52 @@ def route_forward(spark, d):
 def route_flows(spark, d):
     """Every cell's flow of every closed route after ten steps of training."""
     return router.trained_flows(*_sessions(spark, d))
+
+
+#: Flows lighter than this are pruned from the plans of blocks.
+LIGHT = 0.2
+_CELLS_OF_BLOCKS = """cell AS (SELECT chain * 100000 + number AS plan_id, l_linenumber::BIGINT % 3 AS stage, token0 AS token_in, CASE l_linenumber WHEN 7 THEN token0 ELSE token1 END AS token_out,
+  CASE WHEN l_linenumber <> 7 AND l_partkey % 6 <> 0 THEN pool_id END AS pool_id, l_linenumber / 8.0::DOUBLE AS weight, amount AS amount_in, amount - tick AS amount_out FROM logs JOIN pools USING (pool_id)),
+kinds AS (SELECT *, CASE WHEN token_in % 2 = 0 AND token_out = token_in + 1 THEN 'bridge' WHEN pool_id IS NOT NULL THEN 'swap' WHEN token_in = token_out THEN 'carry' END AS kind FROM cell WHERE weight >= 0.2),
+merged AS (SELECT plan_id, stage, token_in, token_out, kind, CASE kind WHEN 'swap' THEN pool_id END AS pool_id, sum(weight) AS weight, sum(amount_in)::BIGINT AS amount_in, sum(amount_out)::BIGINT AS amount_out FROM kinds WHERE kind IS NOT NULL GROUP BY ALL)"""
+
+
+def _block_plans(spark, d):
+    """Every block's logs as the cells of one plan, with bridges from even tokens to the next."""
+    rows = C._placed(spark, d).join(M.pools(spark, d).select("pool_id", "token0", "token1"), "pool_id")
+    line = F.col("l_linenumber")
+    cells = rows.select(
+        (F.col("chain") * 100000 + F.col("number")).alias("plan_id"), (line.cast("long") % 3).alias("stage"), F.col("token0").alias("token_in"), F.when(line == 7, F.col("token0")).otherwise(F.col("token1")).alias("token_out"),
+        F.when((line != 7) & (F.col("l_partkey") % 6 != 0), F.col("pool_id")).alias("pool_id"), (line / 8.0).alias("weight"), F.col("amount").alias("amount_in"), (F.col("amount") - F.col("tick")).alias("amount_out"),
+    )
+    tokens = M.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("token_in"))
+    return X.build(cells, tokens.withColumn("token_out", F.col("token_in") + 1), LIGHT)
+
+
+@query(f", {_CELLS_OF_BLOCKS} SELECT plan_id, stage, token_in, token_out, kind, pool_id, amount_in, amount_out, round(weight / sum(weight) OVER (PARTITION BY plan_id, stage, token_in), 9) AS weight FROM merged")
+def plan_build(spark, d):
+    return _block_plans(spark, d).withColumn("weight", F.round("weight", 9))
+
+
+def _plan_inputs(spark, d):
+    """Plans of blocks from the smallest token of their first stage to the largest of their last, their steps and exact reserves."""
+    steps = _block_plans(spark, d)
+    ends = steps.groupBy("plan_id").agg(F.min_by("token_in", F.struct("stage", "token_in")).alias("source"), F.max_by("token_out", F.struct("stage", "token_out")).alias("output"))
+    book = virtual_reserves(spark, d).where("failure is null").join(M.pools(spark, d).select("pool_id", "token0", "token1"), "pool_id")
+    reserves = book.select("pool_id", "token0", "token1", F.col("x").alias("r0"), F.col("y").alias("r1"), F.col("max_x").alias("cap0"), F.col("max_y").alias("cap1"), "fee_pips")
+    return ends, steps, reserves
+
+
+@query()
+def replay_stages(spark, d):
+    """Every block's plan in single precision, stage by stage on reserves that its steps change."""
+    ends, steps, reserves = _plan_inputs(spark, d)
+    return X.replay(ends.withColumn("entry", F.lit(1000.0)), steps, reserves, exact=False)
+
+
+@query()
+def verify_plans(spark, d):
+    """Every block's plan checked in whole units: decimals, bridges, entry, replay, profit."""
+    ends, steps, reserves = _plan_inputs(spark, d)
+    decimals = M.table(spark, d, "nation").where("n_nationkey % 12 <> 11").select(F.col("n_nationkey").cast("long").alias("token"), F.when(F.col("n_nationkey") % 8 < 7, 6).otherwise(8).alias("decimals"))
+    return X.verify(ends.withColumn("entry", F.lit(0.001)), steps, reserves, decimals)
