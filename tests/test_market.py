@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
-from tidepool.operators import blocks, checks, flows, fold, registry, router, routing
+from tidepool.operators import blocks, checks, flows, fold, registry, router, routing, vetting
 from tidepool.plans import catalog, lookups
 
 SF = "/root/testdata/sf0.01"
@@ -35,7 +35,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "contract_verdicts", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 
@@ -240,3 +240,13 @@ def test_routes_of_sessions(spark):
     rows = router.trained_flows(sessions, cells).toPandas()
     assert set(rows.session_id) == {1} and (rows.pool_id.isna() == (rows.token_in == rows.token_out)).all()
     assert router.evaluate(sessions.limit(0), cells).count() == 0
+
+
+def test_contracts_without_evidence_and_without_rows(spark):
+    schema = "token string, decimals int, trusted boolean, tvl double, inspect_error string, code string, chain_decimals int, proxy_target string, source string"
+    rows = [("aa", None, None, None, None, None, None, None, None), ("bb", None, True, float("nan"), None, "60", 6, None, ""), ("cc", 7, True, None, None, "60", 6, None, ""), ("bb", None, True, None, None, "60", 6, None, "Paused TAKEFEE")]
+    none = spark.createDataFrame([], "token string")
+    listed = spark.createDataFrame([("bb",), ("bb",)], "token string")
+    got = sorted((r.token, r.reason, r.decimals) for r in vetting.examine(spark.createDataFrame(rows, schema), none, listed).collect())
+    assert got == [("aa", "no_code", None), ("bb", "plain", 6), ("bb", "risk:transfer-tax,pausable", None), ("cc", "decimals_disagree", None)]
+    assert vetting.examine(spark.createDataFrame([], schema), none, none).count() == 0

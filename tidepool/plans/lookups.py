@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.operators import blocks as B
-from tidepool.operators import checks, flows, router
+from tidepool.operators import checks, flows, router, vetting
 from tidepool.operators import plans as X
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
@@ -196,3 +196,26 @@ def verify_plans(spark, d):
     ends, steps, reserves = _plan_inputs(spark, d)
     decimals = M.table(spark, d, "nation").where("n_nationkey % 12 <> 11").select(F.col("n_nationkey").cast("long").alias("token"), F.when(F.col("n_nationkey") % 8 < 7, 6).otherwise(8).alias("decimals"))
     return X.verify(ends.withColumn("entry", F.lit(0.001)), steps, reserves, decimals)
+
+
+#: Sources of the derived market's contracts by part % 9: one without risks, one of each flag, one of two, and none.
+SOURCES = ("contract Plain {}", "uint BuyTax;", "mapping isBlacklisted;", "bool tradingOpen;", "uint _rOwned;", "import Pausable;", "DELEGATECALL", "maxTx; rebase();")
+_FOUND = ("", "transfer-tax", "blacklist", "trading-gate", "rebase-or-reflection", "pausable", "upgradeable", "trading-gate,rebase-or-reflection")
+_EVIDENCE = f"""ev AS (SELECT CASE p_partkey WHEN 0 THEN '{vetting.NATIVE}' ELSE lpad(lower(to_hex(p_partkey)), 40, '0') END AS token, p_partkey AS p, p_size AS z, p_retailprice AS tvl,
+  ({list(_FOUND)})[(p_partkey % 9 + 1)::INT] AS flags FROM part)"""
+
+
+@query(f""", {_EVIDENCE}, ladder AS (SELECT token, CASE WHEN p = 0 THEN 'native' WHEN p % 31 = 0 THEN 'inspection_failed' WHEN p % 29 = 0 THEN 'managed_exception' WHEN p % 23 = 0 THEN 'no_code' WHEN p % 19 = 0 THEN 'no_decimals'
+  WHEN p % 17 = 0 THEN 'decimals_disagree' WHEN p % 13 = 0 THEN 'proxy' WHEN p % 9 = 8 THEN 'unverified_source' WHEN z % 3 = 0 THEN 'not_trusted' WHEN tvl * 8 < 10000 AND p % 7 <> 0 THEN 'unpopular'
+  WHEN flags <> '' THEN 'risk:' || flags ELSE 'plain' END AS reason, p FROM ev)
+SELECT token, reason IN ('native', 'managed_exception', 'plain') AS approved, reason, CASE WHEN reason = 'native' THEN 18 WHEN reason = 'plain' OR (reason = 'managed_exception' AND p % 19 <> 0) THEN 6 END AS decimals FROM ladder""")
+def contract_verdicts(spark, d):
+    """Every part as a token contract, through the whole decision list."""
+    p = F.col("p_partkey")
+    parts = M.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", F.when(p == 0, vetting.NATIVE).otherwise(F.lpad(F.lower(F.hex(p)), 40, "0")).alias("token"))
+    evidence = parts.select(
+        "token", F.when(p % 17 == 0, 9).otherwise(F.when(p % 2 == 0, 6)).alias("decimals"), (F.col("p_size") % 3 != 0).alias("trusted"), (F.col("p_retailprice") * 8).alias("tvl"),
+        F.when(p % 31 == 0, "timeout").alias("inspect_error"), F.when(p % 46 == 0, "0").when(p % 23 != 0, "6080").alias("code"), F.when(p % 19 != 0, 6).alias("chain_decimals"),
+        F.when(p % 13 == 0, F.col("token")).alias("proxy_target"), F.get(F.array(*map(F.lit, SOURCES)), (p % 9).cast("int")).alias("source"),
+    )
+    return vetting.examine(evidence, parts.where(p % 29 == 0).select("token"), parts.where(p % 7 == 0).select("token"))
