@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from tidepool.plans.lineage import cut
 
 
-def canonical(heads: DataFrame) -> DataFrame:
-    """chain, block and distance of every block on the path from each chain's highest block to its root.
+def canonical(heads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """chain, block and distance of every block on the path from each chain's highest block (or its block in ``starts``) to its root.
 
     Pointer doubling: log2(longest chain) rounds of two joins, whatever the number of chains.
     Blocks that name themselves as parent are roots.  A chain whose path runs into a cycle has none:
     it meets a block again, and is left out.
     """
     jumps = cut(heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to")))
-    marked = cut(heads.groupBy("chain").agg(F.max("block").alias("block")).withColumn("distance", F.lit(0).cast("long")))
+    starts = heads.groupBy("chain").agg(F.max("block").alias("block")) if starts is None else starts.select("chain", "block")
+    marked = cut(starts.withColumn("distance", F.lit(0).cast("long")))
     step = 1
     while True:
         reached = marked.join(jumps, ["chain", "block"]).select("chain", F.col("to").alias("block"), (F.col("distance") + step).alias("distance"))
