@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_market import SF, duck, plain  # noqa: F401  (duck is a fixture)
-from tidepool.operators import cache, graph, indexer
+from tidepool.operators import artifacts, cache, graph, indexer
 from tidepool.operators.ordered import with_previous
 from tidepool.plans import catalog, feeds, graphs
 
@@ -92,3 +92,11 @@ def test_chain_scan_reads_one_folder(spark, tmp_path):
     scan = cache.scan_chain(spark, f"file://{tmp_path}/c", 1)
     assert scan.count() == 10 and "PartitionFilters: [isnotnull(chain" in scan._jdf.queryExecution().executedPlan().toString()
     assert spark.range(1).select(cache.cache_key(F.lit(1), F.lit("v9"), F.lit("00"))).first()[0] is None
+
+
+def test_artifact_of_an_unknown_chain(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    artifacts.write_artifact(spark.createDataFrame([("base", 1, None), ("mars", 2, "M")], "chain string, token long, symbol string"), path)
+    with pytest.raises(ValueError, match="mars"):
+        artifacts.read_artifact(spark, path, ["base"])
+    assert {tuple(r) for r in artifacts.read_artifact(spark, path, ["base", "mars"]).collect()} == {("base", 1, None), ("mars", 2, "M")}

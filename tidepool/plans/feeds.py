@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidepool.operators import artifacts as A
 from tidepool.operators import cache as K
 from tidepool.operators import decode as D
 from tidepool.operators import indexer as I
@@ -13,6 +14,7 @@ from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
 from tidepool.plans.lineage import cut, shared_folder
 from tidepool.sources import market as M
+from tidepool.streaming import logs as S
 
 
 def _hex(c, digits=40):
@@ -151,3 +153,43 @@ def factory_checks(spark, d):
 @query("SELECT DISTINCT token0 AS token_in, token1 AS token_out, token0 % 3 <> 1 AND token1 % 3 <> 1 AS kept FROM pools")
 def bridge_split(spark, d):
     return I.split_bridges(M.pools(spark, d).select(F.col("token0").alias("token_in"), F.col("token1").alias("token_out")), C._allowed(spark, d), 5)
+
+
+_SLUGS = list(I.BASELINE)
+_LISTED = f"listed AS (SELECT ([{', '.join(repr(s) for s in _SLUGS)}])[(token % 6 + 1)::INT] AS chain, token, symbol FROM ex WHERE verdict = 'approve')"
+
+
+def _listed(spark, d):
+    """Approved tokens dealt to six of the seven chains."""
+    return C.whitelist_artifact(spark, d).select(F.get(F.array(*map(F.lit, _SLUGS)), (F.col("token") % 6).cast("int")).alias("chain"), "token", "symbol")
+
+
+@query(f", {C._EXAMINED}, {_LISTED} SELECT * FROM listed")
+def whitelist_round_trip(spark, d):
+    """The whitelist written by chain and read back."""
+    path = f"{shared_folder(spark)}/whitelist_{uuid.uuid4().hex}"
+    A.write_artifact(_listed(spark, d), path)
+    return A.read_artifact(spark, path, _SLUGS)
+
+
+@query(f", {C._EXAMINED}, {_LISTED} SELECT c.chain, count(DISTINCT token) AS n_tokens, count(token) = 0 AS warn FROM (SELECT unnest({_SLUGS}) AS chain) c LEFT JOIN listed ON listed.chain = c.chain GROUP BY c.chain")
+def whitelist_summary(spark, d):
+    active = spark.createDataFrame([(s,) for s in _SLUGS], "chain string")
+    return A.chain_counts(active, _listed(spark, d))
+
+
+@query(f", {C._EXAMINED} SELECT token, verdict, symbol, tvl FROM ex")
+def vetting_report(spark, d):
+    """The report of all decisions, written and read back."""
+    path = f"{shared_folder(spark)}/report_{uuid.uuid4().hex}"
+    A.write_report(C._examined(spark, d), path)
+    return spark.read.schema("token long, verdict string, symbol string, tvl double").json(path)
+
+
+@query("SELECT user_id % 20 AS chain, event_id AS block, event_type FROM events WHERE event_id % 3 <> 0 AND event_id % 5 IN (1, 2, 3)")
+def staged_logs(spark, d):
+    """Logs that wait for their block's head or it for them: every third head never comes, two in five too far apart."""
+    stream = S.event_stream(spark, d).select((F.col("user_id") % 20).alias("chain"), F.col("event_id").alias("block"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    shifted = F.col("ts") + F.make_dt_interval(mins=(4 * (F.col("event_id") % 5 - 2)).cast("int"))
+    heads = S.event_stream(spark, d).where("event_id % 3 <> 0").withColumn("ts", F.col("ts").cast("timestamp")).select((F.col("user_id") % 20).alias("head_chain"), F.col("event_id").alias("head_block"), shifted.alias("head_ts"))
+    return S.append_to_table(S.staged(stream, heads), spark).select("chain", "block", "event_type")

@@ -40,3 +40,20 @@ def run_to_table(counts: DataFrame, spark: SparkSession) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.schema("start timestamp, event_type string, n_events long, batch int").parquet(f"{root}/out")
     return rows.groupBy("start", "event_type").agg(F.max_by("n_events", "batch").alias("n_events"))
+
+
+def staged(logs: DataFrame, heads: DataFrame, stay: str = "5 minutes", late: str = "3650 days") -> DataFrame:
+    """Logs (chain, block, ts, ...) of blocks whose head (head_chain, head_block, head_ts) comes too, before or after them.
+
+    The earlier side waits in the join's state; pairs more than ``stay`` apart don't meet, and the
+    watermark drops what can't meet any more, so the state needs no cap of blocks.
+    """
+    on = F.expr(f"chain = head_chain and block = head_block and head_ts between ts - interval {stay} and ts + interval {stay}")
+    return logs.withWatermark("ts", late).join(heads.withWatermark("head_ts", late), on).drop("head_chain", "head_block")
+
+
+def append_to_table(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs a stream of appended rows over what there is and returns them as a table."""
+    root = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/out")
