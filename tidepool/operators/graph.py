@@ -157,3 +157,14 @@ def frontier_changes(frontiers: DataFrame) -> DataFrame:
     """chain, seq, frontier: the readings that differ from the last that wasn't null."""
     known = frontiers.where("frontier is not null")
     return with_previous(known, "chain", "seq", ["frontier"]).where(~F.col("frontier").eqNullSafe(F.col("before.frontier"))).select("chain", "seq", "frontier")
+
+
+def candidate_owners(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """chain, pool_id, block: pools that no registry knows (chain, pool_id), each owned by the newest block that names it."""
+    return candidates.join(known, ["chain", "pool_id"], "left_anti").groupBy("chain", "pool_id").agg(F.min_by("block", "depth").alias("block"))
+
+
+def unknown_tokens(candidates: DataFrame, metadata: DataFrame, known: DataFrame) -> DataFrame:
+    """chain, token: tokens of candidates that have metadata (chain, pool_id, token0, token1), without those known."""
+    pairs = candidates.select("chain", "pool_id").distinct().join(metadata, ["chain", "pool_id"])
+    return pairs.select("chain", F.explode(F.array("token0", "token1")).alias("token")).distinct().join(known, ["chain", "token"], "left_anti")

@@ -151,3 +151,32 @@ def frontier_changes(spark, d):
     """Frontiers (here of seven numbers each) that are sent on; every eleventh reading has none."""
     frontier = F.when(F.col("block") % 11 != 0, F.floor(F.col("number") / 7))
     return G.frontier_changes(_numbered(spark, d).select("chain", F.col("block").alias("seq"), frontier.alias("frontier")))
+
+
+_NAMED = "named AS (SELECT w.chain, w.block, w.depth, u.user_id AS pool_id FROM walk w JOIN nodes n ON n.chain = w.chain AND n.block = w.block JOIN events u ON u.event_id = w.block WHERE n.authority > 0)"
+
+
+@query(f", {_GRAPH}, {_NAMED} SELECT chain, pool_id, arg_min(block, depth) AS block FROM named WHERE pool_id % 7 <> 0 GROUP BY chain, pool_id")
+def candidate_owners(spark, d):
+    """Every seventh pool is known."""
+    known = M.table(spark, d, "events").where("user_id % 7 = 0").select((F.col("user_id") % 20).alias("chain"), F.col("user_id").alias("pool_id")).distinct()
+    return G.candidate_owners(path_candidates(spark, d), known)
+
+
+@query(f""", {_GRAPH}, {_NAMED} SELECT DISTINCT chain, token FROM (SELECT chain, unnest([pool_id % 25, pool_id % 23]) AS token FROM named WHERE pool_id % 4 <> 1) WHERE (token + chain) % 3 <> 0""")
+def candidate_tokens(spark, d):
+    """Tokens of the candidates with metadata (three in four) that no registry holds (every third does, by chain)."""
+    candidates = path_candidates(spark, d)
+    pools = M.table(spark, d, "events").select((F.col("user_id") % 20).alias("chain"), F.col("user_id").alias("pool_id")).distinct()
+    metadata = pools.where("pool_id % 4 <> 1").select("chain", "pool_id", (F.col("pool_id") % 25).alias("token0"), (F.col("pool_id") % 23).alias("token1"))
+    tokens = pools.select("chain").distinct().select("chain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("token"))
+    return G.unknown_tokens(candidates, metadata, tokens.where("(token + chain) % 3 = 0"))
+
+
+@query("""SELECT pool_id, count(*) + count_if(l_partkey % 5 = 0) AS n_logs, count(DISTINCT (l_orderkey, l_linenumber)) AS n_kept FROM logs GROUP BY pool_id""")
+def log_redelivery(spark, d):
+    """Logs of which every fifth part's come twice, each counted once by block and index."""
+    logs = M.logs(spark, d).select("pool_id", "number", "l_orderkey", "l_linenumber", "l_partkey")
+    sent = logs.union(logs.where("l_partkey % 5 = 0"))
+    once = sent.groupBy("pool_id", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("pool_id").agg(F.sum("n").alias("n_logs"), F.count(F.lit(1)).alias("n_kept"))
