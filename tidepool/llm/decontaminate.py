@@ -5,7 +5,9 @@ k-grams the smallest hash is kept (the leftmost among equals).  Any shared run o
 ``K + W - 1`` words has a kept hash in common, so with K + W - 1 at most the window length
 every item window that stands in a document is found.  The fingerprints are joined, and each
 hit is extended along its diagonal: the words of item and document are compared where the two
-are aligned, and runs of at least the window's words are hits.  Items shorter than a window
+are aligned, and runs of at least the window's words are hits.  Runs are kept as stretches and
+their overlaps are counted once, so an alignment costs no more than its item has words, in a
+document that repeats one word as in any other.  Items shorter than a window
 are one window of all their words; those shorter than ``K + W - 1`` are found through the
 hash of the whole item instead, at the item lengths that occur (12 at most).
 
@@ -96,9 +98,9 @@ def _short_marks(n: int) -> Column:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = K, w: int = W) -> DataFrame:
-    """(doc_id, th, item_id, pos): each document word inside an occurrence of an item window.
+    """(doc_id, th, item_id, start, end): stretches of document words that are all inside occurrences of item windows.
 
-    ``th`` is the hash of the document's text: with the id it names a document.
+    ``th`` is the hash of the document's text: with the id it names a document.  Stretches may overlap.
     """
     if k + w - 1 > window:
         raise ValueError("windows shorter than k + w - 1 words would be missed")
@@ -109,10 +111,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: i
     lengths = sorted(r[0] for r in items.where(F.size("words") < long).select(F.size("words")).distinct().collect())  # 12 at most
 
     marks = with_fingerprints(with_grams(items.where(F.size("words") >= long), k, "grams"), w, "prints")
-    marks = marks.select("item_id", "ih", F.lit(0).alias("kind"), F.explode("prints").alias("f")).select("item_id", "ih", "kind", F.col("f.at").alias("item_at"), F.col("f.h").alias("h"))
+    marks = marks.select("item_id", "ih", F.size("words").alias("size"), F.lit(0).alias("kind"), F.explode("prints").alias("f")).select("item_id", "ih", "size", "kind", F.col("f.at").alias("item_at"), F.col("f.h").alias("h"))
     whole = None
     for n in lengths:
-        grams = with_grams(items.where(F.size("words") == n), n, "whole").select("item_id", "ih", F.lit(n).alias("kind"), F.lit(0).alias("item_at"), F.get("whole", F.lit(0)).alias("h"))
+        grams = with_grams(items.where(F.size("words") == n), n, "whole").select("item_id", "ih", F.lit(n).alias("size"), F.lit(n).alias("kind"), F.lit(0).alias("item_at"), F.get("whole", F.lit(0)).alias("h"))
         whole = grams if whole is None else whole.union(grams)
     marks = scratch.table(marks if whole is None else marks.union(whole), "marks")
 
@@ -125,7 +127,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: i
         found = F.concat(found, _short_marks(n))
     prints = hashed.select("doc_id", "th", F.explode(found).alias("f")).select("doc_id", "th", "f.kind", F.col("f.at").alias("at"), F.col("f.h").alias("h"))
     side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    aligned = prints.join(side, ["h", "kind"]).select("doc_id", "th", "item_id", "ih", (F.col("at") - F.col("item_at")).alias("shift"))
+    aligned = prints.join(side, ["h", "kind"]).select("doc_id", "th", "item_id", "ih", "size", (F.col("at") - F.col("item_at")).alias("shift"))
     aligned = scratch.table(aligned.distinct(), "aligned")
 
     shifts = aligned.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
@@ -133,16 +135,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: i
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     near = _documents(docs)
     held = near.join(shifts, same(near, shifts), "left_semi").select("doc_id", "th", words_of(F.col("text")).alias("doc_words")).dropDuplicates(keys)
-    rows = aligned.join(held, same(aligned, held)).select(aligned["doc_id"], aligned["th"], "item_id", "ih", "shift", "doc_words")
-    size = F.size("words")
-    # The document's words under the item, with nulls where the item reaches over an end.
-    equal = F.transform(F.col("words"), lambda v, j: F.coalesce(F.when(F.col("shift") + j >= 0, F.get("doc_words", F.col("shift") + j)) == v, F.lit(False)))
-    need = F.least(size, F.lit(window))
-    rows = rows.join(items.select("item_id", "ih", "words"), ["item_id", "ih"]).select("doc_id", "th", "item_id", "shift", size.alias("size"), equal.alias("equal"), need.alias("need"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("size") - F.col("need")), lambda j: F.forall(F.slice(F.col("equal"), j + 1, F.col("need")), lambda e: e))
-    rows = rows.select("doc_id", "th", "item_id", "shift", "need", F.explode(starts).alias("j"))
-    at = F.explode(F.sequence(F.col("shift") + F.col("j"), F.col("shift") + F.col("j") + F.col("need") - 1))
-    return rows.select("doc_id", "th", "item_id", at.alias("pos")).distinct()
+    # An alignment takes along only the document's words under its item, from ``first`` on, not the whole document.
+    first, ahead = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+    under = F.slice("doc_words", first + 1, F.greatest(F.col("size") - ahead, F.lit(0)))
+    rows = aligned.join(held, same(aligned, held)).select(aligned["doc_id"], aligned["th"], "item_id", "ih", first.alias("first"), ahead.alias("ahead"), under.alias("under"))
+    need = F.least(F.size("words"), F.lit(window))
+    equal = F.zip_with("under", F.slice("words", F.col("ahead") + 1, F.greatest(F.size("under"), F.lit(0))), lambda d, v: d.eqNullSafe(v))
+    rows = rows.join(items.select("item_id", "ih", "words"), ["item_id", "ih"]).select("doc_id", "th", "item_id", "first", need.alias("need"), equal.alias("equal"))
+    # Where the two differ, with a mark before and behind: what lies between two marks are equal words.
+    marks_at = F.concat(F.array(F.lit(-1)), F.filter(F.transform("equal", lambda e, j: F.when(~e, j)), lambda j: j.isNotNull()), F.array(F.size("equal")))
+    rows = rows.select("doc_id", "th", "item_id", "first", "need", marks_at.alias("m"))
+    runs = F.zip_with(F.slice("m", 1, F.size("m") - 1), F.slice("m", 2, MOST_WORDS), lambda a, b: F.struct((F.col("first") + a + 1).alias("start"), (F.col("first") + b).alias("end")))
+    runs = F.filter(runs, lambda r: r["end"] - r["start"] >= F.col("need"))
+    return rows.select("doc_id", "th", "item_id", F.explode(runs).alias("r")).groupBy("doc_id", "th", "item_id", "r.start").agg(F.max("r.end").alias("end"))
+
+
+def covered(hits: DataFrame) -> DataFrame:
+    """(doc_id, th, n_hit): how many words of each document lie in its stretches (start, end), overlaps once."""
+    once = hits.groupBy("doc_id", "th", "start").agg(F.max("end").alias("end"))
+    before = F.coalesce(F.expr("max(end) over (partition by doc_id, th order by start rows between unbounded preceding and 1 preceding)"), F.lit(0))
+    fresh = once.withColumn("before", before).select("doc_id", "th", F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0)).alias("n"))
+    return fresh.groupBy("doc_id", "th").agg(F.sum("n").alias("n_hit"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, w: int = W) -> DataFrame:
@@ -152,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     hits = scratch.table(find_hits(docs, benchmark, scratch, window, k, w), "hits")
-    words = hits.select("doc_id", "th", "pos").distinct().groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_hit"))
+    words = covered(hits)
     items = hits.select("doc_id", "th", "item_id").distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
     per_doc = words.alias("a").join(items.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))).select("a.doc_id", "a.th", "n_hit", "items")
     per_doc = scratch.table(per_doc, "per_document")
