@@ -34,11 +34,15 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # greedy runs, so the same as runs of any length of which shorter ones are dropped
 }
+#: A token begins where no other word or hyphenated word goes on.  Behind a prefix that names of packages and settings have too,
+#: there must be twelve letters and digits in a row, digits among them.
+_APART = r"(?<![A-Za-z0-9_-])"
+_DRAWN = r"(?=[A-Za-z0-9_-]{0,200}?(?=[A-Za-z]{0,11}+[0-9])[A-Za-z0-9]{12})"
 #: Wider candidates, kept only where ownership says so.
 CANDIDATES = {
     "block": (r"-----BEGIN [A-Z ]*?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*?PRIVATE KEY-----", 0, 40),
-    "vendor": (r"(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|ya29\.|npm_|hf_)[A-Za-z0-9_-]{16,}", 0, 20),
-    "signed": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
+    "vendor": (_APART + r"(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|AIza|ya29\.|(?:sk-|npm_|hf_)" + _DRAWN + r")[A-Za-z0-9_-]{16,}", 0, 20),
+    "signed": (_APART + r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
     "mixed": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])", 0, 32),
 }
 ORDER = {kind: k for k, kind in enumerate([*BASE, *CANDIDATES])}
