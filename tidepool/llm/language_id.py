@@ -4,7 +4,8 @@ Features are hashed n-grams of 1 to 3 characters of the lower-cased text (white
 one blank), weighted by relative frequency times inverse document frequency.  Document
 frequencies are counted over every text that may be learnt from.  The weights are trained by
 follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, spread evenly over languages by hash order), and a temperature is then
+(``SAMPLE_ROWS`` in expectation and twice that at most, spread evenly over languages by hash
+order), and a temperature is then
 fitted on a part of that sample that training hasn't seen.  Scoring is one pass over whole
 texts without a shuffle.
 
@@ -162,24 +163,27 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str],
 def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on ``docs`` (text, lang, order): frequencies over all rows, weights on a sample.
 
-    ``order`` is a pseudo-random number that decides which rows are in the sample: each
-    language's smallest, in equal shares, ``sample_rows`` in all.  The cut-offs come from a
-    quantile of the pseudo-random numbers by language, so no group is gathered anywhere.
+    ``order`` is a pseudo-random number below 1 that decides which rows are in the sample: each
+    language's smallest, in equal shares, ``sample_rows`` in expectation and 2 * ``sample_rows``
+    at most, whatever repeats; rows equal in language, text and order count once.  The cut-offs
+    come from how many different numbers a language has (estimated), so no group is gathered
+    anywhere.  Languages beyond the ``sample_rows`` most frequent are left out.
     """
+    spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).toLocalIterator()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("order", 0.02).alias("n")).orderBy(F.desc("rows"), "lang").limit(sample_rows).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
     frequency, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + frequency)) + 1
     share = sample_rows / len(languages)
-    picked = None
-    for lang in languages:
-        here = (F.col("lang") == lang) & (F.col("order") < min(1.0, share / sizes[lang]))
-        picked = here if picked is None else picked | here
+    # One row a language, ``sample_rows`` at most.
+    cuts = spark.createDataFrame([(lang, min(1.0, share / n)) for lang, n in sizes.items()], "cut_lang string, cut double")
+    picked = known.join(F.broadcast(cuts), F.col("lang") == F.col("cut_lang")).where("order < cut")
+    picked = picked.select("text", "lang", "order", (F.col("order") / F.col("cut")).alias("rank")).dropDuplicates(["lang", "order", "text"]).orderBy("rank", "lang", "text").limit(2 * sample_rows)
     index = {lang: k for k, lang in enumerate(languages)}
-    sample = sparse_features(known.where(picked)).toArrow()
+    sample = sparse_features(picked).toArrow()  # 2 * sample_rows rows at most
     rows = [(index[lang], at.values.to_numpy().astype(np.int64), tf.values.to_numpy().astype(float)) for lang, at, tf in zip(sample["lang"].to_pylist(), sample["at"], sample["tf"], strict=True)]
     rows.sort(key=lambda r: (len(r[1]), r[0], r[2].tolist()))  # the same order however the input is split
     order = np.random.default_rng(7).permutation(len(rows))
@@ -213,7 +217,7 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held_out = F.coalesce(crc % 5 == 0, F.lit(False))
-    order = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("order")
+    order = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("order")
     learn = docs.where((crc % 5 != 0) & F.col("lang").isNotNull()).select("text", "lang", order)
     model = fit_language_model(learn)
     return predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
