@@ -31,14 +31,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group (five-word shingles, 0.8).
+    """One document of each near-duplicate group (five-word shingles, 0.8): that with the smallest doc_id.
 
-    Rows that repeat that doc_id are reduced to one; a row with a null doc_id stays if its group has no other id.
+    Among rows of that id with different texts, the one with the smallest text hash stays; rows
+    that repeat id and text are one document.  A null doc_id counts behind all others.  Documents
+    without words are in no group and stay.
     """
-    found = minhash_dedup.near_duplicates(docs, width=5, percent=80)
-    ids = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    found = minhash_dedup.near_duplicates(docs, width=5, percent=80).select("doc_id", "th", "component")
+    chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("kept_id"), F.col("c.th").alias("kept_th"))
+    wordless = found.where("component is null").select("doc_id", "th")
+    keys = chosen.union(wordless).distinct()
+    kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys["kept_id"]) & (F.xxhash64(docs["text"]) == keys["kept_th"]), "left_semi")
+    repeated = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
