@@ -1,4 +1,4 @@
-"""Route optimisation: how an amount is best split over pools, in three layers of swaps.
+"""The plain route optimiser on dense arrays, which the tests hold the one over tables against.
 
 A market's directional pools (token_in to token_out) are cells of a table with a column for each
 token that enters and rows, or slots, for each token that leaves: as many slots as the most
@@ -6,9 +6,6 @@ pools that lead to it from one token.  A cell without a pool returns nothing; ce
 and column have the same token pass their share on unchanged.  Each layer splits what it has of
 a token over the column's cells by the softmax of its logits.  The first layer starts from the
 source, the middle one swaps everything again, and the last has the rows of the output alone.
-
-Sessions (source, output, amount) are the rows that Spark distributes: each is optimised in one
-task on arrays of its market's size, by Adam with gradients written out.
 """
 
 from __future__ import annotations
@@ -16,14 +13,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 #: Added to a denominator, the logit of a disabled cell, and those of the optimiser.
 EPSILON, DISABLED = float(np.finfo(np.float32).eps), -1e9
 RATE, BETA1, BETA2, TINY = 0.1, 0.9, 0.999, 1e-8
-FLOWS = "session_id long, stage int, token_in long, token_out long, pool_id long, amount_in double, amount_out double, weight double"
 
 
 @dataclass
@@ -38,9 +30,10 @@ class Market:
     fee: np.ndarray
     cap: np.ndarray
     off: np.ndarray
+    bridges: frozenset = frozenset()
 
     @classmethod
-    def of(cls, token_in, token_out, pool_id, x, y, fee, cap, off, kind=np.float32) -> Market:
+    def of(cls, token_in, token_out, pool_id, x, y, fee, cap, off, kind=np.float32, bridges=()) -> Market:
         """Cells of one pair of tokens take slots in the order of pool_id."""
         order = np.lexsort((pool_id, token_in, token_out))
         tokens, index = np.unique(np.concatenate([token_in, token_out]), return_inverse=True)
@@ -59,7 +52,7 @@ class Market:
             out[row, a] = np.asarray(values)[order]
             return out
 
-        return cls(tokens, np.repeat(np.arange(len(tokens)), slots), placed(pool_id, -1, np.int64), *(placed(v, 0, kind) for v in (x, y, fee, cap)), placed(off, False, bool))
+        return cls(tokens, np.repeat(np.arange(len(tokens)), slots), placed(pool_id, -1, np.int64), *(placed(v, 0, kind) for v in (x, y, fee, cap)), placed(off, False, bool), frozenset(bridges))
 
     def column(self, token: int) -> int:
         at = np.flatnonzero(self.tokens == token)
@@ -77,11 +70,12 @@ class Layer:
     def __post_init__(self):
         m, self.at = self.market, np.ix_(self.rows, self.columns)
         self.x, self.y, self.fee, self.cap, self.off = (v[self.at] for v in (m.x, m.y, m.fee, m.cap, m.off))
-        self.bypass = m.leaving[self.rows][:, None] == self.columns[None, :]
+        pairs = {(m.column(a), m.column(b)) for a, b in m.bridges}
+        self.bypass = np.array([[t == c or (c, t) in pairs for c in self.columns] for t in m.leaving[self.rows]], bool).reshape(self.x.shape)
 
     def forward(self, logits: np.ndarray, entering: np.ndarray) -> np.ndarray:
         """What leaves of each token, from what enters of each; keeps what ``backward`` needs."""
-        masked = np.where(self.off & ~self.bypass, logits.dtype.type(DISABLED), logits)
+        masked = np.where(self.off, logits.dtype.type(DISABLED), logits)
         e = np.exp(masked - masked.max(axis=0))
         self.share, self.entering = e / e.sum(axis=0), entering[self.columns]
         self.amount = self.share * self.entering
@@ -99,7 +93,7 @@ class Layer:
         logits = self.share * (by_share - (self.share * by_share).sum(axis=0))
         entered = np.zeros(len(self.market.tokens), gain.dtype)
         entered[self.columns] = (by_amount * self.share).sum(axis=0)
-        return np.where(self.off & ~self.bypass, 0, logits), entered
+        return np.where(self.off, 0, logits), entered
 
 
 class Router:
@@ -150,57 +144,3 @@ class Router:
             parts.append((np.full(layer.x.size, stage), self.market.tokens[column.ravel()], self.market.tokens[row.ravel()], self.market.pool[layer.at].ravel(), layer.amount.ravel(), layer.leaves.ravel(), layer.share.ravel()))
         names = ("stage", "token_in", "token_out", "pool_id", "amount_in", "amount_out", "weight")
         return dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
-
-
-def _router(rows: pa.Table, kind: type) -> Router:
-    of = lambda c: rows.column(c).to_numpy()
-    market = Market.of(*(of(c) for c in ("token_in", "token_out", "pool_id", "r_in", "r_out", "fee", "cap", "disabled")), kind)
-    return Router(market, of("source")[0], of("output")[0])
-
-
-def _by_session(sessions: DataFrame, cells: DataFrame):
-    """Sessions (session_id, market, source, output, amount, iterations) with the directional cells of their market."""
-    return sessions.join(cells.withColumn("disabled", F.coalesce("disabled", F.lit(False))), "market").groupBy("session_id")
-
-
-def evaluate(sessions: DataFrame, cells: DataFrame) -> DataFrame:
-    """session_id, start, trained and failure: the output at equal shares and after ``iterations``, in double precision.
-
-    ``cells``: market, token_in, token_out, pool_id, r_in, r_out, fee (what is left of an amount), cap and disabled.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        start = trained = failure = None
-        amount, iterations = rows.column("amount")[0].as_py(), rows.column("iterations")[0].as_py()
-        try:
-            router = _router(rows, np.float64)
-            start = router.evaluate(amount)
-            router.train(amount, iterations)
-            trained = router.evaluate(amount)
-        except ValueError as error:
-            failure = str(error)
-        return pa.table({"session_id": rows.column("session_id")[:1], "start": pa.array([start], pa.float64()), "trained": pa.array([trained], pa.float64()), "failure": pa.array([failure], pa.string())})
-
-    return _by_session(sessions, cells).applyInArrow(run, "session_id long, start double, trained double, failure string")
-
-
-def trained_flows(sessions: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every cell's flow after training (``FLOWS``); sessions that a market can't serve have none.
-
-    ``pool_id`` is null where a cell has no pool: its token is passed on, or its share lost.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        amount = rows.column("amount")[0].as_py()
-        try:
-            router = _router(rows, np.float32)
-            router.train(amount, rows.column("iterations")[0].as_py())
-            flows = router.flows(amount)
-        except ValueError:
-            flows = {name: np.zeros(0) for name in ("stage", "token_in", "token_out", "pool_id", "amount_in", "amount_out", "weight")}
-        whole = {"stage": pa.int32(), "token_in": pa.int64(), "token_out": pa.int64(), "pool_id": pa.int64()}
-        columns = {name: pa.array(v.astype(np.int64 if name in whole else np.float64)).cast(whole.get(name, pa.float64())) for name, v in flows.items()}
-        columns["pool_id"] = pa.array(flows["pool_id"].astype(np.int64), mask=flows["pool_id"] < 0)
-        return pa.table({"session_id": pa.array([rows.column("session_id")[0].as_py()] * len(flows["stage"]), pa.int64()), **columns})
-
-    return _by_session(sessions, cells).applyInArrow(run, FLOWS)

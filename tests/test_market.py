@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
-from tidepool.operators import blocks, checks, flows, fold, registry, router, routing, vetting
+import plain_router as router
+from tidepool.operators import blocks, checks, flows, fold, registry, route_table, routing, vetting
 from tidepool.plans import catalog, lookups
 
 SF = "/root/testdata/sf0.01"
@@ -235,11 +236,11 @@ def test_routes_of_sessions(spark):
     cells = [(7, a, b, p, x, y, 0.997, 1e9, None) for a, b, p, x, y in ((1, 2, 1, 1e9, 1e9), (2, 1, 1, 1e9, 1e9))]
     cells = spark.createDataFrame(cells, "market long, token_in long, token_out long, pool_id long, r_in double, r_out double, fee double, cap double, disabled boolean")
     sessions = spark.createDataFrame([(1, 7, 1, 2, 1000.0, 5), (2, 7, 9, 2, 1000.0, 5), (3, 8, 1, 2, 1000.0, 5)], "session_id long, market long, source long, output long, amount double, iterations int")
-    got = {r["session_id"]: r for r in router.evaluate(sessions, cells).collect()}
+    got = {r["session_id"]: r for r in route_table.evaluate(sessions, cells, 5).collect()}
     assert got[2]["failure"] == "no source column" and got[1]["failure"] is None and got[1]["start"] < got[1]["trained"] < 1000 and 3 not in got
-    rows = router.trained_flows(sessions, cells).toPandas()
+    rows = route_table.RouteModel(sessions, cells).flows().toPandas()
     assert set(rows.session_id) == {1} and (rows.pool_id.isna() == (rows.token_in == rows.token_out)).all()
-    assert router.evaluate(sessions.limit(0), cells).count() == 0
+    assert route_table.evaluate(sessions.limit(0), cells, 1).count() == 0
 
 
 def test_contracts_without_evidence_and_without_rows(spark):

@@ -1,11 +1,11 @@
-"""Cutting lineage between the rounds of an iterative plan."""
+"""Cutting lineage between the rounds of an iterative plan, and folders that go when they aren't read any more."""
 
 import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,19 +14,38 @@ def shared_folder(spark: SparkSession) -> str:
     return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the interpreter ends."""
+    path = f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table: computed once, later rounds and lost executors read it and don't recompute."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/cut_{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing reads any more; others are passed over."""
+    for t in tables:
+        if (path := getattr(t, "_cut_path", None)) in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the cluster's own clean-up of the folder applies
             return

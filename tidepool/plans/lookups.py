@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import ticks, wide
 from tidepool.operators import blocks as B
-from tidepool.operators import checks, flows, router, vetting
+from tidepool.operators import checks, flows, route_table, vetting
 from tidepool.operators import plans as X
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
@@ -118,15 +118,18 @@ def replay_exact(spark, d):
     return flows.replay_exact(steps)
 
 
-def _sessions(spark, d, iterations=10):
+def _sessions(spark, d):
     """A closed route of 1000 from every token of a chain, and the directional cells of the chain's pools."""
     cells = C.reserves_directional(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "fee_pips"), C.KEYS)
     cells = cells.where("token_in <> token_out").select(F.col("chain").alias("market"), "token_in", "token_out", "pool_id", F.col("r_in").cast("double"), F.col("r_out").cast("double"), (1 - F.col("fee_pips") / 1e6).alias("fee"), (F.col("r_in") / 10.0).alias("cap"), F.lit(False).alias("disabled"))
     tokens = cells.select("market", F.col("token_in").alias("source")).distinct()
-    rows = tokens.select((F.col("market") * 1000 + F.col("source")).alias("session_id"), "market", "source", F.col("source").alias("output"), F.lit(1000.0).alias("amount"), F.lit(iterations).alias("iterations"))
+    rows = tokens.select((F.col("market") * 1000 + F.col("source")).alias("session_id"), "market", "source", F.col("source").alias("output"), F.lit(1000.0).alias("amount"))
     return rows, cells
 
 
+_PAIRS = f"{C._RES}, cell AS (SELECT chain AS market, token0 AS token_in, token1 AS token_out, pool_id FROM res WHERE token0 <> token1 UNION ALL SELECT chain, token1, token0, pool_id FROM res WHERE token0 <> token1)"
+
+
 @query(f""", {C._RES}, cell AS (SELECT chain, a, b, x::DOUBLE AS x, y::DOUBLE AS y, 1 - fee_pips / 1e6 AS g, x / 10.0 AS cap FROM
   (SELECT chain, pool_id, token0 AS a, token1 AS b, r0 AS x, r1 AS y FROM res UNION ALL SELECT chain, pool_id, token1, token0, r1, r0 FROM res) JOIN (SELECT chain, pool_id, fee_pips FROM pools) USING (chain, pool_id) WHERE a <> b),
 slots AS (SELECT chain, b AS t, max(n) AS m FROM (SELECT chain, a, b, count(*) AS n FROM cell GROUP BY ALL) GROUP BY ALL), total AS (SELECT chain, sum(m)::DOUBLE AS r FROM slots GROUP BY chain),
@@ -140,13 +143,35 @@ v3 AS (SELECT chain, s, sum(v) AS v FROM (SELECT v2.chain, s, y * least(v / m *
 SELECT chain * 1000 + s AS session_id, round(v, 6) AS start FROM v3""")
 def route_forward(spark, d):
     """What every closed route returns at equal shares."""
-    return router.evaluate(*_sessions(spark, d, 0)).select("session_id", F.round("start", 6).alias("start"))
+    return route_table.evaluate(*_sessions(spark, d), 0).select("session_id", F.round("start", 6).alias("start"))
 
 
 @query()
 def route_flows(spark, d):
-    """Every cell's flow of every closed route after ten steps of training."""
-    return router.trained_flows(*_sessions(spark, d))
+    """The flows of every closed route after ten steps of training, cells that are alike together."""
+    return route_table.RouteModel(*_sessions(spark, d)).train(10).flows()
+
+
+@query(f""", {_PAIRS}, old AS (SELECT *, row_number() OVER (PARTITION BY market, token_in, token_out ORDER BY pool_id) - 1 AS slot, 0 AS epoch FROM cell WHERE pool_id % 3 <> 0),
+new AS (SELECT cell.*, coalesce(taken, 0) + row_number() OVER (PARTITION BY market, token_in, token_out ORDER BY pool_id) - 1 AS slot, 1 AS epoch FROM cell LEFT JOIN
+  (SELECT market, token_in, token_out, count(*) AS taken FROM old GROUP BY ALL) USING (market, token_in, token_out) WHERE pool_id % 3 = 0)
+SELECT market, token_in, token_out, slot::BIGINT AS slot, pool_id, epoch::BIGINT AS epoch FROM old UNION ALL SELECT market, token_in, token_out, slot::BIGINT, pool_id, epoch::BIGINT FROM new""")
+def route_layout(spark, d):
+    """Slots after a snapshot of two pools in three and one of all: those of the first stay."""
+    _, cells = _sessions(spark, d)
+    return route_table.grown_layout(route_table.grown_layout(None, cells.where("pool_id % 3 <> 0"), 0), cells, 1)
+
+
+@query()
+def route_reconcile(spark, d):
+    """What closed routes return before a model grows, as it has grown, after training, and with every fifth pool gone."""
+    sessions, cells = _sessions(spark, d)
+    model = route_table.RouteModel(sessions, cells.where("pool_id % 3 <> 0")).train(2)
+    out = model.evaluate().withColumnRenamed("output", "before")
+    for name, rows, steps in (("grown", cells, 0), ("trained", cells, 2), ("dropped", cells.where("pool_id % 5 <> 0"), 0)):
+        model.reconcile(rows)
+        out = out.join(model.train(steps).evaluate().withColumnRenamed("output", name), "session_id")
+    return out
 
 
 #: Flows lighter than this are pruned from the plans of blocks.
