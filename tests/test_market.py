@@ -18,6 +18,7 @@ from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
 import plain_router as router
 from tidepool.operators import blocks, checks, flows, fold, registry, route_table, routing, vetting
 from tidepool.plans import catalog, lookups
+from tidepool.plans.lineage import cut
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,7 +37,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "contract_verdicts", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "contract_verdicts", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "routing_2core", "routing_bridged", "route_layout", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 
@@ -76,6 +77,28 @@ def test_two_core_keeps_the_sources_part_alone(spark):
     assert sorted(r["pool_id"] for r in routing.two_core(edges, 1, 3).collect()) == [0, 1]
 
 
+def test_two_core_counts_bridges(spark):
+    frame = lambda rows: spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "pool_id long, token0 long, token1 long")
+    bridges = lambda *rows: spark.createDataFrame(rows, "token_in long, token_out long")
+    ids = lambda df: sorted(r["pool_id"] for r in df.collect())
+    rows = [(1, 2), (1, 2), (2, 9), (5, 6), (5, 6), (6, 7)]
+    assert ids(routing.two_core(frame(rows), 1, 1)) == [0, 1]
+    assert ids(routing.two_core(frame(rows), 1, 1, bridges((2, 5), (5, 2), (6, 6)))) == [0, 1, 3, 4]
+    assert ids(routing.two_core(frame(rows), 1, 1, bridges((2, 8)))) == [0, 1]  # hangs off a leaf
+    assert ids(routing.two_core(frame([(1, 2), (2, 3)]), 1, 1, bridges((3, 1)))) == [0, 1]  # closes a cycle
+    assert ids(routing.two_core(frame([(1, 2), (1, 2), (4, 5)]), 1, 9)) == [0, 1]  # the output has no edge, the source has a cycle
+    assert ids(routing.two_core(frame([]), 1, 2)) == []
+
+
+def test_long_dangling_paths_go_in_few_rounds(spark, monkeypatch):
+    written, rounds, whole = [], [], routing._dangling
+    monkeypatch.setattr(routing, "cut", lambda df: written.append(0) or cut(df))
+    monkeypatch.setattr(routing, "_dangling", lambda left: rounds.append(0) or whole(left))
+    path = [(k, k, k + 1) for k in range(3000)] + [(5000, 0, 1), (5001, 1500, 9000), (5002, 9000, 9001)]
+    got = routing.two_core(spark.createDataFrame(path, "pool_id long, token0 long, token1 long"), 0, 0)
+    assert sorted(r["pool_id"] for r in got.collect()) == [0, 5000] and len(rounds) == 3 and len(written) < 100
+
+
 def test_wide_liquidity_is_kept_and_overflow_is_underivable(spark):
     rows = [(1, 0, "swap", 1, 2**64), (2, 0, "swap", 1, 10**38 - 1), (2, 1, "mint", 1, 10**37), (3, 0, "swap", 1, 5)]
     logs = spark.createDataFrame([(p, k, kind, t, v, v, -9, 9) for p, k, kind, t, v in ((*r[:4], Decimal(r[4])) for r in rows)], "pool_id long, k long, kind string, tick long, liquidity decimal(38,0), amount decimal(38,0), tick_lower long, tick_upper long")

@@ -273,11 +273,35 @@ def _route_edges(spark, d):
     return M.pools(spark, d).select("pool_id", "token0", "token1")
 
 
-@query()
+def _core_sql(edges: str, pools: str, source: int, output: int, rounds: int) -> str:
+    """The 2-core in ``rounds`` rounds of removing tokens of degree 1, which must be enough: of ``edges`` (id, a, b), a demand edge and its part with the source."""
+    steps = [f"e0 AS MATERIALIZED ({edges} UNION ALL SELECT 'demand', {source}, {output})"]
+    for k in range(rounds):
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} WHERE a IN (SELECT t FROM d{k}) AND b IN (SELECT t FROM d{k}))")
+        steps.insert(-1, f"d{k} AS MATERIALIZED (SELECT t FROM (SELECT unnest([a, b]) AS t FROM e{k}) GROUP BY t HAVING count(*) > 1)")
+    return f""", {", ".join(steps)}, part AS (SELECT a AS t FROM e{rounds} WHERE a = {source} UNION SELECT CASE WHEN a = t THEN b ELSE a END FROM part JOIN e{rounds} ON a = t OR b = t),
+kept AS (SELECT pool_id, token0, token1 FROM {pools} WHERE token0 <> token1 AND token0 IN (SELECT t FROM part) AND token1 IN (SELECT t FROM part))
+SELECT * FROM kept UNION ALL SELECT pool_id, token0, token1 FROM {pools} WHERE NOT EXISTS (SELECT 1 FROM kept)"""
+
+
+@query(_core_sql("SELECT pool_id::VARCHAR AS id, token0 AS a, token1 AS b FROM pools WHERE token0 <> token1", "pools", 1, 5, 25))
 def routing_2core(spark, d):
     return routing.two_core(M.pools(spark, d).select("pool_id", "token0", "token1"), 1, 5)
 
 
+_TREE = "tree AS (SELECT p_partkey AS pool_id, p_partkey AS token0, p_partkey // 2 AS token1 FROM part WHERE p_partkey > 0 UNION ALL SELECT -p_partkey, p_partkey, (p_partkey * 31 + 7) % 97 FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0)"
+
+
+@query(f", {_TREE}" + _core_sql("SELECT pool_id::VARCHAR AS id, token0 AS a, token1 AS b FROM tree WHERE token0 <> token1 UNION ALL SELECT 'bridge' || p_partkey, p_partkey, p_partkey + 3 FROM part WHERE p_partkey % 11 = 0", "tree", 1, 40, 40))
+def routing_bridged(spark, d):
+    """A binary tree of parts with some cross edges, and bridges named in both orders."""
+    parts = M.table(spark, d, "part").where("p_partkey > 0")
+    tree = parts.select(F.col("p_partkey").alias("pool_id"), F.col("p_partkey").alias("token0"), F.expr("p_partkey div 2").alias("token1"))
+    cross = parts.where("p_partkey % 5 = 0").select(-F.col("p_partkey"), "p_partkey", (F.col("p_partkey") * 31 + 7) % 97)
+    one = M.table(spark, d, "part").where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("token_in"), (F.col("p_partkey") + 3).alias("token_out"))
+    return routing.two_core(tree.union(cross), 1, 40, one.union(one.select("token_out", "token_in")))
+
+
 @query(", g AS (SELECT token0 AS a, token1 AS b FROM pools UNION SELECT token1, token0 FROM pools), w AS (SELECT 1::BIGINT AS token, 0::BIGINT AS hops UNION SELECT b, hops + 1 FROM w JOIN g ON a = token WHERE hops < 25) SELECT token, min(hops) AS hops FROM w GROUP BY token")
 def reserves_reach_route(spark, d):
     return routing.reachable(_route_edges(spark, d), 1)
