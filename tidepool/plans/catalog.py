@@ -428,4 +428,5 @@ def whitelist_artifact(spark, d):
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(DISTINCT event_id) AS n_events FROM events GROUP BY ALL")
 def stream_log_batches(spark, d):
-    return S.run_to_table(S.log_batches(S.event_stream(spark, d)), spark)
+    """Events of which every seventh is delivered twice."""
+    return S.run_to_table(S.log_batches(S.delivered_twice(S.event_stream(spark, d), "event_id % 7 = 0")), spark)

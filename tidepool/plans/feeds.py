@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidepool.operators import artifacts as A
@@ -12,8 +10,9 @@ from tidepool.operators import decode as D
 from tidepool.operators import indexer as I
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
-from tidepool.plans.lineage import cut, shared_folder
+from tidepool.plans.lineage import cut, folder
 from tidepool.sources import market as M
+from tidepool.streaming import chains
 from tidepool.streaming import logs as S
 
 
@@ -61,7 +60,7 @@ def cache_upsert(spark, d):
 @query(f", {_CACHED} SELECT * FROM cached WHERE chain = 2")
 def cache_scan(spark, d):
     """The cache written by chain, and one chain read back."""
-    path = f"{shared_folder(spark)}/cache_{uuid.uuid4().hex}"
+    path = folder(spark, "cache")
     K.write_cache(_cached(spark, d), path)
     return K.scan_chain(spark, path, 2).select("chain", "key", "fee_pips").withColumn("chain", F.col("chain").cast("long"))
 
@@ -167,7 +166,7 @@ def _listed(spark, d):
 @query(f", {C._EXAMINED}, {_LISTED} SELECT * FROM listed")
 def whitelist_round_trip(spark, d):
     """The whitelist written by chain and read back."""
-    path = f"{shared_folder(spark)}/whitelist_{uuid.uuid4().hex}"
+    path = folder(spark, "whitelist")
     A.write_artifact(_listed(spark, d), path)
     return A.read_artifact(spark, path, _SLUGS)
 
@@ -181,7 +180,7 @@ def whitelist_summary(spark, d):
 @query(f", {C._EXAMINED} SELECT token, verdict, symbol, tvl FROM ex")
 def vetting_report(spark, d):
     """The report of all decisions, written and read back."""
-    path = f"{shared_folder(spark)}/report_{uuid.uuid4().hex}"
+    path = folder(spark, "report")
     A.write_report(C._examined(spark, d), path)
     return spark.read.schema("token long, verdict string, symbol string, tvl double").json(path)
 
@@ -193,3 +192,28 @@ def staged_logs(spark, d):
     shifted = F.col("ts") + F.make_dt_interval(mins=(4 * (F.col("event_id") % 5 - 2)).cast("int"))
     heads = S.event_stream(spark, d).where("event_id % 3 <> 0").withColumn("ts", F.col("ts").cast("timestamp")).select((F.col("user_id") % 20).alias("head_chain"), F.col("event_id").alias("head_block"), shifted.alias("head_ts"))
     return S.append_to_table(S.staged(stream, heads), spark).select("chain", "block", "event_type")
+
+
+def chain_events(spark, d):
+    """Four chains out of the events: at each height a head, sometimes a late one or a fork, a log, a completed block, now and then finality."""
+    e, user = F.col("event_id"), F.col("user_id")
+    number = F.expr("event_id div 4") + 1001
+    row = lambda kind, at, block, parent=None, index=None: F.struct(
+        (F.expr("event_id div 4") * 10 + at).alias("seq"), F.lit(kind).alias("kind"), block.alias("block"), (F.lit(None).cast("long") if parent is None else parent).alias("parent"), number.alias("number"),
+        (user % 3 != 0).alias("touched"), (F.lit(None).cast("long") if index is None else index).alias("log_index"), user.alias("pool_id"),
+    )
+    late = F.when(user % 37 == 5, 25).otherwise(0)
+    rows = F.array_compact(F.array(
+        row("log", F.lit(0), number + user % 3 - 1, index=user % 5), row("head", 1 + late, number, number - 1), F.when(user % 10 == 0, row("head", F.lit(2), number + 1_000_000, number - 1)),
+        row("complete", F.lit(3), number - 2), F.when(number % 16 == 0, row("final", F.lit(4), number - 20)), F.when(user % 7 == 0, row("log", F.lit(5), number + user % 3 - 1, index=user % 5)),
+    ))
+    return M.table(spark, d, "events").select((e % 4).alias("chain"), F.explode(rows).alias("r")).select("chain", "r.*")
+
+
+@query()
+def chain_outcomes(spark, d):
+    """What becomes of every event of the chains, in three deliveries between which the stream stops."""
+    events = cut(chain_events(spark, d))
+    last = events.agg(F.max("seq")).first()[0] or 0
+    third = last // 3 + 1
+    return chains.run_on(spark, [events.where((F.col("seq") >= k * third) & (F.col("seq") < (k + 1) * third)) for k in range(3)], 1000)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.plans.lineage import shared_folder
+from tidepool.plans.lineage import folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
@@ -22,15 +20,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def log_batches(stream: DataFrame, width: str = "1 day", late: str = "3650 days") -> DataFrame:
-    """Events counted by type and tumbling window, each event once however often it is delivered."""
+def log_batches(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Events counted by type and tumbling window, each event once however often it is delivered.
+
+    Ids are remembered, and windows stay open, until the watermark has passed them by ``late``.
+    """
     once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+def delivered_twice(stream: DataFrame, again: str) -> DataFrame:
+    """``stream`` with the rows for which ``again`` holds delivered a second time."""
+    return stream.withColumn("_times", F.explode(F.when(F.expr(again), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_times")
+
+
 def run_to_table(counts: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs a stream of windowed counts over what there is and returns the last state of each window."""
-    root = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    root = folder(spark, "stream")
     flat = counts.select(F.col("w.start").alias("start"), "event_type", "n_events")
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -42,7 +48,7 @@ def run_to_table(counts: DataFrame, spark: SparkSession) -> DataFrame:
     return rows.groupBy("start", "event_type").agg(F.max_by("n_events", "batch").alias("n_events"))
 
 
-def staged(logs: DataFrame, heads: DataFrame, stay: str = "5 minutes", late: str = "3650 days") -> DataFrame:
+def staged(logs: DataFrame, heads: DataFrame, stay: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """Logs (chain, block, ts, ...) of blocks whose head (head_chain, head_block, head_ts) comes too, before or after them.
 
     The earlier side waits in the join's state; pairs more than ``stay`` apart don't meet, and the
@@ -54,6 +60,6 @@ def staged(logs: DataFrame, heads: DataFrame, stay: str = "5 minutes", late: str
 
 def append_to_table(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs a stream of appended rows over what there is and returns them as a table."""
-    root = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    root = folder(spark, "stream")
     rows.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
