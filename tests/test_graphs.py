@@ -10,7 +10,7 @@ from tidepool.operators import artifacts, cache, graph, indexer
 from tidepool.operators.ordered import with_previous
 from tidepool.plans import catalog, feeds, graphs
 
-NAMES = [n for n, f in catalog.QUERIES.items() if f.__module__ in (graphs.__name__, feeds.__name__)]
+NAMES = [n for n, f in catalog.QUERIES.items() if f.__module__ in (graphs.__name__, feeds.__name__) and n in catalog.SQL]
 NODES = "chain long, block long, parent long, number long, authority int, touched boolean"
 
 

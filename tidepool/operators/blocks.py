@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.plans.lineage import cut
+from tidepool.operators.ordered import with_previous
+from tidepool.plans.lineage import cut, drop
 
 
 def canonical(heads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """chain, block and distance of every block on the path from each chain's highest block (or its block in ``starts``) to its root.
 
-    Pointer doubling: log2(longest chain) rounds of two joins, whatever the number of chains.
+    Pointer doubling: log2(longest chain) rounds of two joins, whatever the number of chains.  A round
+    writes the blocks that it reached and the longer pointers, and the shorter ones go.
     Blocks that name themselves as parent are roots.  A chain whose path runs into a cycle has none:
-    it meets a block again, and is left out.
+    its walk gets longer than the chain has blocks, which is seen once the doublings are through.
     """
-    jumps = cut(heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to")))
+    links = heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to"))
+    jumps = cut(links)
+    sizes = cut(jumps.groupBy("chain").agg(F.count(F.lit(1)).alias("n")))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
     starts = heads.groupBy("chain").agg(F.max("block").alias("block")) if starts is None else starts.select("chain", "block")
-    marked = cut(starts.withColumn("distance", F.lit(0).cast("long")))
-    step = 1
-    while True:
-        reached = marked.join(jumps, ["chain", "block"]).select("chain", F.col("to").alias("block"), (F.col("distance") + step).alias("distance"))
-        reached = cut(reached)
-        if not reached.limit(1).count():
-            return marked
-        marked = marked.union(reached)
-        cycles = cut(marked.groupBy("chain", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chain").distinct())
-        if cycles.limit(1).count():
-            marked, jumps = (rows.join(cycles, "chain", "left_anti") for rows in (marked, jumps))
-        marked = cut(marked)
-        jumps = cut(jumps.alias("a").join(jumps.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.to") == F.col("b.block"))).select("a.chain", "a.block", F.col("b.to").alias("to")))
-        step *= 2
+    marked, step = cut(starts.withColumn("distance", F.lit(0).cast("long"))), 1
+    while step <= 2 * longest:
+        reached = cut(marked.join(jumps, ["chain", "block"]).select("chain", F.col("to").alias("block"), (F.col("distance") + step).alias("distance")))
+        if reached.isEmpty():
+            break
+        marked, step = marked.union(reached), 2 * step
+        longer = jumps.alias("a").join(jumps.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.to") == F.col("b.block"))).select("a.chain", "a.block", F.col("b.to").alias("to"))
+        old, jumps = jumps, cut(longer)
+        drop(old)
+    drop(jumps)
+    endless = marked.join(F.broadcast(sizes), "chain").where("distance > n").select("chain").distinct()  # one row for each chain
+    return marked.join(F.broadcast(endless), "chain", "left_anti")
 
 
 def frontier(blocks: DataFrame, least_authority: int) -> DataFrame:
@@ -49,8 +52,8 @@ def holes(blocks: DataFrame, least_authority: int) -> DataFrame:
 
 def missing_ranges(blocks: DataFrame) -> DataFrame:
     """chain, first and last of every run of absent block numbers between present ones."""
-    after = F.lead("number").over(Window.partitionBy("chain").orderBy("number"))
-    return blocks.select("chain", "number", after.alias("next")).where("next > number + 1").select("chain", (F.col("number") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+    rows = with_previous(blocks.select("chain", "number").distinct(), "chain", "number", [])
+    return rows.where("before.number < number - 1").select("chain", (F.col("before.number") + 1).alias("first"), (F.col("number") - 1).alias("last"))
 
 
 def missing_parents(heads: DataFrame) -> DataFrame:

@@ -36,9 +36,9 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return M.logs(spark, d).join(M.pools(spark, d).select("pool_id", "chain"), "pool_id")
 
 
-def _states(logs: DataFrame) -> DataFrame:
+def _states(logs: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """The fold of logs; these tables' liquidities fit into 64 bits."""
-    return fold.fold_logs(logs, KEYS, M.LOG_ORDER).withColumn("liquidity", F.col("liquidity").cast("long"))
+    return fold.fold_logs(logs, KEYS, M.LOG_ORDER, base).withColumn("liquidity", F.col("liquidity").cast("long"))
 
 
 def _fold_sql(source: str, name: str) -> str:
@@ -154,6 +154,16 @@ def overlay_over_base(spark, d):
     return fold.overlay(base, over, KEYS)
 
 
+@query(f""", {_PLACED}, lo AS (SELECT * FROM placed WHERE number < {SPLIT}), hi AS (SELECT * FROM placed WHERE number >= {SPLIT}), {_fold_sql('lo', 'b')}, {_fold_sql('hi', 'o')}, {_fold_sql('placed', 'f')}
+SELECT f.chain, f.pool_id, f.tick, f.liquidity, coalesce(n, 0) AS n_logs FROM f JOIN b USING (chain, pool_id) LEFT JOIN (SELECT chain, pool_id, count(*) AS n FROM hi GROUP BY ALL) USING (chain, pool_id)
+UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chain = o.chain AND b.pool_id = o.pool_id)""")
+def fold_resumed(spark, d):
+    """Later logs folded on from the base of earlier ones, from nothing for pools without a base."""
+    placed = _placed(spark, d)
+    base = _states(placed.where(f"number < {SPLIT}"))
+    return _states(placed.where(f"number >= {SPLIT}"), base)
+
+
 @query("SELECT pool_id, tick_spacing, tick, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing AS low, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing + tick_spacing AS high, count(*) AS n FROM logs JOIN pools USING (pool_id) GROUP BY ALL")
 def tick_bounds(spark, d):
     rows = M.logs(spark, d).join(M.pools(spark, d).select("pool_id", "tick_spacing"), "pool_id")
