@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import ticks, wide
 from tidepool.functions.ticks import MAX_TICK, MIN_TICK, sqrt_price_x96
 import plain_router as router
-from tidepool.operators import blocks, checks, flows, fold, registry, route_table, routing, vetting
+from tidepool.operators import blocks, checks, flows, fold, projection, registry, route_table, routing, vetting
 from tidepool.plans import catalog, lookups
 from tidepool.plans.lineage import cut
 
@@ -37,7 +37,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "contract_verdicts", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "routing_2core", "routing_bridged", "route_layout", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
+@pytest.mark.parametrize("name", ["pool_state_fold", "log_authority_merge", "canonical_chain", "frontier_streamed", "missing_ranges", "overlay_over_base", "registry_upsert", "plan_normalized", "reserves_reach_route", "examine_verdict", "contract_verdicts", "stream_log_batches", "log_pages", "header_admission", "snapshot_validation", "flow_entropy", "word_codecs", "plan_merge", "plan_build", "candidate_merge", "slice_lookup", "routing_2core", "routing_bridged", "route_layout", "reserve_projection", "projection_failures", "reserves_directional", "swap_quote_single", "route_coverage", "fold_resumed", "projection_all_or_nothing", "projection_skip_missing", "route_forward"])
 def test_query_equals_sql(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(catalog.SQL[name]).df())
 
@@ -154,14 +154,25 @@ def test_exact_reserves_and_limits(spark):
     assert wide.swap_exact(1000, 10, 10, 1_000_000) == 0 and wide.reserves(5, 0) == (0, 0)
 
 
-def test_replays_follow_their_books(spark):
-    big = 10**40
-    steps = spark.createDataFrame([(1, 2, 7, False, str(big), str(big), 0, "1000"), (1, 1, 7, True, str(big), str(big), 0, "1000"), (2, 1, 8, True, "100", "200", 500000, "100")], "plan_id long, step long, pool_id long, forward boolean, r0 string, r1 string, fee_pips long, entry string")
-    got = {r["plan_id"]: (r["amount_out"], r["n_steps"]) for r in flows.replay_exact(steps).collect()}
-    there = big * 1000 // (big + 1000)
-    assert got == {1: (str((big + 1000) * there // (big - there + there)), 2), 2: (str(200 * 50 // 150), 1)}
-    floats = steps.selectExpr("plan_id", "step", "pool_id", "forward", "cast(r0 as double) r0", "cast(r1 as double) r1", "cast(fee_pips as double) fee_pips", "cast(entry as double) entry").where("plan_id = 2")
-    assert flows.replay(floats).first()["amount_out"] == pytest.approx(200 * 50 / 150)
+def test_projection_scales_once_and_names_what_fails(spark):
+    q = 1 << 96
+    states = [(1, 69583, 50170120777514, None), (2, 197490, 4844714101140627498, None), (3, 0, 7, q * 2), (4, 0, 7, q // 2), (5, 0, 2**128 - 1, 1461446703485210103287273052203988822378723970341), (6, 887270, 5, None), (7, 0, 7, None), (8, 0, 7, None), (9, 0, None, None)]
+    rows = [(1, k, 10 + (k == 7), 20 + (k == 8), 3000, 60, tick, None if depth is None else str(depth), str(price or sqrt_price_x96(tick))) for k, tick, depth, price in states]
+    df = spark.createDataFrame(rows, "chain long, pool_id long, token0 long, token1 long, fee_pips long, tick_spacing long, tick long, liquidity string, price string")
+    decimals = spark.createDataFrame([(10, 8), (20, 6), (21, 37)], "token long, decimals int")
+    got = {r["pool_id"]: r for r in projection.projected(df, decimals).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 9} and got[9]["r0"] is None
+    for k in (1, 2):
+        _, tick, depth, _ = states[k - 1]
+        x, y = wide.reserves(depth, sqrt_price_x96(tick))
+        low = tick - tick % 60
+        rooms = wide.reserves(depth, sqrt_price_x96(low))[0] - x, wide.reserves(depth, sqrt_price_x96(low + 60))[1] - y
+        want = [float(np.float32(v / 10**e)) for v, e in ((x, 8), (y, 6), (rooms[0], 8), (rooms[1], 6))]
+        assert [got[k][c] for c in ("r0", "r1", "max0", "max1")] == pytest.approx(want, rel=2e-7) and got[k]["failure"] is None
+        assert got[k]["fee"] == float(np.float32(1) - np.float32(3000) / np.float32(1e6))
+    told = {k: (r["failure"], r["failed_token"], r["failed_field"]) for k, r in got.items() if r["failure"]}
+    assert told == {3: ("swap_limit", 20, "max_swap1"), 4: ("swap_limit", 10, "max_swap0"), 5: ("overflow", 20, "reserve1"), 6: ("bad_tick", 20, "max_swap1")}
+    assert wide.scaled_amount(3 * 10**38, 0) == float(np.float32(3e38)) and wide.scaled_amount(10**39, 0) is None and wide.scaled_amount(10**39 + 5, 36) == 1000.0
 
 
 def test_softmax_weights_sum_to_one(spark):

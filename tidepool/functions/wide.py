@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,3 +49,39 @@ def reserve_texts(liquidity: pd.Series, price: pd.Series, low: pd.Series, high:
         failure = "below range" if room_x < 0 else "above range" if room_y < 0 else None
         out.append((str(x), str(y), *((None, None) if failure else (str(room_x), str(room_y))), failure))
     return pd.DataFrame(out, columns=RESERVES.names, dtype=object)
+
+
+#: Largest number of single precision.
+LARGEST_SINGLE = 3.4028234663852886e38
+PROJECTED = T.StructType([T.StructField(name, T.StringType() if name in ("failure", "field") else T.DoubleType()) for name in ("r0", "r1", "max0", "max1", "failure", "field")])
+
+
+def scaled_amount(raw: int, decimals: int) -> float | None:
+    """A raw amount in tokens: whole and rest are made doubles apart, their sum is rounded to single precision; null beyond it."""
+    whole, rest = divmod(raw, 10**decimals)
+    value = float(whole) + float(rest) / float(10**decimals)
+    return None if value > LARGEST_SINGLE else float(np.float32(value))
+
+
+def project(liquidity: int, price: int, low: int | None, high: int | None, decimals: tuple[int, int]) -> tuple:
+    """r0, r1, max0, max1, failure and the field that failed."""
+    x, y = reserves(liquidity, price)
+    rooms = (None if low is None else reserves(liquidity, low)[0] - x), (None if high is None else reserves(liquidity, high)[1] - y)
+    out = []
+    for name, raw, side in (("reserve0", x, 0), ("reserve1", y, 1), ("max_swap0", rooms[0], 0), ("max_swap1", rooms[1], 1)):
+        if raw is None or raw < 0:
+            return None, None, None, None, "bad_tick" if raw is None else "swap_limit", name
+        out.append(scaled_amount(raw, decimals[side]))
+        if out[-1] is None:
+            return None, None, None, None, "overflow", name
+    return *out, None, None
+
+
+@F.pandas_udf(PROJECTED)
+def projection(liquidity: pd.Series, price: pd.Series, low: pd.Series, high: pd.Series, decimals0: pd.Series, decimals1: pd.Series) -> pd.DataFrame:
+    """``project`` of decimal texts; a null liquidity or price gives nulls."""
+    number = lambda v: None if v is None else int(v)
+    none = (None,) * len(PROJECTED.names)
+    rows = zip(liquidity, price, low, high, decimals0, decimals1, strict=True)
+    out = [none if r[0] is None or r[1] is None else project(*map(number, r[:4]), (int(r[4]), int(r[5]))) for r in rows]
+    return pd.DataFrame(out, columns=PROJECTED.names).astype({c: "float64" for c in ("r0", "r1", "max0", "max1")})

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.wide import swap_exact
-
 
 def softmax(cells: DataFrame, column: str, logit: str = "logit") -> DataFrame:
     """``weight`` of each cell: softmax over the cells of a layout column, shifted by its largest logit."""
@@ -30,59 +27,15 @@ def normalized(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return steps.withColumn("total", total).withColumn("share", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0)).drop("total")
 
 
-def quote(amount, r_in, r_out, fee_pips):
-    """Output of a constant-product swap, in double precision."""
-    net = amount * (F.lit(1_000_000.0) - fee_pips) / F.lit(1_000_000.0)
+def quote(amount, r_in, r_out, fee):
+    """Output of a constant-product swap, in double precision; ``fee`` is what is left of an amount."""
+    net = amount * fee
     return r_out * net / (r_in + net)
 
 
-def replay(steps: DataFrame) -> DataFrame:
-    """Replays every plan's steps in order on its own mutable reserves: plan_id, amount_out, n_steps.
-
-    ``steps``: plan_id, step, pool_id, forward, r0, r1, fee_pips and entry.  A step swaps all that
-    the one before it gave; a pool that is used again has the reserves that earlier steps left.
-    One plan is one group; plans run in parallel.
-    """
-
-    def run(plan: pd.DataFrame) -> pd.DataFrame:
-        plan = plan.sort_values("step")
-        reserves: dict[int, list[float]] = {}
-        amount = float(plan["entry"].iloc[0])
-        for s in plan.itertuples():
-            r = reserves.setdefault(s.pool_id, [s.r0, s.r1])
-            i, o = (0, 1) if s.forward else (1, 0)
-            net = amount * (1e6 - s.fee_pips) / 1e6
-            out = r[o] * net / (r[i] + net)
-            r[i] += amount
-            r[o] -= out
-            amount = out
-        return pd.DataFrame({"plan_id": [plan["plan_id"].iloc[0]], "amount_out": [amount], "n_steps": [len(plan)]})
-
-    return steps.groupBy("plan_id").applyInPandas(run, "plan_id long, amount_out double, n_steps long")
-
-
 def entropy(flows: DataFrame, keys: Sequence[str], over: str) -> DataFrame:
     """Shannon entropy (nats) and perplexity of how the entering amounts are spread ``over`` a column, to six digits."""
     sums = flows.groupBy(*keys, over).agg(F.sum("amount_in").cast("double").alias("s")).where("s > 0")
     e = F.ln(F.sum("s")) - F.sum(F.col("s") * F.ln("s")) / F.sum("s")
     rows = sums.groupBy(*keys).agg(e.alias("e"), F.count(F.lit(1)).alias("n_pools"))
     return rows.select(*keys, F.round("e", 6).alias("entropy"), F.round(F.exp("e"), 6).alias("perplexity"), "n_pools")
-
-
-def replay_exact(steps: DataFrame) -> DataFrame:
-    """As ``replay``, in whole units without limit: r0, r1, entry and amount_out are decimal text."""
-
-    def run(plan: pd.DataFrame) -> pd.DataFrame:
-        plan = plan.sort_values("step")
-        book: dict[int, list[int]] = {}
-        amount = int(plan["entry"].iloc[0])
-        for s in plan.itertuples():
-            r = book.setdefault(s.pool_id, [int(s.r0), int(s.r1)])
-            i, o = (0, 1) if s.forward else (1, 0)
-            out = swap_exact(amount, r[i], r[o], int(s.fee_pips))
-            r[i] += amount
-            r[o] -= out
-            amount = out
-        return pd.DataFrame({"plan_id": [plan["plan_id"].iloc[0]], "amount_out": [str(amount)], "n_steps": [len(plan)]})
-
-    return steps.groupBy("plan_id").applyInPandas(run, "plan_id long, amount_out string, n_steps long")

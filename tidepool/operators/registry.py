@@ -30,9 +30,9 @@ def referenced_tokens(pools: DataFrame) -> DataFrame:
 
 
 def directional(reserves: DataFrame) -> DataFrame:
-    """Both directions of every reserve row."""
-    inverse = reserves.select("chain", "pool_id", F.col("token1").alias("token_in"), F.col("token0").alias("token_out"), F.col("r1").alias("r_in"), F.col("r0").alias("r_out"))
-    return reserves.select("chain", "pool_id", F.col("token0").alias("token_in"), F.col("token1").alias("token_out"), F.col("r0").alias("r_in"), F.col("r1").alias("r_out")).unionByName(inverse)
+    """Both directions of every reserve row, each with the limit of what enters."""
+    way = lambda a, b: reserves.select("chain", "pool_id", F.col(f"token{a}").alias("token_in"), F.col(f"token{b}").alias("token_out"), F.col(f"r{a}").alias("r_in"), F.col(f"r{b}").alias("r_out"), "fee", F.col(f"max{a}").alias("cap"))
+    return way(0, 1).unionByName(way(1, 0))
 
 
 def all_or_nothing(rows: DataFrame, group: str, good: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import ticks
 from tidepool.operators import blocks as B
 from tidepool.operators import flows as P
-from tidepool.operators import fold, registry, routing, vetting
+from tidepool.operators import fold, projection, registry, routing, vetting
 from tidepool.sources import market as M
 from tidepool.streaming import logs as S
 
@@ -196,13 +196,44 @@ def whitelist_gate(spark, d):
     return registry.whitelist_gate(pools, _allowed(spark, d)).select(*pools.columns)
 
 
+#: Decimals of the derived market's tokens by token % 3; those with token % 12 = 11 have none.
+_SCALES = (2, 3, 4)
+
+
+def _decimals(spark, d):
+    tokens = M.table(spark, d, "nation").where("n_nationkey % 12 <> 11").select(F.col("n_nationkey").cast("long").alias("token"))
+    return tokens.withColumn("decimals", F.get(F.array(*map(F.lit, _SCALES)), (F.col("token") % 3).cast("int")))
+
+
+def _projected(spark, d):
+    """Reserves of every derivable pool; some prices lie a spacing beside their tick's range."""
+    state = M.pools(spark, d).join(pool_state_fold(spark, d).select("chain", "pool_id", "tick", "liquidity"), KEYS)
+    odd = F.col("pool_id") % 19
+    at = F.col("tick") + F.when(odd == 3, F.col("tick_spacing")).when(odd == 5, -F.col("tick_spacing")).otherwise(0)
+    return projection.projected(state.withColumn("price", ticks.sqrt_price_text(at)), _decimals(spark, d))
+
+
 def _reserves(spark, d):
-    """Whole-number stand-ins for virtual reserves, from each pool's state."""
-    state = pool_state_fold(spark, d).select("chain", "pool_id", "tick", "liquidity")
-    return M.pools(spark, d).join(state, KEYS).select("chain", "pool_id", "token0", "token1", "fee_pips", (F.col("liquidity") + 1).alias("r0"), (F.col("liquidity") + 1 + F.col("tick") * 100 + 2500).alias("r1"))
+    """chain, pool_id, token0, token1, fee_pips, r0, r1, fee, max0 and max1 of the pools that project."""
+    return _projected(spark, d).where("failure is null").drop("failure", "failed_token", "failed_field")
+
+
+_TICKS = range(-230, 231)  # all that ticks of the derived market and the bounds of their ranges can be
 
 
-_RES = f"{_PLACED}, {_fold_sql('placed', 'f')}, res AS (SELECT chain, pool_id, token0, token1, fee_pips, liquidity + 1 AS r0, liquidity + 1 + tick * 100 + 2500 AS r1 FROM pools JOIN f USING (chain, pool_id))"
+def _scaled(raw: str, side: int) -> str:
+    scale = f"([{', '.join(str(10**k) for k in _SCALES)}])[(token{side} % 3 + 1)::INT]"
+    return f"(({raw} // {scale})::DOUBLE + ({raw} % {scale})::DOUBLE / {scale}::DOUBLE)::FLOAT::DOUBLE"
+
+
+_PROJ = f"""{_PLACED}, {_fold_sql('placed', 'f')}, prices AS (SELECT unnest(range({_TICKS.start}, {_TICKS.stop})) AS t, unnest([{', '.join(map(str, map(ticks.sqrt_price_x96, _TICKS)))}]::HUGEINT[]) AS p),
+st AS (SELECT pools.*, tick, liquidity::HUGEINT AS l, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing AS lo, tick + CASE pool_id % 19 WHEN 3 THEN tick_spacing WHEN 5 THEN -tick_spacing ELSE 0 END AS pt
+  FROM pools JOIN f USING (chain, pool_id) WHERE token0 % 12 <> 11 AND token1 % 12 <> 11),
+raw AS (SELECT st.*, l * {1 << 96}::HUGEINT // p.p AS x, l * p.p // {1 << 96}::HUGEINT AS y, l * {1 << 96}::HUGEINT // a.p - l * {1 << 96}::HUGEINT // p.p AS mx, l * b.p // {1 << 96}::HUGEINT - l * p.p // {1 << 96}::HUGEINT AS my
+  FROM st JOIN prices p ON p.t = pt JOIN prices a ON a.t = lo JOIN prices b ON b.t = lo + tick_spacing),
+proj AS (SELECT *, CASE WHEN mx < 0 THEN 'max_swap0' WHEN my < 0 THEN 'max_swap1' END AS failed_field FROM raw),
+res AS (SELECT chain, pool_id, token0, token1, fee_pips, {_scaled('x', 0)} AS r0, {_scaled('y', 1)} AS r1, (1::FLOAT - (fee_pips / 1e6::DOUBLE)::FLOAT)::DOUBLE AS fee, {_scaled('mx', 0)} AS max0, {_scaled('my', 1)} AS max1 FROM proj WHERE failed_field IS NULL)"""
+_RES = _PROJ
 
 
 @query(f", {_RES} SELECT * FROM res")
@@ -210,7 +241,13 @@ def reserve_projection(spark, d):
     return _reserves(spark, d)
 
 
-@query(f", {_RES} SELECT chain, pool_id, token0 AS token_in, token1 AS token_out, r0 AS r_in, r1 AS r_out FROM res UNION ALL SELECT chain, pool_id, token1, token0, r1, r0 FROM res")
+@query(f", {_PROJ} SELECT chain, pool_id, 'swap_limit' AS failure, CASE failed_field WHEN 'max_swap0' THEN token0 ELSE token1 END AS failed_token, failed_field FROM proj WHERE failed_field IS NOT NULL")
+def projection_failures(spark, d):
+    """Pools that don't project, with the token and field that fail."""
+    return _projected(spark, d).where("failure is not null").select("chain", "pool_id", "failure", "failed_token", "failed_field")
+
+
+@query(f", {_RES} SELECT chain, pool_id, token0 AS token_in, token1 AS token_out, r0 AS r_in, r1 AS r_out, fee, max0 AS cap FROM res UNION ALL SELECT chain, pool_id, token1, token0, r1, r0, fee, max1 FROM res")
 def reserves_directional(spark, d):
     return registry.directional(_reserves(spark, d))
 
@@ -366,17 +403,9 @@ def plan_normalized(spark, d):
     return P.normalized(plan_merge(spark, d), ["stage", "token0"]).withColumn("share", F.round("share", 9))
 
 
-@query(f", {_RES} SELECT pool_id, floor(r1 * (1000.0::DOUBLE * (1000000.0::DOUBLE - fee_pips) / 1000000.0::DOUBLE) / (r0 + 1000.0::DOUBLE * (1000000.0::DOUBLE - fee_pips) / 1000000.0::DOUBLE))::BIGINT AS amount_out FROM res")
+@query(f", {_RES} SELECT pool_id, round(r1 * (1000.0::DOUBLE * fee) / (r0 + 1000.0::DOUBLE * fee), 9) AS amount_out FROM res")
 def swap_quote_single(spark, d):
-    return _reserves(spark, d).select("pool_id", F.floor(P.quote(F.lit(1000.0), F.col("r0"), F.col("r1"), F.col("fee_pips"))).alias("amount_out"))
-
-
-@query()
-def replay_plan(spark, d):
-    """Every pool's own plan: in and out again through its neighbours, on reserves that its steps change."""
-    rows = _reserves(spark, d)
-    steps = rows.select((F.col("token0")).alias("plan_id"), F.col("pool_id").alias("step"), "pool_id", (F.col("pool_id") % 2 == 0).alias("forward"), F.col("r0").cast("double").alias("r0"), F.col("r1").cast("double").alias("r1"), F.col("fee_pips").cast("double").alias("fee_pips"), F.lit(1000.0).alias("entry"))
-    return P.replay(steps)
+    return _reserves(spark, d).select("pool_id", F.round(P.quote(F.lit(1000.0), F.col("r0"), F.col("r1"), F.col("fee")), 9).alias("amount_out"))
 
 
 def _candidates(spark, d):

@@ -110,18 +110,9 @@ def virtual_reserves(spark, d):
     return prices.withColumn("r", wide.reserve_texts("depth", "price", "low", "high")).select("chain", "pool_id", "fee_pips", "depth", "price", "r.*")
 
 
-@query()
-def replay_exact(spark, d):
-    """Every first token's plan through its pools, in whole units on exact reserves."""
-    rows = virtual_reserves(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "token0"), C.KEYS).where("failure is null")
-    steps = rows.select(F.col("token0").alias("plan_id"), F.col("pool_id").alias("step"), "pool_id", (F.col("pool_id") % 2 == 0).alias("forward"), F.col("x").alias("r0"), F.col("y").alias("r1"), "fee_pips", F.lit("1000000").alias("entry"))
-    return flows.replay_exact(steps)
-
-
 def _sessions(spark, d):
     """A closed route of 1000 from every token of a chain, and the directional cells of the chain's pools."""
-    cells = C.reserves_directional(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "fee_pips"), C.KEYS)
-    cells = cells.where("token_in <> token_out").select(F.col("chain").alias("market"), "token_in", "token_out", "pool_id", F.col("r_in").cast("double"), F.col("r_out").cast("double"), (1 - F.col("fee_pips") / 1e6).alias("fee"), (F.col("r_in") / 10.0).alias("cap"), F.lit(False).alias("disabled"))
+    cells = C.reserves_directional(spark, d).where("token_in <> token_out").withColumnRenamed("chain", "market").withColumn("disabled", F.lit(False))
     tokens = cells.select("market", F.col("token_in").alias("source")).distinct()
     rows = tokens.select((F.col("market") * 1000 + F.col("source")).alias("session_id"), "market", "source", F.col("source").alias("output"), F.lit(1000.0).alias("amount"))
     return rows, cells
@@ -130,8 +121,8 @@ def _sessions(spark, d):
 _PAIRS = f"{C._RES}, cell AS (SELECT chain AS market, token0 AS token_in, token1 AS token_out, pool_id FROM res WHERE token0 <> token1 UNION ALL SELECT chain, token1, token0, pool_id FROM res WHERE token0 <> token1)"
 
 
-@query(f""", {C._RES}, cell AS (SELECT chain, a, b, x::DOUBLE AS x, y::DOUBLE AS y, 1 - fee_pips / 1e6 AS g, x / 10.0 AS cap FROM
-  (SELECT chain, pool_id, token0 AS a, token1 AS b, r0 AS x, r1 AS y FROM res UNION ALL SELECT chain, pool_id, token1, token0, r1, r0 FROM res) JOIN (SELECT chain, pool_id, fee_pips FROM pools) USING (chain, pool_id) WHERE a <> b),
+@query(f""", {C._RES}, cell AS (SELECT chain, token0 AS a, token1 AS b, r0 AS x, r1 AS y, fee AS g, max0 AS cap FROM res WHERE token0 <> token1
+  UNION ALL SELECT chain, token1, token0, r1, r0, fee, max1 FROM res WHERE token0 <> token1),
 slots AS (SELECT chain, b AS t, max(n) AS m FROM (SELECT chain, a, b, count(*) AS n FROM cell GROUP BY ALL) GROUP BY ALL), total AS (SELECT chain, sum(m)::DOUBLE AS r FROM slots GROUP BY chain),
 v0 AS (SELECT DISTINCT chain, a AS s, a AS t, 1000.0::DOUBLE AS v FROM cell),
 v1 AS (SELECT chain, s, t, sum(v) AS v FROM (SELECT v0.chain, s, b AS t, y * least(v / r * g, cap) / (x + least(v / r * g, cap) + {2.0**-23!r}) AS v FROM v0 JOIN cell ON cell.chain = v0.chain AND a = t JOIN total ON total.chain = v0.chain
