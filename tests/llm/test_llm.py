@@ -89,6 +89,23 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_saturated_lists_are_enlarged(spark):
+    """Groups of 35 and 120 with all links among them: lists of 10 grow until they hold them, none is counted in blocks."""
+    rng = np.random.default_rng(21)
+    rows = [(1000 * g + k, (c + 0.001 * rng.standard_normal(32)).astype("f4").tolist(), 0) for g, (c, n) in enumerate(zip(np.linalg.qr(rng.standard_normal((32, 3)))[0].T, (35, 120, 5), strict=True)) for k in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    scratch = Scratch(spark, "test_lists")
+    vectors, wide = embedding_dedup.vector_rows(df)
+    nodes = scratch.table(embedding_dedup.packed(vectors, wide), "nodes")
+    lists = scratch.table(embedding_dedup.nearest(embedding_dedup.first_lists(nodes, wide, 1, 10, 0.9), 10), "lists")
+    longer, enlarged = embedding_dedup._enlarged(lists, nodes, wide, scratch, 0.98, 10, 0.9)
+    held = [r["n"] for r in longer.where("sim >= 0.98").groupBy("a").agg(F.count("*").alias("n")).collect()]
+    assert sorted(held) == [4] * 5 + [34] * 35 + [119] * 120
+    assert {r["k"] for r in enlarged.collect()} == {40, 160}
+    got = embedding_dedup.near_duplicates(df).toPandas()
+    assert sorted(got.n_links) == sorted(held) and (got.audit_found == got.audit_links).all() and (got.audit_links > 0).all()
+
+
 @pytest.mark.parametrize("recall", [0.98, 2.0])
 def test_embeddings_link_saturated_groups(spark, monkeypatch, recall):
     """Two dense groups whose members fill each other's lists, with all cross pairs above the threshold; above 1, no audit is enough."""

@@ -8,13 +8,15 @@ around every node, its neighbours and those it is a neighbour of are compared wi
 Neighbours below ``FLOOR`` are not listed: the way to a link leads over nearer ones.
 
 A list that is full of links is saturated: its node may have more links than the list holds.
-Every node of a component that holds a saturated list is compared, block against block, with
-all nodes of its label that are near enough to be linked, so that all its links are counted and
-connected without making rows of pairs.  Recall is audited: a bounded number of nodes
-(``AUDIT`` of the smallest hashes among all, and as many among those with links) is compared
-with every node of its label; while the share of their links that is counted is below
-``RECALL``, further orders and descents are added, ``MORE`` times at most.  If the last audit
-fails too, every node is compared in blocks over its label.  Links are those of cosine >= ``percent``
+Saturated lists are enlarged, doubled and refined again around their nodes until they aren't
+full any more or hold ``MOST_K``.  For what stays full, every node of its component is compared,
+block against block, with the component's nodes and all that are listed beside them, so that
+links are counted and connected without making rows of pairs.  Recall is audited: a bounded
+number of nodes (``AUDIT`` of the smallest hashes among all, among those with links, and among
+those without a link that have a neighbour above ``CLOSE``) is compared with every node of its label; while
+the share of their links that is counted is below ``RECALL``, further orders and descents are
+added, ``MORE`` times at most.  If the last audit fails too, every node is compared in blocks
+over its label.  The audit's figures are returned.  Links are those of cosine >= ``percent``
 / 100 in double precision; every one was computed from the two vectors.
 
 Defined cases: rows whose label or vector is null, and vectors that are empty, zero or hold a
@@ -38,6 +40,8 @@ from tidepool.llm.scratch import Scratch
 
 K, ROUNDS, RUN, FLOOR, STEPS, MORE = 10, 4, 128, 0.9, 4, 3
 AUDIT, RECALL, SETTLED, BLOCK, NEAR = 256, 0.98, 0.01, 512, 2048
+#: Neighbours in the largest enlarged list; similarity from which an unlinked node is worth an audit.
+MOST_K, CLOSE = 160, 0.95
 BITS = 32
 
 
@@ -144,26 +148,43 @@ def first_lists(nodes: DataFrame, wide: bool, seed: int, k: int, floor: float) -
     return ordered.select("node", "kind", "vec").mapInArrow(run, "a long, b long, sim double")
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each node among rows (a, b, sim), each once."""
+def _own_k(rows: DataFrame, node: str, k: int, enlarged: DataFrame | None) -> DataFrame:
+    """``rows`` with the length ``k`` of the list of each ``node``."""
+    if enlarged is None:
+        return rows.withColumn("k", F.lit(k))
+    return rows.join(enlarged.select(F.col("node").alias(node), F.col("k").alias("_k")), node, "left").withColumn("k", F.coalesce("_k", F.lit(k))).drop("_k")
+
+
+def nearest(found: DataFrame, k: int, enlarged: DataFrame | None = None) -> DataFrame:
+    """The k best neighbours of each node among rows (a, b, sim), each once; more for ``enlarged`` ones (node, k)."""
     once = found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     ranked = once.withColumn("r", F.expr("row_number() over (partition by a order by sim desc, b)"))
-    return ranked.where(F.col("r") <= k).drop("r")
+    return _own_k(ranked, "a", k, enlarged).where(F.col("r") <= F.col("k")).select("a", "b", "sim")
+
 
+def descend(lists: DataFrame, nodes: DataFrame, wide: bool, k: int, floor: float, enlarged: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim): pairs around common neighbours that are nearer than the worst of a's full list.
 
-def descend(lists: DataFrame, nodes: DataFrame, wide: bool, k: int, floor: float) -> DataFrame:
-    """(a, b, sim): pairs around common neighbours that are nearer than the worst of a's full list."""
+    With ``focus`` (node) only around these nodes and those in their lists.
+    """
     near = lists.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    back = lists.withColumn("r", F.expr("row_number() over (partition by b order by sim desc, a)")).where(F.col("r") <= k).select(F.col("b").alias("hub"), F.col("a").alias("node"))
-    worst = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(floor).alias("worst")).withColumnRenamed("a", "node")
-    members = near.union(back).distinct().join(nodes.select("node", "vec"), "node").join(worst, "node", "left").select("hub", "node", "vec", F.coalesce("worst", F.lit(floor)).alias("worst"))
+    back = lists.withColumn("r", F.expr("row_number() over (partition by b order by sim desc, a)"))
+    back = _own_k(back, "b", k, enlarged).where(F.col("r") <= F.col("k")).select(F.col("b").alias("hub"), F.col("a").alias("node"))
+    sizes = _own_k(lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")), "a", k, enlarged)
+    worst = sizes.select(F.col("a").alias("node"), F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(floor).alias("worst"))
+    members = near.union(back).distinct()
+    if focus is not None:
+        hubs = focus.select(F.col("node").alias("hub")).union(lists.join(focus.select(F.col("node").alias("a")), "a", "left_semi").select("b")).distinct()
+        members = members.join(hubs, "hub", "left_semi")
+    members = members.join(nodes.select("node", "vec"), "node").join(worst, "node", "left").select("hub", "node", "vec", F.coalesce("worst", F.lit(floor)).alias("worst"))
+    most = k if enlarged is None else MOST_K
 
     def run(group: pa.Table) -> pa.Table:
         node, worst = group.column("node").to_numpy(), group.column("worst").to_numpy()
         x = unit_rows(group.column("vec").combine_chunks(), wide)
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
-        i, j = _best(np.where(sims > worst[:, None], sims, -2), k, floor)
+        i, j = _best(np.where(sims > worst[:, None], sims, -2), most, floor)
         return pa.table({"a": node[i], "b": node[j], "sim": sims[i, j]})
 
     return members.groupBy("hub").applyInArrow(run, "a long, b long, sim double")
@@ -181,16 +202,37 @@ def _refined(lists: DataFrame, nodes: DataFrame, wide: bool, scratch: Scratch, k
     return lists
 
 
-def audit(nodes: DataFrame, counts: DataFrame, wide: bool, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
+def _enlarged(lists: DataFrame, nodes: DataFrame, wide: bool, scratch: Scratch, threshold: float, k: int, floor: float) -> tuple[DataFrame, DataFrame | None]:
+    """Lists after doubling the saturated ones until they aren't, or hold ``MOST_K``; and the enlarged nodes (node, k)."""
+    enlarged, size = None, k
+    while size < MOST_K:
+        full = lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
+        full = scratch.table(full.select("node"), "saturated")
+        if full.isEmpty():
+            break
+        size = min(2 * size, MOST_K)
+        longer = full.withColumn("k", F.lit(size))
+        enlarged = scratch.table(longer if enlarged is None else enlarged.join(full, "node", "left_anti").unionByName(longer), "enlarged")
+        for _ in range(2):
+            fresh = scratch.table(descend(lists, nodes, wide, k, floor, enlarged, full), "fresh")
+            lists = scratch.table(nearest(lists.union(fresh), k, enlarged), "lists")
+            scratch.drop(fresh)
+    return lists, enlarged
+
+
+def audit(nodes: DataFrame, counts: DataFrame, lists: DataFrame, wide: bool, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
     """(links counted, links there are) of sampled nodes, against every node.
 
     ``counts``: node and links, of every node that has links.  The sample is ``queries`` nodes of
-    the smallest hashes among all, and as many among those with links.
+    the smallest hashes among all, as many among those with links, and as many among those
+    without a link whose best neighbour in ``lists`` is above ``CLOSE``.
     """
     spark = nodes.sparkSession
     some = nodes.select("node", "kind", "vec")
-    least = lambda rows: rows.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries)
-    asked = {r["node"]: r for r in [*least(some).collect(), *least(some.join(counts.where("links > 0").select("node"), "node", "left_semi")).collect()]}  # twice ``queries`` rows at most
+    linked = counts.where("links > 0").select("node")
+    close = lists.where(F.col("sim") >= CLOSE).select(F.col("a").alias("node")).distinct().join(linked, "node", "left_anti")
+    least = lambda rows: rows.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries).collect()
+    asked = {r["node"]: r for rows in (some, some.join(linked, "node", "left_semi"), some.join(close, "node", "left_semi")) for r in least(rows)}  # three times ``queries`` rows at most
     if not asked:
         return 0, 0
     by_kind: dict[int, list] = {}
@@ -214,18 +256,18 @@ def audit(nodes: DataFrame, counts: DataFrame, wide: bool, threshold: float, que
     return row["found"] or 0, row["all"] or 0
 
 
-def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold: float, scratch: Scratch) -> DataFrame:
-    """(node, links, asked, other) of the links that nodes of ``members`` have with any node of their label.
+def links_in_blocks(members: DataFrame, around: DataFrame, nodes: DataFrame, wide: bool, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, links, asked, other) of the links that nodes of ``members`` have with the nodes ``around`` their component.
 
-    ``members``: node and component.  A component's nodes are asked in groups of about BLOCK.  A
+    ``members`` and ``around``: node and component.  A component's nodes are asked in groups of about BLOCK.  A
     node may be linked with a group only if its angle to the group's middle is at most the group's
     radius plus the threshold's angle; those nodes, again in blocks, are compared with the group.
     Each task returns a row for each node that has links, not for each link: how many (asked
     rows: of a member; others: with members), and a node that stands for those connected in the task.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    own = members.join(sizes, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))).alias("group"))
-    asks = scratch.table(own.join(nodes, "node").select("kind", "group", "node", "n", "vec"), "asks")
+    own = members.join(sizes, "component").select("node", F.col("component").alias("kind"), F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))).alias("group"))
+    asks = scratch.table(own.join(nodes.drop("kind"), "node").select("kind", "group", "node", "n", "vec"), "asks")
     reach = float(np.arccos(min(1.0, threshold))) + 1e-6
 
     def middle(group: pa.Table) -> pa.Table:
@@ -237,7 +279,8 @@ def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold:
         return pa.table({"kind": group.column("kind")[:1], "group": group.column("group")[:1], "center": pa.array([center.astype("<f8").tobytes()], pa.binary()), "radius": [radius]})
 
     middles = scratch.table(asks.groupBy("kind", "group").applyInArrow(middle, "kind long, group long, center binary, radius double"), "middles")
-    # Every node of a label with the middles of its groups, in blocks of both.
+    # Every node around a component with the middles of its groups, in blocks of both; ``kind`` is the component from here on.
+    whole, nodes = nodes, around.select("node", F.col("component").alias("kind")).join(nodes.drop("kind"), "node")
     wanted = middles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / NEAR).alias("q_blocks"))
     told = nodes.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / NEAR).alias("r_blocks")).join(wanted, "kind")
     block = lambda name, blocks: F.pmod(F.xxhash64(name, F.lit(4)), F.col(blocks))
@@ -261,7 +304,7 @@ def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold:
     part = F.pmod(F.xxhash64("node", F.lit(6)), F.col("parts"))
     ask = asks.join(parts, "group").select("group", every("parts").alias("part"), "node", "n", "vec", F.lit(True).alias("asks"), F.lit(True).alias("member"))
     known = asks.select("node", F.lit(True).alias("member"))
-    rest = close.join(parts, "group").join(nodes.select("node", "n", "vec").join(known, "node", "left"), "node").select("group", part.alias("part"), "node", "n", "vec", F.lit(False).alias("asks"), F.coalesce("member", F.lit(False)).alias("member"))
+    rest = close.join(parts, "group").join(whole.select("node", "n", "vec").join(known, "node", "left"), "node").select("group", part.alias("part"), "node", "n", "vec", F.lit(False).alias("asks"), F.coalesce("member", F.lit(False)).alias("member"))
 
     def run(rows: pa.Table) -> pa.Table:
         asks, member = (rows.column(c).to_numpy() for c in ("asks", "member"))
@@ -287,20 +330,25 @@ def links_in_blocks(members: DataFrame, nodes: DataFrame, wide: bool, threshold:
     return ask.unionByName(rest).groupBy("group", "part").applyInArrow(run, "node long, links long, asked boolean, other long")
 
 
-def _counted(lists: DataFrame, nodes: DataFrame, members: DataFrame | None, wide: bool, scratch: Scratch, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+def _counted(lists: DataFrame, nodes: DataFrame, enlarged: DataFrame | None, wide: bool, scratch: Scratch, threshold: float, k: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(a, b): edges that connect what is linked; and (node, links) of every node that has links.
 
-    ``members`` are counted in blocks: the components with a saturated list, if None is given.
+    The components with a list that is still full are counted in blocks; with ``every`` each node is, over its label.
     """
     links = lists.where(F.col("sim") >= threshold)
-    links = scratch.table(links.withColumn("full", F.expr(f"count(*) over (partition by a) >= {k}")), "links")
+    links = _own_k(links.withColumn("n", F.expr("count(*) over (partition by a)")), "a", k, enlarged)
+    links = scratch.table(links.select("a", "b", (F.col("n") >= F.col("k")).alias("full")), "links")
     # A link stands in the list of one side at least.
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
-    if members is None:
+    if every:
+        members = around = nodes.select("node", F.col("kind").alias("component"))
+    else:
         labels = scratch.table(connected_components(both, scratch), "parts")
         full = links.where("full").select(F.col("a").alias("node")).distinct().join(labels, "node").select("component").distinct()
         members = scratch.table(labels.join(full, "component", "left_semi"), "saturated")
-    blocks = scratch.table(links_in_blocks(members, nodes, wide, threshold, scratch), "blocks")
+        beside = lists.select(F.col("a").alias("node"), "b").union(lists.select("b", "a")).join(members, "node").select(F.col("b").alias("node"), "component")
+        around = scratch.table(members.select("node", "component").union(beside).distinct(), "around")
+    blocks = scratch.table(links_in_blocks(members, around, nodes, wide, threshold, scratch), "blocks")
     edges = both.union(blocks.where("node <> other").select("node", "other").distinct())
     # A member's links are all counted in blocks; others have those with members from there and the rest from the lists.
     within = members.select("node", F.lit(True).alias("member"))
@@ -311,7 +359,10 @@ def _counted(lists: DataFrame, nodes: DataFrame, members: DataFrame | None, wide
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, floor: float = FLOOR, steps: int = STEPS) -> DataFrame:
-    """vec_id, n_links, component_id and kept, one row for each row of ``embeddings`` (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id, kept, audit_found and audit_links, one row for each row of ``embeddings`` (vec_id, embedding, label).
+
+    The audit's columns are the same in every row: how many links of its sample were counted, and how many there are.
+    """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "nn_descent")
     floor = min(floor, threshold)
@@ -326,12 +377,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
             found = one if found is None else found.union(one)
         lists = scratch.table(nearest(found, k), "lists")
         lists = _refined(lists, nodes, wide, scratch, k, floor, steps)
-        edges, counts = _counted(lists, nodes, None, wide, scratch, threshold, k)
-        have, there = audit(nodes, counts, wide, threshold)
+        longer, enlarged = _enlarged(lists, nodes, wide, scratch, threshold, k, floor)
+        edges, counts = _counted(longer, nodes, enlarged, wide, scratch, threshold, k)
+        have, there = audit(nodes, counts, longer, wide, threshold)
         if have >= RECALL * there:
             break
     else:  # the lists miss too much: every node is counted in blocks
-        edges, counts = _counted(lists, nodes, nodes.select("node", F.col("kind").alias("component")), wide, scratch, threshold, k)
+        edges, counts = _counted(longer, nodes, enlarged, wide, scratch, threshold, k, every=True)
+        have, there = audit(nodes, counts, longer, wide, threshold)
 
     labels = scratch.table(connected_components(edges, scratch), "components")
     per_node = nodes.select("node", "n").join(labels, "node", "left").join(counts, "node", "left")
@@ -340,7 +393,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
     placed = scratch.table(ids.join(per_node, "node", "left"), "placed")
     least = placed.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     out = placed.join(least, "component", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audit_found": F.lit(have).cast("long"), "audit_links": F.lit(there).cast("long")})
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
