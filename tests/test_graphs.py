@@ -87,10 +87,12 @@ def test_source_must_be_allowed(spark):
 
 
 def test_chain_scan_reads_one_folder(spark, tmp_path):
-    rows = spark.createDataFrame([(c, f"{k:04x}", c) for c in range(3) for k in range(10)], "chain long, key string, v long")
-    cache.write_cache(rows, f"file://{tmp_path}/c")
-    scan = cache.scan_chain(spark, f"file://{tmp_path}/c", 1)
-    assert scan.count() == 10 and "PartitionFilters: [isnotnull(chain" in scan._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(c, f"{k:04x}", 0, True, c) for c in range(3) for k in range(10)], "chain long, key string, seq long, ok boolean, v long")
+    store = cache.Cache(spark, f"file://{tmp_path}/c", "v long")
+    store.upsert(rows)
+    scan, one = store.read(1), store.lookup(rows.where("chain = 1 and key = '0003'"))
+    assert scan.count() == 10 and all("chain=1/" in f for f in scan.inputFiles())
+    assert one.count() == 1 and len({f.rsplit("/", 1)[0] for f in one.inputFiles() if "bucket=" in f}) == 1
     assert spark.range(1).select(cache.cache_key(F.lit(1), F.lit("v9"), F.lit("00"))).first()[0] is None
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Risk flag -> pattern in a source text.
-RISKS = {"mint": r"(?i)mint", "pause": r"(?i)pause", "owner": r"(?i)owner", "script": r"(?i)<script"}
 LEAST_TVL = 10_000
 
 
@@ -17,18 +15,6 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(first("symbol").alias("symbol"), first("tvl").alias("tvl"), F.max("trusted").alias("trusted"), F.count(F.lit(1)).alias("n_sources"))
 
 
-def risk_flags(text: Column) -> Column:
-    """Sorted names of the risks whose patterns a text holds; empty for a null."""
-    names = [F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.lit(name)) for name, pattern in sorted(RISKS.items())]
-    return F.array_compact(F.array(*names))
-
-
-def verdict(listed: Column, decimals: Column, trusted: Column, tvl: Column, flags: Column) -> Column:
-    """The first rule that holds decides."""
-    low = F.coalesce(tvl, F.lit(0.0)) < LEAST_TVL
-    return F.when(decimals.isNull(), "no_decimals").when(decimals > 36, "decimals").when(~F.coalesce(trusted, F.lit(False)), "not_trusted").when(low & ~listed, "low_tvl").when(F.size(flags) > 0, "risk").otherwise("approve")
-
-
 #: Risk flag -> what a lower-cased source text holds (fixed values, in the order of flags).
 SOURCE_RISKS = {
     "transfer-tax": ("buytax", "selltax", "transfertax", "transferfee", "taxfee", "feeontransfer", "takefee", "_tax", "liquidityfee", "marketingfee"),

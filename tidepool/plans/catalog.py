@@ -417,9 +417,21 @@ def _candidates(spark, d):
 _MERGED = """cand AS (SELECT p_partkey AS token, CASE WHEN p_size % 5 <> 0 THEN p_name END AS symbol, p_retailprice AS tvl, p_size % 3 <> 0 AS trusted, 0 AS source_order FROM part
   UNION ALL SELECT c_custkey, c_name, c_acctbal * 10, c_nationkey % 2 = 0, 1 FROM customer),
 merged AS (SELECT token, arg_min(symbol, source_order) FILTER (symbol IS NOT NULL) AS symbol, arg_min(tvl, source_order) FILTER (NOT isnan(tvl) AND tvl > 0) AS tvl, bool_or(trusted) AS trusted, count(*) AS n_sources FROM cand GROUP BY token)"""
-_RISK = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(coalesce(html, ''), '{p}') THEN '{n}' END" for n, p in sorted(vetting.RISKS.items())) + ")"
-_EXAMINED = f"""{_MERGED}, risk AS (SELECT page_id, {_RISK} AS flags FROM pages),
-ex AS (SELECT token, CASE WHEN token % 17 = 0 THEN 'no_decimals' WHEN token % 41 > 36 THEN 'decimals' WHEN NOT trusted THEN 'not_trusted' WHEN coalesce(tvl, 0) < {vetting.LEAST_TVL} AND token % 3 <> 0 THEN 'low_tvl' WHEN coalesce(flags, '') <> '' THEN 'risk' ELSE 'approve' END AS verdict, symbol, tvl FROM merged LEFT JOIN risk ON page_id = token)"""
+_APPROVED = ("native", "managed_exception", "plain")
+
+
+def _risk_sql(text: str) -> str:
+    """The flags that ``text`` (lower-cased) shows, comma-joined."""
+    held = lambda needles: " OR ".join(f"contains({text}, '{n}')" for n in needles)
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {held(needles)} THEN '{flag}' END" for flag, needles in vetting.SOURCE_RISKS.items()) + ")"
+
+
+_LOWERED = "translate(coalesce(html, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_EXAMINED = f"""{_MERGED}, risk AS (SELECT page_id, {_risk_sql(_LOWERED)} AS flags FROM pages WHERE html IS NOT NULL),
+ex AS (SELECT token, CASE WHEN token = 0 THEN 'native' WHEN token % 31 = 0 THEN 'inspection_failed' WHEN token % 29 = 0 THEN 'managed_exception' WHEN token % 23 = 0 THEN 'no_code' WHEN token % 19 = 0 THEN 'no_decimals'
+  WHEN token % 17 = 0 THEN 'decimals_disagree' WHEN token % 13 = 0 THEN 'proxy' WHEN page_id IS NULL AND token % 9 = 8 THEN 'unverified_source' WHEN NOT coalesce(trusted, false) THEN 'not_trusted'
+  WHEN coalesce(tvl, 0) < {vetting.LEAST_TVL} AND token % 7 <> 0 THEN 'unpopular' WHEN coalesce(flags, '') <> '' THEN 'risk:' || flags ELSE 'plain' END AS verdict, symbol, tvl FROM merged LEFT JOIN risk ON page_id = token)"""
+_YES = f"verdict IN {_APPROVED}"
 
 
 @query(f", {_MERGED} SELECT * FROM merged")
@@ -438,16 +450,23 @@ def trusted_flag(spark, d):
     return candidate_merge(spark, d).select("token", "trusted")
 
 
-@query(f"SELECT page_id, {_RISK} AS flags FROM pages")
+@query(f"SELECT page_id, {_risk_sql(_LOWERED)} AS flags FROM pages")
 def source_risk_flags(spark, d):
-    return M.table(spark, d, "pages").select("page_id", F.array_join(vetting.risk_flags(F.col("html")), ",").alias("flags"))
+    return M.table(spark, d, "pages").select("page_id", F.array_join(vetting.contract_flags(F.col("html")), ",").alias("flags"))
 
 
 def _examined(spark, d):
-    text = M.table(spark, d, "pages").select(F.col("page_id").alias("token"), vetting.risk_flags(F.col("html")).alias("flags"))
-    rows = candidate_merge(spark, d).join(text, "token", "left")
-    decimals = F.when(F.col("token") % 17 != 0, F.col("token") % 41)
-    return rows.select("token", vetting.verdict(F.col("token") % 3 == 0, decimals, F.col("trusted"), F.col("tvl"), F.coalesce("flags", F.array().cast("array<string>"))).alias("verdict"), "symbol", "tvl")
+    """Every candidate through the whole decision list; its source is the page of its number, where there is one."""
+    t = F.col("number")
+    pages = M.table(spark, d, "pages").where("html is not null").select(F.col("page_id").alias("number"), "html")
+    merged = candidate_merge(spark, d).withColumnRenamed("token", "number").join(pages, "number", "left")
+    rows = merged.withColumn("token", F.when(t == 0, vetting.NATIVE).otherwise(F.lpad(F.lower(F.hex(t)), 40, "0")))
+    evidence = rows.select(
+        "token", F.when(t % 17 == 0, 9).otherwise(6).alias("decimals"), "trusted", "tvl", F.when(t % 31 == 0, "timeout").alias("inspect_error"), F.when(t % 23 != 0, "6080").alias("code"),
+        F.when(t % 19 != 0, 6).alias("chain_decimals"), F.when(t % 13 == 0, F.col("token")).alias("proxy_target"), F.coalesce("html", F.when(t % 9 != 8, "contract Plain {}")).alias("source"),
+    )
+    decided = vetting.examine(evidence, rows.where(t % 29 == 0).select("token"), rows.where(t % 7 == 0).select("token"))
+    return decided.join(rows.select("token", "number", "symbol", "tvl"), "token").select(t.alias("token"), F.col("reason").alias("verdict"), "symbol", "tvl", "approved")
 
 
 @query(f", {_EXAMINED} SELECT token, verdict FROM ex")
@@ -460,9 +479,9 @@ def vetting_counts(spark, d):
     return _examined(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f", {_EXAMINED} SELECT token, symbol, tvl FROM ex WHERE verdict = 'approve'")
+@query(f", {_EXAMINED} SELECT token, symbol, tvl FROM ex WHERE {_YES}")
 def whitelist_artifact(spark, d):
-    return _examined(spark, d).where("verdict = 'approve'").select("token", "symbol", "tvl")
+    return _examined(spark, d).where("approved").select("token", "symbol", "tvl")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(DISTINCT event_id) AS n_events FROM events GROUP BY ALL")

@@ -43,9 +43,13 @@ def _cached(spark, d):
     """Every third pool is cached; even pools came anew, with failures among the later results."""
     rows = _keyed(spark, d)
     cached = rows.where("pool_id % 3 = 0").select("chain", "key", "fee_pips")
+    return K.upserted(cached, _results(rows), "fee_pips")
+
+
+def _results(rows):
     first = rows.where("pool_id % 2 = 0").select("chain", "key", F.lit(1).alias("seq"), (F.col("pool_id") % 5 != 0).alias("ok"), (F.col("fee_pips") + 1).alias("fee_pips"))
     second = rows.where("pool_id % 4 = 0").select("chain", "key", F.lit(2).alias("seq"), (F.col("pool_id") % 8 == 0).alias("ok"), (F.col("fee_pips") + 2).alias("fee_pips"))
-    return K.upserted(cached, first.union(second), "fee_pips")
+    return first.union(second)
 
 
 _CACHED = f"""{_KEYED}, cached AS (SELECT chain, key, CASE WHEN pool_id % 8 = 0 THEN fee_pips + 2 WHEN pool_id % 2 = 0 AND pool_id % 5 <> 0 THEN fee_pips + 1 ELSE fee_pips END AS fee_pips
@@ -57,12 +61,25 @@ def cache_upsert(spark, d):
     return _cached(spark, d)
 
 
+def _written(spark, d):
+    """The same cache kept in buckets: what was cached before, then the later results as a second version."""
+    rows = _keyed(spark, d)
+    store = K.Cache(spark, folder(spark, "cache"), "fee_pips long")
+    store.upsert(rows.where("pool_id % 3 = 0").select("chain", "key", F.lit(0).alias("seq"), F.lit(True).alias("ok"), "fee_pips"))
+    store.upsert(_results(rows))
+    return store
+
+
 @query(f", {_CACHED} SELECT * FROM cached WHERE chain = 2")
 def cache_scan(spark, d):
-    """The cache written by chain, and one chain read back."""
-    path = folder(spark, "cache")
-    K.write_cache(_cached(spark, d), path)
-    return K.scan_chain(spark, path, 2).select("chain", "key", "fee_pips").withColumn("chain", F.col("chain").cast("long"))
+    """One chain of the bucketed cache."""
+    return _written(spark, d).read(2)
+
+
+@query(f", {_CACHED} SELECT cached.* FROM cached JOIN keyed USING (chain, key) WHERE pool_id % 10 = 4")
+def cache_lookup(spark, d):
+    """Every tenth pool's entry, from the buckets that hold them."""
+    return _written(spark, d).lookup(_keyed(spark, d).where("pool_id % 10 = 4"))
 
 
 @query(", own AS (SELECT * FROM pools WHERE pool_id % 3 = 0) SELECT 'pool' AS kind, chain, pool_id AS key FROM own UNION ALL SELECT DISTINCT 'token', chain, t FROM (SELECT chain, unnest([token0, token1]) AS t FROM own) WHERE (t + chain) % 4 <> 0")
@@ -133,9 +150,11 @@ def popular_tokens(spark, d):
     return I.popular_tokens(pages.withColumn("body", F.when(F.col("page") % 9 == 4, F.expr("left(body, length(body) div 2)")).otherwise(F.col("body"))))
 
 
-@query("SELECT chain, token FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, own in I.BASELINE.items() for t in (own[0], "0" * 40, own[1])) + ") v(chain, token)")
+@query("SELECT r_regionkey::BIGINT AS region, chain, token FROM region JOIN (VALUES " + ", ".join(f"({k}, '{c}', '{t}')" for k, (c, own) in enumerate(I.BASELINE.items()) for t in (own[0], "0" * 40, own[1])) + ") v(number, chain, token) ON number = r_regionkey")
 def baseline_tokens(spark, d):
-    return I.baseline(spark)
+    """What is always proposed on the chains that regions stand for, in their order."""
+    regions = M.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("region"), F.get(F.array(*map(F.lit, I.BASELINE)), "r_regionkey").alias("chain"))
+    return regions.join(F.broadcast(I.baseline(spark)), "chain").select("region", "chain", "token")
 
 
 @query(""", cl AS (SELECT chain, pool_id, token0, token1, CASE WHEN pool_id % 10 = 0 THEN 123 ELSE fee_pips END AS fee FROM pools)
@@ -155,7 +174,7 @@ def bridge_split(spark, d):
 
 
 _SLUGS = list(I.BASELINE)
-_LISTED = f"listed AS (SELECT ([{', '.join(repr(s) for s in _SLUGS)}])[(token % 6 + 1)::INT] AS chain, token, symbol FROM ex WHERE verdict = 'approve')"
+_LISTED = f"listed AS (SELECT ([{', '.join(repr(s) for s in _SLUGS)}])[(token % 6 + 1)::INT] AS chain, token, symbol FROM ex WHERE {C._YES})"
 
 
 def _listed(spark, d):
@@ -181,7 +200,7 @@ def whitelist_summary(spark, d):
 def vetting_report(spark, d):
     """The report of all decisions, written and read back."""
     path = folder(spark, "report")
-    A.write_report(C._examined(spark, d), path)
+    A.write_report(C._examined(spark, d).drop("approved"), path)
     return spark.read.schema("token long, verdict string, symbol string, tvl double").json(path)
 
 
