@@ -53,3 +53,14 @@ def sqrt_price_text(ticks: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def tick_floor(tick: Column, spacing: Column) -> Column:
     """Largest multiple of the spacing that isn't above the tick, for negative ticks too."""
     return tick - F.pmod(tick, spacing)
+
+
+def tick_range(tick: Column, spacing: Column) -> Column:
+    """low, high and failure of the range that holds a tick: multiples of the spacing, kept within the tick limits.
+
+    ``out_of_bounds`` beyond the limits, ``bad_spacing`` for one that isn't positive; then there are no bounds.
+    """
+    failure = F.when(~tick.between(MIN_TICK, MAX_TICK), "out_of_bounds").when(spacing <= 0, "bad_spacing")
+    low = F.greatest(tick - F.pmod(tick, F.when(spacing > 0, spacing)), F.lit(MIN_TICK))
+    sound = failure.isNull() & tick.isNotNull() & spacing.isNotNull()
+    return F.struct(F.when(sound, low).alias("low"), F.when(sound, F.least(low + spacing, F.lit(MAX_TICK))).alias("high"), failure.alias("failure"))

@@ -63,3 +63,20 @@ def word_decimals(word: Column) -> Column:
 def proxy_target(code: Column) -> Column:
     """The address that a minimal proxy forwards to; empty for other code."""
     return F.regexp_extract(code, f"^{PROXY[0]}([0-9a-f]{{40}}){PROXY[1]}$", 1)
+
+
+def slot_target(code: Column, implementation: Column, beacon: Column) -> Column:
+    """Where a contract forwards to: a minimal proxy's target, else the address in its implementation slot, else in its beacon slot.
+
+    Slots are words of 64 hex digits, null where reading failed; words of another form and zero addresses lead nowhere.
+    """
+    address = lambda word: F.when(word.rlike("^[0-9a-fA-F]{64}$"), F.lower(word_address(word)))
+    code_target = proxy_target(F.lower(code))
+    found = F.coalesce(F.when(code_target != "", code_target), address(implementation), address(beacon))
+    # As the readers do: the first that gives an address decides, and only then is zero none.
+    return F.when(found != "0" * 40, found)
+
+
+def transient(outcome: Column) -> Column:
+    """Whether a snapshot's error goes by itself: its route's ends just aren't there yet."""
+    return outcome.isin("empty", "no_source", "no_output")

@@ -22,6 +22,12 @@ EVENTS = {
     "ModifyLiquidity(bytes32,address,int24,int24,int256,bytes32)": ("v4", "modify", 3, 4),
 }
 TOPICS = {topic(signature): event for signature, event in EVENTS.items()}
+#: Other events of pools that are subscribed to and change no state (fixed values).
+STATELESS = (
+    "Collect(address,address,int24,int24,uint128,uint128)", "Flash(address,address,uint256,uint256,uint256,uint256)", "IncreaseObservationCardinalityNext(uint16,uint16)",
+    "SetFeeProtocol(uint8,uint8,uint8,uint8)", "CollectProtocol(address,address,uint128,uint128)",
+)
+SUBSCRIBED = (*TOPICS, *map(topic, STATELESS))
 DYNAMIC_FEE = 0x800000
 MOST_SPACING = 65535
 WORD = 64
@@ -33,8 +39,16 @@ def admitted(frames: DataFrame) -> DataFrame:
 
 
 def topic_filter(logs: DataFrame) -> DataFrame:
-    """Logs whose first topic is one of the events."""
-    return logs.where(F.get("topics", F.lit(0)).isin(*TOPICS))
+    """Logs whose first topic is one of the events that are subscribed to, whoever emits them."""
+    return logs.where(F.get("topics", F.lit(0)).isin(*SUBSCRIBED))
+
+
+def by_block(logs: DataFrame) -> DataFrame:
+    """chain, block_number, block_hash, n_logs, first and last index of the admitted logs of ranges, by block.
+
+    Two hashes of one number are two blocks.  The logs themselves stay rows: their order is ``log_index``.
+    """
+    return admitted(logs).groupBy("chain", "block_number", "block_hash").agg(F.count(F.lit(1)).alias("n_logs"), F.min("log_index").alias("first_index"), F.max("log_index").alias("last_index"))
 
 
 def word(data: Column, index: int) -> Column:

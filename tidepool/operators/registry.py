@@ -39,3 +39,35 @@ def all_or_nothing(rows: DataFrame, group: str, good: Column) -> DataFrame:
     """Rows of the groups in which every row is good."""
     bad = rows.where(~F.coalesce(good, F.lit(False))).select(group).distinct()
     return rows.join(bad, group, "left_anti")
+
+
+def gated(results: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """``results`` (ok, failure, token0, token1 and others) with outcome and reason_token after the whitelist.
+
+    Failures pass through; of a pool's tokens the first that isn't allowed is the reason.  No table allows
+    all, an empty one none.
+    """
+    failed = F.when(~F.coalesce("ok", F.lit(False)), F.coalesce("failure", F.lit("failed")))
+    if allowed is None:
+        return results.withColumns({"outcome": F.coalesce(failed, F.lit("ok")), "reason_token": F.lit(None).cast(results.schema["token0"].dataType)})
+    tokens, rows = allowed.select("token").distinct(), results
+    for side in ("0", "1"):
+        rows = rows.join(tokens.select(F.col("token").alias(f"token{side}"), F.lit(True).alias(f"_in{side}")), f"token{side}", "left")
+    first = F.when(F.col("_in0").isNull(), F.col("token0")).when(F.col("_in1").isNull(), F.col("token1"))
+    reason = F.when(failed.isNull(), first)
+    outcome = F.coalesce(failed, F.when(reason.isNotNull(), "token_not_whitelisted"), F.lit("ok"))
+    return rows.withColumns({"outcome": outcome, "reason_token": reason}).select(*results.columns, "outcome", "reason_token")
+
+
+def whole_chains(states: DataFrame, decimals: DataFrame) -> DataFrame:
+    """``states`` (chain, token0, token1, tick and others) with decimals0 and decimals1, of the chains in which no pool lacks a state or decimals."""
+    rows = states
+    for side in ("0", "1"):
+        rows = rows.join(decimals.select(F.col("token").alias(f"token{side}"), F.col("decimals").alias(f"decimals{side}")), f"token{side}", "left")
+    there = F.col("tick").isNotNull() & F.col("decimals0").isNotNull() & F.col("decimals1").isNotNull()
+    return all_or_nothing(rows, "chain", there).select(*states.columns, "decimals0", "decimals1")
+
+
+def catalog_tokens(pools: DataFrame, tokens: DataFrame) -> DataFrame:
+    """chain, token, decimals of the tokens that verified pools name and a registry row validates; the native token needs a row too."""
+    return referenced_tokens(pools).join(tokens.select("chain", "token", "decimals"), ["chain", "token"])

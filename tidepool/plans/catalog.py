@@ -21,6 +21,11 @@ SPLIT = 1400
 KEYS = ["chain", "pool_id"]
 
 
+_TICKS = range(-230, 231)  # all that ticks of the derived market and the bounds of their ranges can be
+#: Exact Q64.96 prices of those ticks, by the rule that gives them.
+_PRICES = f"prices AS (SELECT unnest(range({_TICKS.start}, {_TICKS.stop})) AS t, unnest([{', '.join(map(str, map(ticks.sqrt_price_x96, _TICKS)))}]::HUGEINT[]) AS p)"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -171,7 +176,8 @@ def tick_bounds(spark, d):
     return rows.groupBy("pool_id", "tick_spacing", "tick").agg(F.count(F.lit(1)).alias("n")).select("pool_id", "tick_spacing", "tick", low.alias("low"), (low + F.col("tick_spacing")).alias("high"), "n")
 
 
-@query()
+@query(f""", {_PRICES}, b AS (SELECT DISTINCT tick, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing AS low, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing + tick_spacing AS high FROM logs JOIN pools USING (pool_id))
+SELECT tick, low, high, l.p::VARCHAR AS sqrt_low, h.p::VARCHAR AS sqrt_high FROM b JOIN prices l ON l.t = low JOIN prices h ON h.t = high""")
 def sqrt_price_lookup(spark, d):
     """Exact Q64.96 prices at both bounds of every tick that occurs."""
     return tick_bounds(spark, d).select("tick", "low", "high").distinct().withColumns({"sqrt_low": ticks.sqrt_price_text("low"), "sqrt_high": ticks.sqrt_price_text("high")})
@@ -218,15 +224,12 @@ def _reserves(spark, d):
     return _projected(spark, d).where("failure is null").drop("failure", "failed_token", "failed_field")
 
 
-_TICKS = range(-230, 231)  # all that ticks of the derived market and the bounds of their ranges can be
-
-
 def _scaled(raw: str, side: int) -> str:
     scale = f"([{', '.join(str(10**k) for k in _SCALES)}])[(token{side} % 3 + 1)::INT]"
     return f"(({raw} // {scale})::DOUBLE + ({raw} % {scale})::DOUBLE / {scale}::DOUBLE)::FLOAT::DOUBLE"
 
 
-_PROJ = f"""{_PLACED}, {_fold_sql('placed', 'f')}, prices AS (SELECT unnest(range({_TICKS.start}, {_TICKS.stop})) AS t, unnest([{', '.join(map(str, map(ticks.sqrt_price_x96, _TICKS)))}]::HUGEINT[]) AS p),
+_PROJ = f"""{_PLACED}, {_fold_sql('placed', 'f')}, {_PRICES},
 st AS (SELECT pools.*, tick, liquidity::HUGEINT AS l, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing AS lo, tick + CASE pool_id % 19 WHEN 3 THEN tick_spacing WHEN 5 THEN -tick_spacing ELSE 0 END AS pt
   FROM pools JOIN f USING (chain, pool_id) WHERE token0 % 12 <> 11 AND token1 % 12 <> 11),
 raw AS (SELECT st.*, l * {1 << 96}::HUGEINT // p.p AS x, l * p.p // {1 << 96}::HUGEINT AS y, l * {1 << 96}::HUGEINT // a.p - l * {1 << 96}::HUGEINT // p.p AS mx, l * b.p // {1 << 96}::HUGEINT - l * p.p // {1 << 96}::HUGEINT AS my
@@ -372,10 +375,11 @@ def layout_cells(spark, d):
     return _cells(spark, d).withColumn("slot", F.expr("cast(row_number() over (partition by column, row order by pool_id) - 1 as bigint)"))
 
 
-@query()
+@query(f''', {_CELLS}, e AS (SELECT *, exp(abs(pool_id) % 7 / 10.0::DOUBLE - max(abs(pool_id) % 7 / 10.0::DOUBLE) OVER (PARTITION BY "column")) AS e FROM cells)
+SELECT "column", "row", pool_id, round(e / sum(e) OVER (PARTITION BY "column"), 9) AS weight FROM e''')
 def softmax_weights(spark, d):
     cells = _cells(spark, d).withColumn("logit", (F.abs("pool_id") % 7) / F.lit(10.0))
-    return P.softmax(cells, "column").select("column", "row", "pool_id", "weight")
+    return P.softmax(cells, "column").select("column", "row", "pool_id", F.round("weight", 9).alias("weight"))
 
 
 def _flows(spark, d):

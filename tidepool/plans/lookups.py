@@ -101,7 +101,9 @@ def report_times(spark, d):
     return M.table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("written_at")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f""", {C._PROJ}, ex AS (SELECT st.*, p.p AS price, l * {1 << 96}::HUGEINT // p.p AS x, l * p.p // {1 << 96}::HUGEINT AS y, l * {1 << 96}::HUGEINT // a.p AS low_x, l * b.p // {1 << 96}::HUGEINT AS high_y FROM
+  (SELECT pools.*, tick, liquidity::HUGEINT AS l, tick - ((tick % tick_spacing) + tick_spacing) % tick_spacing AS lo FROM pools JOIN f USING (chain, pool_id)) st JOIN prices p ON p.t = tick JOIN prices a ON a.t = lo JOIN prices b ON b.t = lo + tick_spacing)
+SELECT chain, pool_id, fee_pips, l::VARCHAR AS depth, price::VARCHAR AS price, x::VARCHAR AS x, y::VARCHAR AS y, (low_x - x)::VARCHAR AS max_x, (high_y - y)::VARCHAR AS max_y, NULL::VARCHAR AS failure FROM ex""")
 def virtual_reserves(spark, d):
     """Exact reserves of every derivable pool at its tick, with what fits into its tick range."""
     state = M.pools(spark, d).join(C.pool_state_fold(spark, d).select("chain", "pool_id", "tick", "liquidity"), C.KEYS)
