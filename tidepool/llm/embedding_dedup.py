@@ -8,7 +8,7 @@ around every node, its neighbours and those it is a neighbour of are compared wi
 Neighbours below ``FLOOR`` are not listed: the way to a link leads over nearer ones.
 
 A list that is full of links is saturated: its node may have more links than the list holds.
-Saturated lists are enlarged, doubled and refined again around their nodes until they aren't
+Saturated lists are made ``LARGER`` and refined again around their nodes until they aren't
 full any more or hold ``MOST_K``.  For what stays full, every node of its component is compared,
 block against block, with the component's nodes and all that are listed beside them, so that
 links are counted and connected without making rows of pairs.  Recall is audited: a bounded
@@ -40,8 +40,8 @@ from tidepool.llm.scratch import Scratch
 
 K, ROUNDS, RUN, FLOOR, STEPS, MORE = 10, 4, 128, 0.9, 4, 3
 AUDIT, RECALL, SETTLED, BLOCK, NEAR = 256, 0.98, 0.01, 512, 2048
-#: Neighbours in the largest enlarged list; similarity from which an unlinked node is worth an audit.
-MOST_K, CLOSE = 160, 0.95
+#: How much longer a saturated list gets, neighbours in the largest one, similarity from which an unlinked node is worth an audit.
+LARGER, MOST_K, CLOSE = 4, 160, 0.95
 BITS = 32
 
 
@@ -203,20 +203,21 @@ def _refined(lists: DataFrame, nodes: DataFrame, wide: bool, scratch: Scratch, k
 
 
 def _enlarged(lists: DataFrame, nodes: DataFrame, wide: bool, scratch: Scratch, threshold: float, k: int, floor: float) -> tuple[DataFrame, DataFrame | None]:
-    """Lists after doubling the saturated ones until they aren't, or hold ``MOST_K``; and the enlarged nodes (node, k)."""
+    """Lists after enlarging the saturated ones until they aren't, or hold ``MOST_K``; and the enlarged nodes (node, k).
+
+    A list of a dense group fills in one descent: with k neighbours on each side of a hub, a pair of m alike meets 4 k * k / m times.
+    """
     enlarged, size = None, k
     while size < MOST_K:
         full = lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
         full = scratch.table(full.select("node"), "saturated")
         if full.isEmpty():
             break
-        size = min(2 * size, MOST_K)
+        size = min(LARGER * size, MOST_K)
         longer = full.withColumn("k", F.lit(size))
         enlarged = scratch.table(longer if enlarged is None else enlarged.join(full, "node", "left_anti").unionByName(longer), "enlarged")
-        for _ in range(2):
-            fresh = scratch.table(descend(lists, nodes, wide, k, floor, enlarged, full), "fresh")
-            lists = scratch.table(nearest(lists.union(fresh), k, enlarged), "lists")
-            scratch.drop(fresh)
+        fresh = descend(lists, nodes, wide, k, floor, enlarged, full)
+        lists = scratch.table(nearest(lists.union(fresh), k, enlarged), "lists")
     return lists, enlarged
 
 
@@ -340,6 +341,9 @@ def _counted(lists: DataFrame, nodes: DataFrame, enlarged: DataFrame | None, wid
     links = scratch.table(links.select("a", "b", (F.col("n") >= F.col("k")).alias("full")), "links")
     # A link stands in the list of one side at least.
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
+    if not every and links.where("full").isEmpty():
+        held = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+        return both, scratch.table(held, "counts")
     if every:
         members = around = nodes.select("node", F.col("kind").alias("component"))
     else:
