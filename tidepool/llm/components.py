@@ -32,3 +32,15 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not labels.where("component <> was").limit(1).count():
             scratch.drop(both)
             return labels.select("node", "component")
+
+
+def merged_components(labels: DataFrame, fresh: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (node, component) after the edges ``fresh`` (a, b) were added: only components that these touch are looked at again."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    links = fresh.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    links = scratch.table(links.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")), "joined")
+    moved = connected_components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct(), scratch)
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = labels.select("node", "component").union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return scratch.table(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
