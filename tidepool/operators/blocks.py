@@ -6,34 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.ordered import with_previous
-from tidepool.plans.lineage import cut, drop
+from tidepool.operators.walks import walked
+
+
+def links(heads: DataFrame) -> DataFrame:
+    """chain, block, to: blocks with their parents; those that name themselves as parent are roots."""
+    return heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to"))
 
 
 def canonical(heads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """chain, block and distance of every block on the path from each chain's highest block (or its block in ``starts``) to its root.
 
-    Pointer doubling: log2(longest chain) rounds of two joins, whatever the number of chains.  A round
-    writes the blocks that it reached and the longer pointers, and the shorter ones go.
-    Blocks that name themselves as parent are roots.  A chain whose path runs into a cycle has none:
-    its walk gets longer than the chain has blocks, which is seen once the doublings are through.
+    Regions of blocks are followed in tasks and only the steps between them are joined (``walks``).
+    ``heads`` holds each block once.  Blocks that name themselves as parent are roots.  A chain whose
+    path runs into a cycle has none.
     """
-    links = heads.where("parent is not null and parent <> block").select("chain", "block", F.col("parent").alias("to"))
-    jumps = cut(links)
-    sizes = cut(jumps.groupBy("chain").agg(F.count(F.lit(1)).alias("n")))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    starts = heads.groupBy("chain").agg(F.max("block").alias("block")) if starts is None else starts.select("chain", "block")
-    marked, step = cut(starts.withColumn("distance", F.lit(0).cast("long"))), 1
-    while step <= 2 * longest:
-        reached = cut(marked.join(jumps, ["chain", "block"]).select("chain", F.col("to").alias("block"), (F.col("distance") + step).alias("distance")))
-        if reached.isEmpty():
-            break
-        marked, step = marked.union(reached), 2 * step
-        longer = jumps.alias("a").join(jumps.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.to") == F.col("b.block"))).select("a.chain", "a.block", F.col("b.to").alias("to"))
-        old, jumps = jumps, cut(longer)
-        drop(old)
-    drop(jumps)
-    endless = marked.join(F.broadcast(sizes), "chain").where("distance > n").select("chain").distinct()  # one row for each chain
-    return marked.join(F.broadcast(endless), "chain", "left_anti")
+    starts = heads.groupBy("chain").agg(F.max("block").alias("block")) if starts is None else starts
+    inner, ends = walked(links(heads), starts)
+    return inner.union(ends)
 
 
 def frontier(blocks: DataFrame, least_authority: int) -> DataFrame:

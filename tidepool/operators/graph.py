@@ -2,7 +2,7 @@
 
 ``nodes`` holds each delivered block once (chain, block, parent, number, authority, touched); ``anchors`` and
 ``observed`` hold one block of each chain.  The anchor itself is no node: rows that name it are passed over.
-Walks are pointer doublings over (chain, block), so that a chain with most of the blocks is spread as well.
+Walks go by regions of (chain, block) (``walks``), so that a chain with most of the blocks is spread as well.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.blocks import canonical
+from tidepool.operators.blocks import links
 from tidepool.operators.ordered import with_previous
+from tidepool.operators.walks import arriving, walked
 from tidepool.plans.lineage import cut
 
 KEY = ["chain", "block"]
@@ -23,22 +24,12 @@ def connected(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
 
     The others are pending: above a gap, on a fork from below the anchor, or in a cycle.
     """
-    ends = anchors.select("chain", F.col("block").alias("to"), F.lit(True).alias("home"))
-    links = nodes.where("parent is not null and parent <> block").join(anchors, KEY, "left_anti").select("chain", "block", F.col("parent").alias("to"))
-    links = cut(links.join(ends, ["chain", "to"], "left").select("chain", "block", "to", F.coalesce("home", F.lit(False)).alias("home")))
-    done, going = links.where("home"), links.where("not home")
-    while True:
-        ahead = done.union(going).select("chain", F.col("block").alias("to"), F.col("to").alias("next"), F.col("home").alias("arrives"))
-        moved = cut(going.join(ahead, ["chain", "to"]).select("chain", "block", F.col("next").alias("to"), F.col("arrives").alias("home")))
-        arrived = moved.where("home")
-        if arrived.isEmpty():  # the nearest of those still under way would have arrived
-            return done.select(*KEY)
-        done, going = done.union(arrived), moved.where("not home")
+    return arriving(links(nodes).join(F.broadcast(anchors.select(*KEY)), KEY, "left_anti"), anchors)  # one row for each chain
 
 
 def observed_heads(observations: DataFrame, nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """chain, block: the last observation (by seq) that names a node or the anchor; the anchor without any."""
-    present = nodes.select(*KEY).union(anchors.select(*KEY)).distinct()
+    present = nodes.select(*KEY).union(anchors.select(*KEY))
     last = observations.join(present, KEY, "left_semi").groupBy("chain").agg(F.max_by("block", "seq").alias("seen"))
     return anchors.join(last, "chain", "left").select("chain", F.coalesce("seen", "block").alias("block"))
 
@@ -48,13 +39,15 @@ def present_path(nodes: DataFrame, observed: DataFrame, anchors: DataFrame) -> D
 
     A chain whose walk meets a block twice has no path.
     """
-    above = nodes.join(anchors, KEY, "left_anti")
-    return canonical(above, observed).join(above.select(*KEY), KEY, "left_semi").select(*KEY, F.col("distance").alias("depth"))
+    above = nodes.join(F.broadcast(anchors.select(*KEY)), KEY, "left_anti")  # one row for each chain
+    inner, ends = walked(links(above), observed)
+    ends = above.select(*KEY).join(F.broadcast(ends), KEY)  # at most one row for each chain; others than these have parents
+    return inner.union(ends).select(*KEY, F.col("distance").alias("depth"))
 
 
 def anchored_path(nodes: DataFrame, observed: DataFrame, anchors: DataFrame) -> DataFrame:
     """The present path of the chains whose observed head is connected."""
-    whole = connected(nodes, anchors).join(observed, KEY, "left_semi").select("chain")
+    whole = cut(connected(nodes, anchors).join(F.broadcast(observed), KEY, "left_semi").select("chain"))
     return present_path(nodes, observed, anchors).join(F.broadcast(whole), "chain", "left_semi")  # one row for each chain
 
 
@@ -100,7 +93,7 @@ def surviving_heads(observed: DataFrame, kept: DataFrame, anchors: DataFrame) ->
 def orphan_suspects(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """chain, block, number: pending nodes at most one above the anchor, which must descend from below it."""
     low = nodes.join(F.broadcast(anchors.select("chain", F.col("number").alias("height"))), "chain").where("number <= height + 1")
-    return low.join(anchors, KEY, "left_anti").join(connected(nodes, anchors), KEY, "left_anti").select("chain", "block", "number")
+    return low.join(F.broadcast(anchors.select(*KEY)), KEY, "left_anti").join(connected(nodes, anchors), KEY, "left_anti").select("chain", "block", "number")
 
 
 def orphaned(anchors: DataFrame, probes: DataFrame) -> DataFrame:
@@ -161,7 +154,7 @@ def frontier_changes(frontiers: DataFrame) -> DataFrame:
 
 def candidate_owners(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """chain, pool_id, block: pools that no registry knows (chain, pool_id), each owned by the newest block that names it."""
-    return candidates.join(known, ["chain", "pool_id"], "left_anti").groupBy("chain", "pool_id").agg(F.min_by("block", "depth").alias("block"))
+    return candidates.groupBy("chain", "pool_id").agg(F.min_by("block", "depth").alias("block")).join(known, ["chain", "pool_id"], "left_anti")
 
 
 def unknown_tokens(candidates: DataFrame, metadata: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import graph as G
@@ -17,8 +16,7 @@ ANCHOR, TRIM, TARGET, STRIDE = 3, 2, 40, 16
 
 def _numbered(spark, d):
     """Headers numbered by chain."""
-    number = F.row_number().over(Window.partitionBy("chain").orderBy("block")).cast("long")
-    return cut(M.heads(spark, d).withColumn("number", number))
+    return cut(M.numbered_heads(spark, d))
 
 
 def _graph(spark, d):
@@ -27,9 +25,9 @@ def _graph(spark, d):
     here = (F.col("number") > ANCHOR) | ((F.col("number") < ANCHOR) & (F.col("chain") % 3 == 0))
     authority = F.when(F.col("block") % 61 == 0, 1).when(F.col("block") % 53 == 0, 0).otherwise(2)
     nodes = rows.where(here & ~((F.col("chain") % 4 == 1) & (F.col("number") % 101 == 50))).select("chain", "block", "parent", "number", authority.alias("authority"), F.when(F.col("block") % 7 != 0, F.col("block") % 3 != 0).alias("touched"))
-    anchors = rows.where(F.col("number") == ANCHOR).select("chain", "block", "number")
+    anchors = cut(rows.where(F.col("number") == ANCHOR).select("chain", "block", "number"))
     seen = rows.where("block % 3 = chain % 3").select("chain", "block", F.col("block").alias("seq"))
-    return nodes, G.observed_heads(seen, nodes, anchors), anchors, rows
+    return nodes, cut(G.observed_heads(seen, nodes, anchors)), anchors, rows
 
 
 _GRAPH = f"""gn AS (SELECT chain, block, parent, row_number() OVER (PARTITION BY chain ORDER BY block) AS number FROM heads),
@@ -82,7 +80,7 @@ def path_candidates(spark, d):
 def _finalized(spark, d):
     nodes, observed, anchors, rows = _graph(spark, d)
     half = rows.groupBy("chain").agg(F.floor(F.max("number") / 2).alias("number"))
-    final = G.finalized(nodes, observed, anchors, rows.join(half, ["chain", "number"]).select(*G.KEY))
+    final = G.finalized(nodes, observed, anchors, rows.join(F.broadcast(half), ["chain", "number"]).select(*G.KEY))  # one row for each chain
     return nodes, observed, cut(final)
 
 

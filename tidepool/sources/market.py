@@ -7,9 +7,11 @@ the same relations as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.ordered import WIDTH
+
 #: Fee in pips -> tick spacing (fixed values).
 TIERS = {100: 1, 500: 10, 3000: 60, 10000: 200}
 FIRST_DAY = "1995-01-01"
@@ -50,11 +52,31 @@ def blocks(pool_rows: DataFrame, log_rows: DataFrame, watched: int = 4) -> DataF
     return rows.select("chain", "number", F.pmod(F.col("number") * 7 + F.col("chain"), F.lit(3)).alias("authority"), (F.col("touched") == 1).alias("touched"))
 
 
-def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chain, block, parent: a header stream with forks, from events; every fifth header skips its predecessor."""
+def numbered_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chain, block, parent, number: a header stream with forks, from events, numbered by chain; every fifth header skips its predecessor.
+
+    Windows span buckets of blocks; only the last two rows and the count of each bucket are looked at across buckets.
+    """
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("chain"), F.col("event_id").alias("block"))
-    back = lambda n: F.expr(f"lag(block, {n}) over (partition by chain order by block)")
-    return rows.select("chain", "block", F.when(F.col("block") % 5 == 0, F.coalesce(back(2), back(1))).otherwise(back(1)).alias("parent"))
+    none = F.lit(-(2**62))
+    rows = rows.select("*", F.coalesce("chain", none).alias("_chain"), F.coalesce(F.floor(F.col("block") / WIDTH), none).alias("_bucket"))
+    own = Window.partitionBy("_chain", "_bucket").orderBy("block")
+    near = rows.select("*", F.lag("block", 1).over(own).alias("_near1"), F.lag("block", 2).over(own).alias("_near2"), F.row_number().over(own).alias("_own"))
+    last = near.groupBy("_chain", "_bucket").agg(F.max(F.struct("_own", "block", "_near1")).alias("l"))
+    over = Window.partitionBy("_chain").orderBy("_bucket")
+    before = F.lag("l").over(over)
+    far2 = F.when(before["_own"] > 1, before["_near1"]).otherwise(F.lag("l", 2).over(over)["block"])
+    count = F.coalesce(F.sum("l._own").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = last.select("_chain", "_bucket", before["block"].alias("_far1"), far2.alias("_far2"), count.alias("_count"))
+    one = F.when(F.col("_own") > 1, F.col("_near1")).otherwise(F.col("_far1"))
+    two = F.when(F.col("_own") > 2, F.col("_near2")).when(F.col("_own") > 1, F.col("_far1")).otherwise(F.col("_far2"))
+    parent = F.when(F.col("block") % 5 == 0, F.coalesce(two, one)).otherwise(one)
+    return near.join(last, ["_chain", "_bucket"]).select("chain", "block", parent.alias("parent"), (F.col("_count") + F.col("_own")).cast("long").alias("number"))
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chain, block, parent of ``numbered_heads``."""
+    return numbered_heads(spark, sf_dir).drop("number")
 
 
 CTES = f"""
