@@ -87,3 +87,22 @@ def test_state_stays_flat_and_restarts_change_nothing(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_deliveries(spark, n):
     assert len(run(spark, [], [head(1001, 1000)][:n])) == n
+
+
+def test_ignored_finality_does_not_walk_the_chain():
+    class Counted(dict):
+        looks = 0
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return super().__getitem__(k)
+
+    graph = chains.Graph(1000, 1000, Counted(), {}, 1024, 1024)
+    for k in range(1001, 4001):  # 1001 never completes
+        graph.admit(k, k - 1, k, k == 1001)
+        graph.head = k
+        if k > 1020:
+            assert not graph.finalize(k - 20)
+    assert len(graph.nodes) == 3000 and Counted.looks < 50 * 3000  # about 4 million in walks from the head before
+    graph.nodes[1001][4] = True
+    assert graph.finalize(3000) and graph.anchor == 3000 and len(graph.nodes) == 1000 and not graph.finalize(3000) and graph.finalize(3500)

@@ -30,6 +30,8 @@ from tidepool.plans.lineage import folder
 
 MOST_PENDING = MOST_STAGED = 1024
 EVENTS = "chain long, seq long, kind string, block long, parent long, number long, touched boolean, log_index long, pool_id long"
+#: Rows in a chunk of a journal.
+CHUNK = 1024
 OUTCOMES = "chain long, seq long, kind string, block long, outcome string, log_index long, pool_id long, n_blocks long, n_staged long"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,6 +42,7 @@ class Graph:
     def __init__(self, anchor: int, head: int, nodes: dict, logs: dict, most_pending: int, most_staged: int):
         self.anchor, self.head, self.nodes, self.logs = anchor, head, nodes, logs
         self.most_pending, self.most_staged = most_pending, most_staged
+        self.place = self.placed()  # connected blocks: their distance from the anchor and their path's first block above it
         self.waiting = defaultdict(list)  # pending blocks by parent
         self.of_block = defaultdict(dict)
         for block, (parent, _, connected, *_) in nodes.items():
@@ -50,6 +53,22 @@ class Graph:
             self.of_block[block][index] = pool
         self.n_staged = sum(b not in nodes for b in self.of_block)  # blocks
 
+    def placed(self) -> dict:
+        children = defaultdict(list)
+        for block, (parent, _, connected, *_) in self.nodes.items():
+            if connected:
+                children[parent].append(block)
+        place, todo = {}, [(block, 1, block) for block in children[self.anchor]]
+        while todo:
+            block, depth, first = todo.pop()
+            place[block] = depth, first
+            todo += [(child, depth + 1, first) for child in children[block]]
+        return place
+
+    def connect(self, block: int, parent: int) -> None:
+        depth, first = self.place.get(parent, (0, block))
+        self.place[block] = depth + 1, first
+
     def admit(self, block: int, parent: int, number: int, touched: bool) -> tuple[str, int]:
         """(outcome, how many blocks it connected)."""
         if block == parent:
@@ -68,10 +87,13 @@ class Graph:
             self.n_pending += 1
             return "admitted", 0
         self.nodes[block] = [parent, number, True, touched, False]
+        self.connect(block, parent)
         todo, n = [block], 1
         while todo:
-            for child in self.waiting.pop(todo.pop(), ()):
+            at = todo.pop()
+            for child in self.waiting.pop(at, ()):
                 self.nodes[child][2] = True
+                self.connect(child, at)
                 self.n_pending -= 1
                 todo.append(child)
                 n += 1
@@ -89,7 +111,17 @@ class Graph:
         return "applied" if block in self.nodes else "staged"
 
     def finalize(self, target: int) -> bool:
-        """Whether the anchor moved."""
+        """Whether the anchor moved.
+
+        Looks no further than from the head down to ``target`` unless it moves.
+        """
+        if target not in self.place or self.head not in self.place:
+            return False
+        at, (depth, first) = self.head, self.place[target]
+        while self.place[at][0] > depth:
+            at = self.nodes[at][0]
+        if at != target or (self.nodes[first][3] and not self.nodes[first][4]):
+            return False
         path, at = [], self.head
         while at in self.nodes and self.nodes[at][2]:
             path.append(at)
@@ -117,25 +149,50 @@ class Graph:
         self.logs = {k: v for k, v in self.logs.items() if k[0] in kept}
         self.of_block = defaultdict(dict, {b: v for b, v in self.of_block.items() if b in kept})
         self.waiting, self.n_pending, self.n_staged = defaultdict(list), 0, 0
+        self.place = self.placed()
         return True
 
 
+class Journal:
+    """A table in a list of the state store, in chunks of columns: later rows of a key replace earlier ones."""
+
+    def __init__(self, state, width: int):
+        self.state, self.width, self.n = state, width, 0  # width: columns of the key
+
+    def read(self) -> dict[tuple, tuple]:
+        rows, self.n = {}, 0
+        for chunk in self.state.get() if self.state.exists() else ():
+            for row in zip(*chunk, strict=True):
+                rows[row[: self.width]] = row[self.width :]
+                self.n += 1
+        return rows
+
+    def write(self, old: dict[tuple, tuple], new: dict[tuple, tuple]) -> None:
+        """Appends what changed, or writes all anew where rows went or most of the list is out of date."""
+        changed = [k for k, v in new.items() if old.get(k) != v]
+        if len(new) < len(old) or old.keys() - new.keys() or self.n + len(changed) > 2 * len(new) + CHUNK:
+            self.state.clear()
+            changed = list(new)
+        for first in range(0, len(changed), CHUNK):
+            self.state.appendValue(tuple(map(list, zip(*(k + new[k] for k in changed[first : first + CHUNK]), strict=True))))
+
+
 class ChainProcessor(StatefulProcessor):
-    """Keeps a ``Graph`` for every chain in maps of the state store, and writes back what a batch changed."""
+    """Keeps a ``Graph`` for every chain in journals of the state store, to which a batch adds what it changed."""
 
     def __init__(self, anchor: int, most_pending: int = MOST_PENDING, most_staged: int = MOST_STAGED):
         self.start, self.most_pending, self.most_staged = anchor, most_pending, most_staged
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ends = handle.getValueState("ends", "anchor bigint, head bigint")
-        self.nodes = handle.getMapState("nodes", "block bigint", "parent bigint, number bigint, connected boolean, touched boolean, complete boolean")
-        self.logs = handle.getMapState("logs", "block bigint, log_index bigint", "pool_id bigint")
+        self.nodes = handle.getListState("nodes", "block array<bigint>, parent array<bigint>, number array<bigint>, connected array<boolean>, touched array<boolean>, complete array<boolean>")
+        self.logs = handle.getListState("logs", "block array<bigint>, log_index array<bigint>, pool_id array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  (names of the interface)
         anchor, head = self.ends.get() if self.ends.exists() else (self.start, self.start)
-        nodes = {k[0]: list(v) for k, v in self.nodes.iterator()}
-        logs = {tuple(k): v[0] for k, v in self.logs.iterator()}
-        old_nodes, old_logs = {k: tuple(v) for k, v in nodes.items()}, dict(logs)
+        node_rows, log_rows = Journal(self.nodes, 1), Journal(self.logs, 2)
+        old_nodes, old_logs = node_rows.read(), log_rows.read()
+        nodes, logs = {k[0]: list(v) for k, v in old_nodes.items()}, {k: v[0] for k, v in old_logs.items()}
         graph, chain = Graph(anchor, head, nodes, logs, self.most_pending, self.most_staged), key[0]
         for r in sorted(rows, key=lambda r: r["seq"]):
             tell = lambda outcome, index=None, pool=None, n=None, staged=None: Row(chain=chain, seq=r["seq"], kind=r["kind"], block=r["block"], outcome=outcome, log_index=index, pool_id=pool, n_blocks=n, n_staged=staged)  # noqa: B023, E731
@@ -158,13 +215,8 @@ class ChainProcessor(StatefulProcessor):
                 moved = graph.finalize(r["block"])
                 yield tell("advanced" if moved else "ignored", n=len(graph.nodes), staged=graph.n_staged)
         self.ends.update((graph.anchor, graph.head))
-        for store, old, new in ((self.nodes, old_nodes, {k: tuple(v) for k, v in graph.nodes.items()}), (self.logs, old_logs, {k: (v,) for k, v in graph.logs.items()})):
-            same = old if store is self.nodes else {k: (v,) for k, v in old.items()}
-            for k in same.keys() - new.keys():
-                store.removeKey(k if isinstance(k, tuple) else (k,))
-            for k, v in new.items():
-                if same.get(k) != v:
-                    store.updateValue(k if isinstance(k, tuple) else (k,), v)
+        node_rows.write(old_nodes, {(k,): tuple(v) for k, v in graph.nodes.items()})
+        log_rows.write(old_logs, {k: (v,) for k, v in graph.logs.items()})
 
     def close(self) -> None:
         pass
