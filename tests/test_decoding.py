@@ -53,3 +53,17 @@ def test_bloom_equals_all_pairs(spark):
     got = decode.may_touch(spark.createDataFrame(blocks, "chain long, number long, bloom array<int>"), spark.createDataFrame(watched, "chain long, address string"))
     expected = {(c, n): any(c == w and (bits is None or pattern(a) <= set(bits)) for w, a in watched) for c, n, bits in blocks}
     assert {(r["chain"], r["number"]): r["may_touch"] for r in got.collect()} == expected and len(set(expected.values())) == 2
+
+
+def test_a_bloom_meets_many_addresses_in_few_rows(spark):
+    """5000 addresses and full blooms: blocks meet parts of them, not every address that shares a bit."""
+    watched = spark.range(5000).select(F.lit(1).cast("long").alias("chain"), F.lpad(F.lower(F.hex("id")), 40, "0").alias("address"))
+    blocks = spark.range(40).select(F.lit(1).cast("long").alias("chain"), F.col("id").alias("number"), F.sequence(F.lit(0), F.when(F.col("id") % 2 == 0, 2047).otherwise(0)).alias("bloom"))
+    got = decode.may_touch(blocks, watched)
+    assert {r["number"]: r["may_touch"] for r in got.collect()} == {n: n % 2 == 0 for n in range(40)}
+    rows, todo = [], [got._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        rows.append(plan.toString().split("\n")[0])
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert not any("bloom#" in r and "explode(bloom" in r for r in rows)

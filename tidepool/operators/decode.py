@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.keccak import bloom_bits, keccak_hex, topic
+from tidepool.functions.keccak import bloom_bits, keccak_hex, meets, packed_bits, topic
 from tidepool.sources.market import TIERS
 
 #: Event of each signature (fixed values): protocol, kind, topics, words of data.
@@ -22,6 +22,8 @@ EVENTS = {
     "ModifyLiquidity(bytes32,address,int24,int24,int256,bytes32)": ("v4", "modify", 3, 4),
 }
 TOPICS = {topic(signature): event for signature, event in EVENTS.items()}
+#: Addresses that a block's bloom is held against in one row.
+PART = 512
 #: Other events of pools that are subscribed to and change no state (fixed values).
 STATELESS = (
     "Collect(address,address,int24,int24,uint128,uint128)", "Flash(address,address,uint256,uint256,uint256,uint256)", "IncreaseObservationCardinalityNext(uint16,uint16)",
@@ -140,12 +142,14 @@ def may_touch(blocks: DataFrame, watched: DataFrame) -> DataFrame:
     """chain, number, may_touch of every block: whether its bloom may hold a watched address.
 
     ``blocks``: chain, number, bloom (array of set bits, null if unknown).  Without a bloom a block may
-    touch anything; where a chain watches nothing, none does.  An address is met at its first bit only,
-    so no block meets all addresses.
+    touch anything; where a chain watches nothing, none does.  A chain's addresses are dealt into parts of
+    about ``PART``; a block meets each part once, in one row, whatever the bits that they share.
     """
-    bits = watched.select("chain", bloom_bits("address").alias("pattern"))
-    patterns = bits.select("chain", F.array_sort(F.array_distinct("pattern")).alias("pattern")).distinct().withColumn("bit", F.get("pattern", F.lit(0)))
-    known = blocks.where("bloom is not null").select("chain", "number", "bloom", F.explode("bloom").alias("bit"))
-    hit = known.join(patterns, ["chain", "bit"]).where(F.size(F.array_except("pattern", "bloom")) == 0).select("chain", "number").distinct().withColumn("hit", F.lit(True))
+    bits = watched.select("chain", bloom_bits("address").alias("pattern")).distinct()
+    parts = bits.groupBy("chain").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    dealt = bits.join(F.broadcast(parts), "chain").withColumn("part", F.pmod(F.xxhash64("pattern"), "parts"))  # one row for each chain
+    dealt = dealt.groupBy("chain", "part").agg(F.flatten(F.collect_list("pattern")).alias("patterns")).select("chain", "part", packed_bits("patterns").alias("patterns"))
+    known = blocks.where("bloom is not null").select("chain", "number", packed_bits("bloom").alias("bloom")).join(F.broadcast(parts), "chain").select("chain", "number", "bloom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    hit = known.join(dealt, ["chain", "part"]).where(meets("bloom", "patterns")).select("chain", "number").distinct().withColumn("hit", F.lit(True))
     rows = blocks.join(hit, ["chain", "number"], "left").join(watched.select("chain").distinct().withColumn("any", F.lit(True)), "chain", "left")
     return rows.select("chain", "number", (F.coalesce("any", F.lit(False)) & (F.col("bloom").isNull() | F.coalesce("hit", F.lit(False)))).alias("may_touch"))
