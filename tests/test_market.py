@@ -285,3 +285,13 @@ def test_contracts_without_evidence_and_without_rows(spark):
     got = sorted((r.token, r.reason, r.decimals) for r in vetting.examine(spark.createDataFrame(rows, schema), none, listed).collect())
     assert got == [("aa", "no_code", None), ("bb", "plain", 6), ("bb", "risk:transfer-tax,pausable", None), ("cc", "decimals_disagree", None)]
     assert vetting.examine(spark.createDataFrame([], schema), none, none).count() == 0
+
+
+def _reads_logs(df):
+    return any("lineitem" in f for f in df.inputFiles())
+
+
+def test_a_models_cells_are_derived_once(spark):
+    """Layouts, values and sessions read cells again and again; each reading would fold all logs anew."""
+    sessions, cells = lookups._sessions(spark, SF)
+    assert not _reads_logs(cells) and not _reads_logs(sessions) and cells.count() > 0

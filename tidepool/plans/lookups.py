@@ -10,6 +10,7 @@ from tidepool.operators import checks, flows, route_table, vetting
 from tidepool.operators import plans as X
 from tidepool.plans import catalog as C
 from tidepool.plans.catalog import query
+from tidepool.plans.lineage import cut
 from tidepool.sources import market as M
 
 #: Blocks in a page of logs, by chain (fixed values for the first two; else the last).
@@ -114,7 +115,7 @@ def virtual_reserves(spark, d):
 
 def _sessions(spark, d):
     """A closed route of 1000 from every token of a chain, and the directional cells of the chain's pools."""
-    cells = C.reserves_directional(spark, d).where("token_in <> token_out").withColumnRenamed("chain", "market").withColumn("disabled", F.lit(False))
+    cells = cut(C.reserves_directional(spark, d).where("token_in <> token_out").withColumnRenamed("chain", "market").withColumn("disabled", F.lit(False)))  # a model reads them again and again
     tokens = cells.select("market", F.col("token_in").alias("source")).distinct()
     rows = tokens.select((F.col("market") * 1000 + F.col("source")).alias("session_id"), "market", "source", F.col("source").alias("output"), F.lit(1000.0).alias("amount"))
     return rows, cells
