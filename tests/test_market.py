@@ -301,6 +301,12 @@ def test_a_models_cells_are_derived_once(spark):
     assert not _reads_logs(cells) and not _reads_logs(sessions) and cells.count() > 0
 
 
+def test_reserves_take_two_python_processes(spark):
+    """One for prices, one for the projection; a filter on failures and the other direction don't call them again."""
+    assert _plan(catalog.reserves_directional(spark, SF).where("token_in <> token_out")).count("ArrowEvalPython") == 2
+    assert _plan(lookups.virtual_reserves(spark, SF).where("failure is null")).count("ArrowEvalPython") == 2
+
+
 def test_logs_are_folded_before_they_meet_their_pools(spark):
     """With tables too large for broadcasts: logs and starts by bucket, states and pools by pool, and the states once more."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

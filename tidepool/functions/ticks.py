@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal, getcontext
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_TICK, MAX_TICK = -887272, 887272
+#: Prices that a process keeps as text.
+KNOWN = 1 << 16
 
 
 def _factors() -> list[int]:
@@ -40,14 +42,18 @@ def sqrt_price_x96(tick: int) -> int:
     return (ratio >> 32) + (ratio % (1 << 32) > 0)
 
 
+@lru_cache(KNOWN)
+def _price_text(tick: int) -> str | None:
+    return str(sqrt_price_x96(tick)) if MIN_TICK <= tick <= MAX_TICK else None
+
+
 @F.pandas_udf(T.StringType())
-def sqrt_price_text(ticks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Decimal text, since the value has up to 49 digits; null outside the tick range."""
-    known: dict[int, str | None] = {}
-    for batch in ticks:
-        for t in set(batch.dropna().astype(int)) - known.keys():
-            known[t] = str(sqrt_price_x96(t)) if MIN_TICK <= t <= MAX_TICK else None
-        yield batch.map(lambda t: None if pd.isna(t) else known[int(t)])
+def sqrt_price_text(tick: pd.Series) -> pd.Series:
+    """Decimal text, since the value has up to 49 digits; null outside the tick range.
+
+    Not over an iterator of batches: Spark starts a Python process for each call of that form, and one for all calls of this.
+    """
+    return tick.map(lambda t: None if pd.isna(t) else _price_text(int(t)))
 
 
 def tick_floor(tick: Column, spacing: Column) -> Column:

@@ -28,10 +28,16 @@ def fixed_share(weight: float) -> int:
     return 0 if math.isnan(weight) else math.floor(min(max(weight, 0.0), 1.0) * BILLION + 0.5)
 
 
+def _once(udf):
+    """Not called again in a filter on what it returned, which Spark would move before the columns (a Python process more in every task)."""
+    return udf.asNondeterministic()
+
+
 #: Built from types: a schema in text would need a session when executors import this.
 RESERVES = T.StructType([T.StructField(name, T.StringType()) for name in ("x", "y", "max_x", "max_y", "failure")])
 
 
+@_once
 @F.pandas_udf(RESERVES)
 def reserve_texts(liquidity: pd.Series, price: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
     """Reserves at the price, and how much of each can still enter before the price leaves low..high.
@@ -77,6 +83,7 @@ def project(liquidity: int, price: int, low: int | None, high: int | None, decim
     return *out, None, None
 
 
+@_once
 @F.pandas_udf(PROJECTED)
 def projection(liquidity: pd.Series, price: pd.Series, low: pd.Series, high: pd.Series, decimals0: pd.Series, decimals1: pd.Series) -> pd.DataFrame:
     """``project`` of decimal texts; a null liquidity or price gives nulls."""

@@ -31,8 +31,9 @@ def referenced_tokens(pools: DataFrame) -> DataFrame:
 
 def directional(reserves: DataFrame) -> DataFrame:
     """Both directions of every reserve row, each with the limit of what enters."""
-    way = lambda a, b: reserves.select("chain", "pool_id", F.col(f"token{a}").alias("token_in"), F.col(f"token{b}").alias("token_out"), F.col(f"r{a}").alias("r_in"), F.col(f"r{b}").alias("r_out"), "fee", F.col(f"max{a}").alias("cap"))
-    return way(0, 1).unionByName(way(1, 0))
+    way = lambda a, b: F.struct(F.col(f"token{a}").alias("token_in"), F.col(f"token{b}").alias("token_out"), F.col(f"r{a}").alias("r_in"), F.col(f"r{b}").alias("r_out"), F.col(f"max{a}").alias("cap"))
+    rows = reserves.select("chain", "pool_id", "fee", F.inline(F.array(way(0, 1), way(1, 0))))  # not a union, which would derive the reserves twice
+    return rows.select("chain", "pool_id", "token_in", "token_out", "r_in", "r_out", "fee", "cap")
 
 
 def all_or_nothing(rows: DataFrame, group: str, good: Column) -> DataFrame:
