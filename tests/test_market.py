@@ -316,3 +316,8 @@ def test_logs_are_folded_before_they_meet_their_pools(spark):
         assert _plan(catalog.pool_state_fold(spark, SF)).count("Exchange hashpartitioning") <= joined + 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_steps_of_plans_are_built_once(spark):
+    ends, steps, _ = lookups._plan_inputs(spark, SF)
+    assert not _reads_logs(steps) and not _reads_logs(ends)

@@ -178,7 +178,7 @@ merged AS (SELECT plan_id, stage, token_in, token_out, kind, CASE kind WHEN 'swa
 
 def _block_plans(spark, d):
     """Every block's logs as the cells of one plan, with bridges from even tokens to the next."""
-    rows = C._placed(spark, d).join(M.pools(spark, d).select("pool_id", "token0", "token1"), "pool_id")
+    rows = M.logs(spark, d).join(M.pools(spark, d).select("chain", "pool_id", "token0", "token1"), "pool_id")
     line = F.col("l_linenumber")
     cells = rows.select(
         (F.col("chain") * 100000 + F.col("number")).alias("plan_id"), (line.cast("long") % 3).alias("stage"), F.col("token0").alias("token_in"), F.when(line == 7, F.col("token0")).otherwise(F.col("token1")).alias("token_out"),
@@ -195,7 +195,7 @@ def plan_build(spark, d):
 
 def _plan_inputs(spark, d):
     """Plans of blocks from the smallest token of their first stage to the largest of their last, their steps and exact reserves."""
-    steps = _block_plans(spark, d)
+    steps = cut(_block_plans(spark, d).drop("amount_in", "amount_out"))  # read for the ends, and again in every check
     ends = steps.groupBy("plan_id").agg(F.min_by("token_in", F.struct("stage", "token_in")).alias("source"), F.max_by("token_out", F.struct("stage", "token_out")).alias("output"))
     book = virtual_reserves(spark, d).where("failure is null").join(M.pools(spark, d).select("pool_id", "token0", "token1"), "pool_id")
     reserves = book.select("pool_id", "token0", "token1", F.col("x").alias("r0"), F.col("y").alias("r1"), F.col("max_x").alias("cap0"), F.col("max_y").alias("cap1"), "fee_pips")
