@@ -1,6 +1,7 @@
 """Chains as one stream: staging, caps, reorganisations, finality, restarts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepool.streaming import chains
@@ -106,3 +107,47 @@ def test_ignored_finality_does_not_walk_the_chain():
     assert len(graph.nodes) == 3000 and Counted.looks < 50 * 3000  # about 4 million in walks from the head before
     graph.nodes[1001][4] = True
     assert graph.finalize(3000) and graph.anchor == 3000 and len(graph.nodes) == 1000 and not graph.finalize(3000) and graph.finalize(3500)
+
+
+def test_finality_of_a_low_fork_jumps_down_the_chain():
+    class Counted(dict):
+        looks = 0
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return super().__getitem__(k)
+
+    graph = chains.Graph(1000, 1000, Counted(), {}, 1024, 1024)
+    graph.admit(7, 1000, 1001, False)
+    for k in range(1001, 9001):
+        graph.admit(k, k - 1, k, k == 1001)
+    graph.head, Counted.looks = 9000, 0
+    assert not any(graph.finalize(7) or graph.finalize(1001 + k) for k in range(100)) and Counted.looks < 100 * 100  # 1.6 million before
+    assert all(graph.at_depth(9000, d) == 1000 + d for d in (1, 2, 511, 512, 4095, 7999, 8000))
+
+
+def test_shelved_graph_tells_the_same(spark):
+    """Every few events the graph goes to the shelf; odd ones name null blocks, parents and logs."""
+    rng = np.random.default_rng(5)
+    events = [head(None, 1000), head(5000, None), head(44, 43), log(None, None), log(None, None), log(1001, None), event(1, None, 3), event(None, "head", 1001, parent=1000)]
+    for k in range(1001, 1401):
+        events += [log(k + int(rng.integers(-1, 2)), int(rng.integers(0, 3)))] + [head(k + 1, k)] * (k % 9 == 0) + [head(k, k - 1, touched=k % 50 == 0)]
+        events += [event(1, "complete", k - int(rng.integers(0, 4))), event(1, "complete", 1000 + k % 50 * 50)]
+        events += [head(k - 1 + 10_000, k - 2), head(k - 2, k - 3 - k % 2), head(k, k - 1)] if k % 5 == 0 else []
+        events += [event(1, "final", k - int(rng.integers(3, 30)))] if k % 7 == 0 else []
+    rows = spark.createDataFrame([tuple((e | {"seq": k}).get(f) for f in FIELDS) for k, e in enumerate(events)], chains.EVENTS).toArrow().to_batches()
+    packs = [c.as_buffer() for b in chains.pack(iter(rows)) for at, c in zip(b.column(0), b.column(1), strict=True) if at.as_py() == 1]
+    table = pa.Table.from_batches(x for c in packs for x in pa.ipc.open_stream(c))
+    table = table.take(np.argsort(table["seq"].to_numpy(), kind="stable"))
+    whole = chains.told(chains.Graph(1000, 1000, {}, {}, 9, 9), table).to_pylist()
+    assert {"advanced", "ignored", "drained", "duplicate_block", "conflicting_parent", "unknown_block"} <= {r["outcome"] for r in whole}
+    for step in (1, 3, 17):
+        graph, got = chains.Graph(1000, 1000, {}, {}, 9, 9, chains.Shelf()), []
+        for first in range(0, len(table), step):
+            part = table.slice(first, step)
+            graph.recall([*part["block"].to_pylist(), *part["parent"].to_pylist()])
+            got += chains.told(graph, part).to_pylist()
+            graph.settle()
+            if first % 5 == 0:
+                graph = chains.Graph(graph.anchor, graph.head, {}, {}, 9, 9, graph.shelf)
+        assert got == whole
